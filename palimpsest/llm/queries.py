@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from palimpsest.llm.decontamination import op2_decontamination
 from palimpsest.llm.language import op10_language_id
 from palimpsest.llm.quality import op1_quality
+from palimpsest.llm.search import OP8_SQL, op8_topk
+from palimpsest.llm.secrets import op6_secrets
+from palimpsest.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_decontamination": op2_decontamination,
+    "op6_secrets": op6_secrets,
+    "op7_toxicity": op7_toxicity,
+    "op8_topk": op8_topk,
     "op10_language_id": op10_language_id,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_topk": OP8_SQL}
