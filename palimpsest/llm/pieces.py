@@ -26,8 +26,9 @@ DEFAULT_VOCABULARY = "piece_bpe_32k.model"
 DROPOUT, SEED, DRAWS = 0.1, 20240607, 4
 #: Parts of up to so many characters are merged in step; longer ones one by one, from a heap.
 IN_STEP = 48
+WIDTHS = (0, 4, 6, 8, 10, 12, 16, 24, 32, IN_STEP)
 #: Segmented parts that a worker keeps before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_500_000
 _NONE = np.int32(2**31 - 1)
 _META = 0x2581
 
@@ -170,8 +171,9 @@ def in_step(points: np.ndarray, bounds: np.ndarray, draws: np.ndarray, vocab: Vo
         symbol[rows, j] = merged[rows, j]
         shift = np.arange(symbol.shape[1])
         shift = shift + (shift > j[:, None])
-        shift[:, -1] = symbol.shape[1] - 1
-        symbol, place, merged, rank = (np.take_along_axis(x, shift, axis=1) for x in (symbol, place, merged, rank))
+        shift[:, -1] -= 1
+        shift += rows[:, None] * symbol.shape[1]
+        symbol, place, merged, rank = (x.ravel()[shift] for x in (symbol, place, merged, rank))
         symbol[:, -1], rank[:, -1] = -2, _NONE
         propose(rows, j, live)
         left = np.flatnonzero(j > 0)
@@ -201,17 +203,15 @@ class Encoder:
         bounds = lead[np.concatenate(([0], np.cumsum([len(p) for p in parts])))]
         sizes, draws = np.diff(bounds), mix(keys + self.seed)
         symbols, places, owner = [], [], []
-        limit = 1
-        while limit < IN_STEP:
-            low, limit = limit, 8 if limit == 1 else 2 * limit
-            own = np.flatnonzero((sizes >= low if low == 1 else sizes > low) & (sizes <= min(limit, IN_STEP)))
+        for low, high in zip(WIDTHS, WIDTHS[1:]):
+            own = np.flatnonzero((sizes > low) & (sizes <= high))
             for k in range(0, len(own), 16_384):
                 some = own[k : k + 16_384]
                 cut = np.concatenate(([0], np.cumsum(sizes[some])))
                 take = np.repeat(bounds[some] - cut[:-1], sizes[some]) + np.arange(cut[-1])
                 s, p, o = in_step(points[take], cut, draws[some], self.vocab, self.dropout)
                 symbols.append(s), places.append(p), owner.append(some[o])
-        for i in np.flatnonzero(sizes > IN_STEP).tolist():
+        for i in np.flatnonzero(sizes > WIDTHS[-1]).tolist():
             found = agenda(points[bounds[i] : bounds[i + 1]], int(draws[i]), self.vocab, self.dropout)
             symbols.append(np.array([s for s, _ in found], np.int32)), places.append(np.array([p for _, p in found], np.int32)), owner.append(np.full(len(found), i))
         symbol, place, part = np.concatenate(symbols), np.concatenate(places), np.concatenate(owner)
