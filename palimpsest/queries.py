@@ -1,6 +1,571 @@
-"""Registered queries over the driver tables and their SQL twins."""
+"""Registered queries over the driver tables and their DuckDB twins.
+
+The tables stand in for ledgers and documents: each query says how.  Every query
+reads its whole tables; limits are those of top-k reports.
+"""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLES = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.functions import hashing, text
+from palimpsest.functions.scoring import FIELD_WEIGHTS, cosine_similarity
+from palimpsest.operators import access, contracts, ledger, retrieval
+from palimpsest.operators import chunking, documents
+from palimpsest.plans import ingestion
+from palimpsest.sources import vectors
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL twin."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ------------------------------------------------------------------ retrieval
+
+ASKED = "the thing of erand"
+ASKED_TERMS = ASKED.split()
+VECTOR = [round(1 / (i + 1), 6) for i in range(64)]
+
+
+def _fold(c: str) -> str:
+    return f"replace(lower(coalesce({c}, '')), 'ß', 'ss')"
+
+
+def _count(c: str, term: str) -> str:
+    return f"((length({_fold(c)}) - length(replace({_fold(c)}, '{term}', ''))) // {len(term)})"
+
+
+def _n_terms(c: str) -> str:
+    cjk = f"len(regexp_extract_all({_fold(c)}, '[\\x{{3400}}-\\x{{4dbf}}\\x{{4e00}}-\\x{{9fff}}]'))"
+    return f"(len(regexp_extract_all({_fold(c)}, '[A-Za-z0-9_''-]+')) + {cjk} + greatest({cjk} - 1, 0))"
+
+
+def _lexical(title: str, content: str, terms: list[str]) -> str:
+    return "round((" + " + ".join(f"4.0 * {_count(title, t)} + least({_count(content, t)}, 8)" for t in terms) + f") / sqrt(greatest({_n_terms(content)}, 1)), 6)"
+
+
+def _structured(fields: dict[str, str], terms: list[str]) -> str:
+    score = " + ".join(f"{FIELD_WEIGHTS[f]} * {_count(c, t)}" for f, c in fields.items() for t in terms)
+    return f"round(({score}) / sqrt(greatest({_n_terms(fields['content'])}, 4)), 6)"
+
+
+@query(f"SELECT doc_id, {_lexical('source', 'text', ASKED_TERMS)} AS score FROM documents ORDER BY score DESC, doc_id LIMIT 20")
+def lexical_topk(spark, d):
+    """Documents by weighted term score; the source is the title."""
+    return retrieval.lexical_top_k(read(spark, d, "documents"), ASKED, 20, doc_id="doc_id", title=F.col("source"), content=F.col("text"))
+
+
+_FIELDS = {"source_title": "source", "tags": "lang", "content": "text"}
+
+
+@query(f"SELECT doc_id, {_structured(_FIELDS, ASKED_TERMS)} AS score FROM documents ORDER BY score DESC, doc_id LIMIT 20")
+def structured_topk(spark, d):
+    return retrieval.structured_top_k(read(spark, d, "documents"), ASKED, 20, doc_id="doc_id", **{f: F.col(c) for f, c in _FIELDS.items()})
+
+
+_COSINE = f"list_cosine_similarity(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), {VECTOR}::DOUBLE[])"
+
+
+@query(f"SELECT vec_id, round({_COSINE}, 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 20")
+def cosine_topk(spark, d):
+    return retrieval.cosine_top_k(read(spark, d, "embeddings"), VECTOR, 20)
+
+
+@query(f"SELECT vec_id AS id, round({_COSINE}, 6) AS score FROM embeddings WHERE label = 3 ORDER BY {_COSINE} DESC, vec_id LIMIT 10")
+def vector_query(spark, d):
+    """A filtered search of a vector collection."""
+    own = read(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
+    return vectors.query(own, VECTOR, 10, F.col("label") == 3).withColumn("score", F.round("score", 6))
+
+
+_BM25 = {"source": 5.0, "text": 1.0}
+_QUERIES = [(0, "the thing"), (1, "der und NOT queos"), (2, "les (src3)")]
+_BM25_TERMS = [(0, "the"), (0, "thing"), (1, "der"), (1, "und"), (1, "not"), (1, "queos"), (2, "les"), (2, "src3")]
+
+
+def _asked(spark):
+    return spark.createDataFrame(_QUERIES, "query_id int, query string")
+
+
+_BM25_SQL = f"""
+WITH q(query_id, term) AS (VALUES {", ".join(f"({i}, '{t}')" for i, t in _BM25_TERMS)}),
+tok AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(source, '')), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+') AS s, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+') AS c FROM documents
+), size AS (SELECT doc_id, len(s) + len(c) AS dl FROM tok), avg AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM size),
+hit AS (
+  SELECT doc_id, term, sum(w) AS tf FROM (SELECT doc_id, unnest(s) AS term, CAST(5 AS DOUBLE) AS w FROM tok UNION ALL SELECT doc_id, unnest(c), CAST(1 AS DOUBLE) FROM tok)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), df AS (SELECT term, count(*) AS df FROM hit GROUP BY term),
+score AS (
+  SELECT query_id, doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+  FROM hit JOIN df USING (term) JOIN q USING (term) JOIN size USING (doc_id), avg GROUP BY query_id, doc_id
+)"""
+
+
+@query(_BM25_SQL + " SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM score QUALIFY rank <= 20")
+def bm25_topk(spark, d):
+    scored = retrieval.bm25(read(spark, d, "documents"), _asked(spark), doc_id="doc_id", columns=_BM25).withColumn("score", F.round("score", 6))
+    return retrieval.top_k(scored, "score", 20, ["query_id"], ["doc_id"]).select("query_id", "rank", "doc_id", "score")
+
+
+@query("SELECT n_nationkey AS query_id, n_regionkey AS doc_id FROM nation")
+def exact_match(spark, d):
+    """Regions by exact title: each nation asks for its region's name, in other case and with blanks."""
+    regions = read(spark, d, "region")
+    asked = read(spark, d, "nation").join(F.broadcast(regions), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("  "), F.lower("r_name")).alias("query"))
+    return retrieval.exact_matches(regions, asked, ["r_name"], doc_id="r_regionkey")
+
+
+_RRF_SQL = f"""
+WITH lex AS (SELECT doc_id, row_number() OVER (ORDER BY {_lexical("source", "text", ASKED_TERMS)} DESC, doc_id) AS rank FROM documents),
+dense AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY round({_COSINE}, 6) DESC, vec_id) AS rank FROM embeddings),
+fused AS (SELECT doc_id, round(sum(w / (60 + rank)), 9) AS score FROM (SELECT doc_id, rank, 1.5 AS w FROM lex UNION ALL SELECT doc_id, rank, 1.0 FROM dense) GROUP BY doc_id)
+SELECT CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM fused QUALIFY rank <= 20"""
+
+
+@query(_RRF_SQL)
+def rrf_fusion(spark, d):
+    """Lexical ranks of documents fused with cosine ranks of vectors of the same ids."""
+    one = F.lit(0).alias("query_id")
+    lex = read(spark, d, "documents").select(one, "doc_id", F.round(retrieval.lexical_score(text.terms(F.lit(ASKED)), F.col("source"), F.col("text")), 6).alias("score"))
+    dense = read(spark, d, "embeddings").select(one, F.col("vec_id").alias("doc_id"), F.round(cosine_similarity(F.col("embedding"), F.array(*map(F.lit, VECTOR))), 6).alias("score"))
+    fused = retrieval.reciprocal_rank_fusion([retrieval.ranked(lex, "lexical"), retrieval.ranked(dense, "dense")], weights={"lexical": 1.5, "dense": 1.0})
+    return retrieval.top_k(fused.withColumn("score", F.round("score", 9)), "score", 20, ["query_id"], ["doc_id"]).select("rank", "doc_id", "score")
+
+
+_HYBRID_QUERY = "src3"
+_HYBRID_SQL = f"""
+WITH exact AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rank FROM documents WHERE trim(lower(source)) = 'src3'),
+lex AS (SELECT doc_id, row_number() OVER (ORDER BY {_structured(_FIELDS, ["src3", "thing"])} DESC, doc_id) AS rank FROM documents),
+dense AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY round({_COSINE}, 6) DESC, vec_id) AS rank FROM embeddings),
+every AS (SELECT doc_id, rank, 1.5 AS w, 'exact' AS c FROM exact UNION ALL SELECT doc_id, rank, 1.0, 'lexical' FROM lex UNION ALL SELECT doc_id, rank, 1.0, 'dense' FROM dense),
+fused AS (SELECT doc_id, round(sum(w / (60 + rank)), 9) AS score, string_agg(c, '+' ORDER BY CASE c WHEN 'exact' THEN 1 WHEN 'lexical' THEN 2 ELSE 3 END) AS channels FROM every GROUP BY doc_id)
+SELECT CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score, channels FROM fused QUALIFY rank <= 20"""
+
+
+@query(_HYBRID_SQL)
+def hybrid_search(spark, d):
+    """All three channels for one query with an alias hint; vectors go by document id."""
+    asked = spark.createDataFrame([(0, _HYBRID_QUERY, [float(x) for x in VECTOR])], "query_id int, query string, embedding array<double>")
+    held = read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    found = retrieval.hybrid_search(read(spark, d, "documents"), asked, 20, doc_id="doc_id", titles=["source"], fields=_FIELDS, vectors=held, hints={"src3": ["thing"]}, weights=retrieval.RULE_CHANNELS, decimals=6)
+    return found.select("rank", "doc_id", "score", F.array_join("channels", "+").alias("channels"))
+
+
+# ------------------------------------------------------------------ documents
+
+
+@query("""
+SELECT doc_id, CASE WHEN c > 0 AND l > 0 AND least(c, l) / greatest(c, l) >= 0.15 THEN 'mixed' WHEN c > 0 THEN 'zh' WHEN l > 0 THEN 'en' ELSE 'mixed' END AS detected,
+  CASE WHEN lang LIKE 'en%' THEN 'en' WHEN lang LIKE 'zh%' OR lang LIKE 'cn%' THEN 'zh' ELSE 'mixed' END AS normalized
+FROM (SELECT doc_id, lang, len(regexp_extract_all(text, '[\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}]')) AS c, len(regexp_extract_all(text, '[A-Za-z]')) AS l FROM documents)""")
+def language_detect(spark, d):
+    return read(spark, d, "documents").select("doc_id", text.detect_text_language(F.col("text")).alias("detected"), text.normalize_language(F.col("lang")).alias("normalized"))
+
+
+_PAGE = r"""
+p AS (
+  SELECT source, doc_id, length(text) AS characters, len(regexp_extract_all(text, '[\s\x0B\x1C-\x1F\x{85}\p{Z}]')) AS sp, len(regexp_extract_all(text, '\p{L}')) AS alphabetic,
+    len(regexp_extract_all(text, '\p{Co}')) AS private_use, len(regexp_extract_all(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]')) AS control, len(regexp_extract_all(text, '\x{FFFD}')) AS replacement,
+    len(list_filter(regexp_extract_all(text, '\p{L}+'), lambda r: length(r) >= 30)) AS long_runs
+  FROM documents
+), f AS (SELECT *, characters - sp AS non_whitespace, characters - sp < 20 AS sparse, alphabetic >= 200 AND sp / greatest(alphabetic, 1) < 0.08 AND long_runs >= 3 AS fused,
+    private_use / greatest(characters, 1) >= 0.02 OR control / greatest(characters, 1) >= 0.01 OR replacement / greatest(characters, 1) >= 0.01 AS corrupt FROM p)"""
+
+
+@query(f"WITH {_PAGE} SELECT doc_id, characters, non_whitespace, alphabetic, private_use, control, replacement, long_runs, sparse, fused, corrupt FROM f")
+def page_quality(spark, d):
+    """Documents as pages."""
+    names = ("characters", "non_whitespace", "alphabetic", "private_use", "control", "replacement", "long_runs", "sparse", "fused", "corrupt")
+    q = documents.page_quality(F.col("text"))
+    return read(spark, d, "documents").select("doc_id", *[q[n].alias(n) for n in names])
+
+
+@query(f"""WITH {_PAGE} SELECT source, count(*) AS pages, CAST(sum(characters) AS BIGINT) AS characters, CAST(sum(non_whitespace) AS BIGINT) AS non_whitespace,
+  CAST(count(*) FILTER (sparse) AS BIGINT) AS sparse, CAST(count(*) FILTER (fused) AS BIGINT) AS fused, round(sum(control) / greatest(sum(characters), 1), 6) AS control_ratio, round((count(*) - count(*) FILTER (sparse)) / count(*), 6) AS coverage
+FROM f GROUP BY source""")
+def document_quality(spark, d):
+    """Sources as documents, documents as their pages."""
+    q = documents.document_quality(read(spark, d, "documents"), "source", "doc_id", "text")
+    return q.select("source", "pages", "characters", "non_whitespace", F.size("sparse_pages").cast("long").alias("sparse"), F.size("fused_pages").cast("long").alias("fused"), "control_ratio", "coverage")
+
+
+@query(r"""
+WITH l AS (SELECT source, doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents),
+e AS (SELECT source, doc_id, unnest(list_distinct(list_transform(list_filter(list_concat(l[1:3], l[greatest(len(l) - 2, 1):]), lambda x: NOT regexp_matches(x, '^[-–—\s]*(?:[Pp][Aa][Gg][Ee]\s+)?[0-9]{1,4}[-–—\s]*$') AND NOT regexp_matches(x, '(?i)^\s*(?:chapter|appendix|ch\.|app\.)\s*[0-9ivxlca-z]+')),
+  lambda x: regexp_replace(replace(lower(x), 'ß', 'ss'), '[^\p{L}\p{M}\p{N}_]+', '', 'g')))) AS line FROM l),
+n AS (SELECT source, count(DISTINCT doc_id) AS of FROM documents GROUP BY source)
+SELECT source, line, count(*) AS pages FROM e JOIN n USING (source) WHERE line <> '' GROUP BY source, line, of HAVING count(*) >= greatest(2, of // 8)""")
+def repeated_margins(spark, d):
+    return documents.repeated_margin_lines(read(spark, d, "documents"), "source", "doc_id", "text")
+
+
+@query()
+def chunk_windows(spark, d):
+    """Chunks of documents under two headings each, with exact offsets; no SQL form, tested by slicing."""
+    docs = read(spark, d, "documents").withColumn("text", F.concat(F.lit("# "), "source", F.lit("\n## "), F.col("doc_id").cast("string"), F.lit("\n"), "text"))
+    return chunking.parse_chunks(docs, "doc_id", "text").select("doc_id", "section", "ordinal", "start", "end", "tokens", F.sha2("content", 256).alias("content_sha256"))
+
+
+@query()
+def module_chunks(spark, d):
+    """Sources as chapters' titles, documents as scenes with page markers."""
+    body = F.concat(F.lit("<!-- page: 1 -->\n# "), "source", F.lit("\n## "), F.col("doc_id").cast("string"), F.lit("\n"), "text")
+    return chunking.parse_modules(read(spark, d, "documents").withColumn("text", body), "doc_id", "text").drop("content")
+
+
+@query("""
+WITH l AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents)
+SELECT doc_id, CASE WHEN len(l) > 0 AND len(list_filter(l, lambda x: ltrim(x)[1] = '|')) = len(l) THEN 'table' WHEN ltrim(text)[1] = '>' THEN 'blockquote'
+  WHEN len(l) > 0 AND len(list_filter(l, lambda x: ltrim(x)[1] IN ('-', '*'))) >= len(l) / 2 THEN 'list' ELSE 'narrative' END AS kind FROM l""")
+def chunk_type(spark, d):
+    return read(spark, d, "documents").select("doc_id", text.chunk_type(F.col("source"), F.col("text")).alias("kind"))
+
+
+@query("SELECT sha256(text) AS address, count(*) AS copies, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
+def content_copies(spark, d):
+    """Groups of documents by content address."""
+    own = read(spark, d, "documents").groupBy(F.sha2("text", 256).alias("address")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"))
+    return own.where("copies > 1")
+
+
+@query("SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS compact, greatest(1, length(p_type) // 4) AS tokens FROM part")
+def text_keys(spark, d):
+    return read(spark, d, "part").select("p_partkey", text.ascii_slug(F.col("p_name")).alias("slug"), text.compact_ascii_key(F.col("p_name")).alias("compact"), text.estimated_tokens(F.col("p_type")).alias("tokens"))
+
+
+@query("""
+WITH k AS (SELECT p_partkey, trim(regexp_replace(lower(p_brand || '/' || p_type), '[^a-z0-9]+', '-', 'g'), '-') AS k FROM part),
+n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY p_partkey) AS n FROM k)
+SELECT p_partkey, CASE WHEN n = 1 THEN k ELSE k || '--' || n END AS stable_key FROM n""")
+def stable_keys(spark, d):
+    """Brands and types as heading paths."""
+    own = read(spark, d, "part").select("p_partkey", text.stable_key(F.array("p_brand", "p_type"), F.col("p_name")).alias("k"))
+    return ledger.occurrence_keys(own, [], "k", ["p_partkey"]).select("p_partkey", "stable_key")
+
+
+@query("SELECT doc_id, trim(regexp_replace(translate(text, '‘’“”‐‑‒–—', '''''\"\"-----'), '\\s+', ' ', 'g')) LIKE '%' || trim(regexp_replace(substr(text, 11, 40), '\\s+', ' ', 'g')) || '%' AS held FROM documents WHERE substr(text, 11, 40) NOT LIKE '%\\%%' ESCAPE '\\' AND substr(text, 11, 40) NOT LIKE '%\\_%' ESCAPE '\\'")
+def evidence_containment(spark, d):
+    """Each document bound to an excerpt of itself, compared after cleaning; excerpts with SQL wildcards are left to tests."""
+    own = read(spark, d, "documents").withColumn("excerpt", F.substring("text", 11, 40)).where(~F.col("excerpt").rlike("[%_]"))
+    return own.select("doc_id", F.contains(text.clean_evidence(F.col("text")), text.clean_evidence(F.col("excerpt"))).alias("held"))
+
+
+@query("SELECT event_id, sha256(replace(props, ' ', '')) AS address FROM events")
+def json_addresses(spark, d):
+    """Content addresses of the canonical JSON of event properties."""
+    return read(spark, d, "events").select("event_id", hashing.json_sha256(F.col("props")).alias("address"))
+
+
+@query("SELECT event_id, sha256(replace(props, ' ', '')) AS id, length(replace(props, ' ', '')) AS size, replace(props, ' ', '') AS value FROM events")
+def state_documents(spark, d):
+    """Event properties as compressed state documents, encoded, decoded and verified."""
+    doc = read(spark, d, "events").select("event_id", hashing.encoded_document(F.col("props")).alias("e"))
+    back = doc.withColumn("d", hashing.decoded_document("e.id", "e.codec", "e.size", "e.payload"))
+    return back.select("event_id", "e.id", "e.size", "d.value")
+
+
+@query("SELECT doc_id, source || '/section-0/chunk-' || doc_id || '-' || substr(sha256(text), 1, 16) AS chunk_key FROM documents")
+def chunk_keys(spark, d):
+    return read(spark, d, "documents").select("doc_id", hashing.chunk_key(F.col("source"), F.lit(0), F.col("doc_id"), F.col("text")).alias("chunk_key"))
+
+
+# ------------------------------------------------------------------ ledgers
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1")
+def branch_heads(spark, d):
+    """Orders as revisions of their customer."""
+    own = read(spark, d, "orders").select("o_custkey", F.struct("o_orderdate", "o_orderkey").alias("v"), "o_orderkey", "o_orderstatus", "o_totalprice")
+    return ledger.latest(own, ["o_custkey"], "v").select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+def _events(spark, d):
+    """Events with derived branches, snapshots and scopes."""
+    e = F.col("event_id")
+    scope = F.when(F.col("event_type") == "view", "public").when(F.col("event_type") == "click", "party").when(F.col("event_type") == "signup", "actor").otherwise("dm")
+    return read(spark, d, "events").select(
+        "event_id", F.col("event_id").alias("sequence"), "event_type", "user_id", "value", "ts",
+        F.concat(F.lit("b"), (e % 3).cast("string")).alias("branch_id"), F.when(e % 5 < 3, F.concat(F.lit("s"), (e % 4).cast("string"))).alias("committed_snapshot_id"), scope.alias("audience_scope"),
+    )
+
+
+_EVENTS = "SELECT *, event_id AS sequence, 'b' || event_id % 3 AS branch_id, CASE WHEN event_id % 5 < 3 THEN 's' || event_id % 4 END AS committed_snapshot_id, CASE event_type WHEN 'view' THEN 'public' WHEN 'click' THEN 'party' WHEN 'signup' THEN 'actor' ELSE 'dm' END AS audience_scope FROM events"
+
+
+def _visible(spark, d):
+    own = _events(spark, d)
+    return ledger.visible_events(own, own.where(F.col("committed_snapshot_id").isNotNull()).select(F.col("committed_snapshot_id").alias("snapshot_id"), "event_id"), "b1", "s2")
+
+
+_VISIBLE = f"SELECT * FROM ({_EVENTS}) WHERE committed_snapshot_id = 's2' OR (branch_id = 'b1' AND committed_snapshot_id IS NULL)"
+
+
+@query(f"SELECT event_id, branch_id, committed_snapshot_id FROM ({_VISIBLE})")
+def event_visibility(spark, d):
+    return _visible(spark, d).select("event_id", "branch_id", "committed_snapshot_id")
+
+
+@query(f"SELECT event_id, audience_scope FROM ({_VISIBLE}) WHERE audience_scope IN ('public', 'party', 'player') OR (audience_scope = 'actor' AND user_id = 7)")
+def audience_events(spark, d):
+    """Users as actors."""
+    own = _visible(spark, d)
+    return ledger.audience_events(own, "player", _events(spark, d).where("user_id = 7").select("event_id")).select("event_id", "audience_scope")
+
+
+@query(f"SELECT event_id, event_type, user_id FROM ({_VISIBLE}) ORDER BY sequence DESC LIMIT 500")
+def event_tail(spark, d):
+    return ledger.tail(_visible(spark, d), 500, ["sequence", "event_id"]).select("event_id", "event_type", "user_id")
+
+
+@query("SELECT o_orderkey, string_agg(p, ',' ORDER BY p) AS participants FROM (SELECT DISTINCT l_orderkey AS o_orderkey, l_returnflag || ':' || l_suppkey AS p FROM lineitem) GROUP BY o_orderkey")
+def participants(spark, d):
+    """Suppliers as participants of orders, return flags as roles."""
+    own = ledger.participant_map(read(spark, d, "lineitem"), "l_orderkey", "l_returnflag", "l_suppkey")
+    joined = F.array_join(F.array_sort(F.transform("participants", lambda p: F.concat_ws(":", p["role"], p["actor"].cast("string")))), ",")
+    return own.select(F.col("l_orderkey").alias("o_orderkey"), joined.alias("participants"))
+
+
+_HEADS = [("F", "O"), ("O", "P")]
+
+
+@query("""
+WITH a AS (SELECT o_custkey, max(o_orderkey) AS v FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1), b AS (SELECT o_custkey, max(o_orderkey) AS v FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1)
+SELECT 'facts' AS ledger, CAST(coalesce(a.o_custkey, b.o_custkey) AS VARCHAR) AS key, CASE WHEN b.v IS NULL THEN 'left_only' WHEN a.v IS NULL THEN 'right_only' ELSE 'changed' END AS change
+FROM a FULL JOIN b ON a.o_custkey = b.o_custkey WHERE a.v IS DISTINCT FROM b.v""")
+def branch_compare(spark, d):
+    """Heads of customers on a branch of closed orders and one of open orders."""
+    o = read(spark, d, "orders")
+    heads = [o.where(F.col("o_orderstatus") != s).groupBy("o_custkey").agg(F.max("o_orderkey").alias("v")) for s in ("O", "F")]
+    return ledger.compare_branches({"facts": (heads[0], heads[1], "o_custkey", "v")})
+
+
+@query("""
+WITH o AS (SELECT p_name || '/' || p_partkey AS stable_key, p_brand AS c FROM part WHERE p_partkey % 7 <> 0), n AS (SELECT p_name || '/' || p_partkey AS stable_key, CASE WHEN p_partkey % 5 = 0 THEN p_brand || '!' ELSE p_brand END AS c FROM part WHERE p_partkey % 3 <> 0),
+p AS (SELECT p_name || '/' || p_partkey AS stable_key, count(*) AS progress FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
+SELECT stable_key, CASE WHEN n.c IS NULL THEN 'left_only' WHEN o.c IS NULL THEN 'right_only' WHEN o.c = n.c THEN 'unchanged' ELSE 'changed' END AS change, coalesce(progress, 0) AS progress
+FROM o FULL JOIN n USING (stable_key) LEFT JOIN p USING (stable_key)""")
+def scene_diff(spark, d):
+    """Parts as scenes of two revisions, line items as progress."""
+    key = F.concat_ws("/", "p_name", F.col("p_partkey").cast("string"))
+    part = read(spark, d, "part").select("p_partkey", key.alias("stable_key"), "p_brand")
+    old = part.where("p_partkey % 7 <> 0").select("stable_key", F.col("p_brand").alias("checksum"))
+    new = part.where("p_partkey % 3 <> 0").select("stable_key", F.when(F.col("p_partkey") % 5 == 0, F.concat("p_brand", F.lit("!"))).otherwise(F.col("p_brand")).alias("checksum"))
+    progress = read(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select("stable_key")
+    return ingestion.scene_diff(old, new, progress)
+
+
+@query("""
+WITH RECURSIVE n AS (SELECT conv_id || ':' || turn AS id, CASE WHEN turn > 0 THEN conv_id || ':' || (turn - 1) END AS parent FROM conversations),
+s AS (SELECT max_by(conv_id || ':' || turn, turn * 1000000 + conv_id) AS id FROM conversations),
+w(id, depth) AS (SELECT id, 0 FROM s UNION ALL SELECT n.parent, depth + 1 FROM w JOIN n ON n.id = w.id WHERE n.parent IS NOT NULL)
+SELECT id, CAST(depth AS INTEGER) AS depth, CASE WHEN id NOT IN (SELECT id FROM n) THEN 'missing' END AS error FROM w""")
+def snapshot_lineage(spark, d):
+    """The longest conversation as a chain of snapshots."""
+    c = read(spark, d, "conversations")
+    key = lambda t: F.concat_ws(":", F.col("conv_id").cast("string"), t.cast("string"))
+    nodes = c.select(key(F.col("turn")).alias("id"), F.when(F.col("turn") > 0, key(F.col("turn") - 1)).alias("parent_id"))
+    start = c.agg(F.max_by(key(F.col("turn")), F.col("turn") * 1000000 + F.col("conv_id")).alias("id")).first()
+    return ledger.lineage(nodes, start.id if start and start.id else "")
+
+
+@query("""
+SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY (role = 'assistant') DESC, turn DESC, text DESC) AS n FROM conversations WHERE role IN ('assistant', 'user')) WHERE n = 1""")
+def scope_fallback(spark, d):
+    """The last turn of the assistant, else of the user, as the scope and its fallback."""
+    own = read(spark, d, "conversations").withColumnRenamed("role", "scope_id")
+    return ledger.scoped(own, "assistant", ["conv_id"], fallback="user", order=["turn", "text"]).select("conv_id", "turn", F.col("scope_id").alias("role"))
+
+
+@query(f"""
+WITH f AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'retired' ELSE 'active' END AS status, o_orderkey + o_custkey AS ref FROM orders), k AS (SELECT l_returnflag AS s, l_orderkey * 3 AS ref FROM lineitem)
+SELECT (SELECT count(*) FROM f) AS facts_total, (SELECT count(*) FROM f WHERE status = 'active') AS facts_active, (SELECT count(*) FROM f WHERE ref NOT IN (SELECT event_id FROM events)) AS orphan_fact_refs,
+  (SELECT count(*) FROM k) AS knowledge_total, (SELECT count(*) FROM k WHERE s = 'R') AS knowledge_inactive, (SELECT count(*) FROM k WHERE ref NOT IN (SELECT event_id FROM events)) AS orphan_knowledge_refs,
+  (SELECT count(*) FROM ({_EVENTS}) WHERE branch_id = 'b1') AS events_total, (SELECT count(*) FROM ({_EVENTS}) WHERE branch_id = 'b1' AND committed_snapshot_id IS NULL) AS events_unsnapshotted, (SELECT max(event_id) FROM ({_EVENTS}) WHERE branch_id = 'b1') AS latest_sequence""")
+def diagnostics(spark, d):
+    """Orders as facts, line items as knowledge."""
+    facts = read(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "F", "retired").otherwise("active").alias("status"), F.array(F.col("o_orderkey") + F.col("o_custkey")).alias("source_event_ids"))
+    known = read(spark, d, "lineitem").select(F.when(F.col("l_returnflag") == "R", "forgotten").otherwise("known").alias("epistemic_status"), (F.col("l_orderkey") * 3).alias("source_event_id"))
+    snapshots = read(spark, d, "region").select(F.col("r_name").alias("id"), F.col("r_regionkey").alias("slot"))
+    own = ledger.diagnostics(facts, known, _events(spark, d).where("branch_id = 'b1'"), _events(spark, d), snapshots)
+    return own.select("facts_total", "facts_active", "orphan_fact_refs", "knowledge_total", "knowledge_inactive", "orphan_knowledge_refs", "events_total", "events_unsnapshotted", "latest_sequence")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_suppkey * 11 AS ref FROM lineitem WHERE l_suppkey * 11 NOT IN (SELECT o_orderkey FROM orders)")
+def orphan_refs(spark, d):
+    own = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") * 11).alias("ref"))
+    return ledger.orphans(own, read(spark, d, "orders"), "ref", "o_orderkey").select("l_orderkey", "l_linenumber", "ref")
+
+
+@query("""
+WITH b AS (SELECT user_id, count(*) AS v FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1), a AS (SELECT user_id, count(*) AS v FROM events WHERE event_type <> 'error' GROUP BY 1)
+SELECT user_id, CASE WHEN b.v IS NULL THEN 'added' WHEN a.v IS NULL THEN 'removed' ELSE 'changed' END AS change, b.v AS before, a.v AS after FROM a FULL JOIN b USING (user_id) WHERE a.v IS DISTINCT FROM b.v""")
+def recap_delta(spark, d):
+    """Event counts by user, before and after."""
+    e = read(spark, d, "events")
+    before = e.where("ts < timestamp '2024-01-15'").groupBy("user_id").agg(F.count("*").alias("v"))
+    return ledger.recap(before, e.where("event_type <> 'error'").groupBy("user_id").agg(F.count("*").alias("v")), "user_id", "v")
+
+
+@query("""
+WITH RECURSIVE c AS (SELECT conv_id, turn, length(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) % 7 DESC, role, turn) AS n FROM conversations),
+w(conv_id, n, used, took) AS (SELECT conv_id, 0::BIGINT, 0::BIGINT, []::BIGINT[] FROM c GROUP BY conv_id
+  UNION ALL SELECT w.conv_id, c.n, CASE WHEN used + size <= 1000 THEN used + size ELSE used END, CASE WHEN used + size <= 1000 THEN list_append(took, turn) ELSE took END FROM w JOIN c ON c.conv_id = w.conv_id AND c.n = w.n + 1)
+SELECT conv_id, used, array_to_string(took, ',') AS picked FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) AS r FROM w) WHERE r = 1""")
+def budget_fold(spark, d):
+    """Turns as candidates for a budget of each conversation."""
+    own = read(spark, d, "conversations").select("conv_id", (F.length("text") % 7).cast("double").alias("score"), F.col("role").alias("ledger"), F.col("turn").alias("index"), F.length("text").alias("size"), F.col("turn").alias("item"))
+    out = ledger.budget_fold(own, ["conv_id"], budget=1000)
+    return out.select("conv_id", "used", F.array_join(F.transform("picked", lambda p: p["item"].cast("string")), ",").alias("picked"))
+
+
+def _revisions(spark, d):
+    l = read(spark, d, "lineitem")  # noqa: E741
+    return l.select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"), F.col("l_orderkey").cast("string").alias("group_id"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("sequence"), F.when(F.col("l_orderkey") % 100 < 90, "applied").otherwise("undone").alias("status"), F.lit(True).alias("reversible"), F.concat(F.lit("b"), (F.col("l_orderkey") % 2).cast("string")).alias("branch_id"))
+
+
+_REVISIONS = "SELECT l_orderkey || '-' || l_linenumber AS id, CAST(l_orderkey AS VARCHAR) AS group_id, l_orderkey * 100 + l_linenumber AS sequence, CASE WHEN l_orderkey % 100 < 90 THEN 'applied' ELSE 'undone' END AS status, 'b' || l_orderkey % 2 AS branch_id FROM lineitem"
+
+
+@query(f"WITH r AS (SELECT * FROM ({_REVISIONS}) WHERE branch_id = 'b0' AND status = 'applied') SELECT id, sequence FROM r WHERE group_id = (SELECT max_by(group_id, sequence) FROM r)")
+def undo_cursor(spark, d):
+    """Line items as revisions, orders as mutation groups."""
+    return ledger.undo_group(_revisions(spark, d), "b0").select("id", "sequence")
+
+
+@query(f"WITH r AS (SELECT * FROM ({_REVISIONS}) WHERE branch_id = 'b1'), c AS (SELECT coalesce(max(sequence) FILTER (status = 'applied'), 0) AS c FROM r), g AS (SELECT group_id, min(sequence) AS first FROM r WHERE status = 'undone' GROUP BY 1) SELECT id, sequence FROM r WHERE group_id = (SELECT min_by(group_id, first) FROM g, c WHERE first > c)")
+def redo_cursor(spark, d):
+    return ledger.redo_group(_revisions(spark, d), "b1").select("id", "sequence")
+
+
+@query("""
+WITH e AS (SELECT a.n_nationkey AS a, b.n_nationkey AS b, (a.n_nationkey + b.n_nationkey) % 2 = 0 AS bi, a.n_nationkey * 100 + b.n_nationkey AS ordinal, a.n_nationkey > b.n_nationkey AS level FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey)
+SELECT a, b, bi AS bidirectional, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN bi THEN least(a, b) ELSE a END, CASE WHEN bi THEN greatest(a, b) ELSE b END, bi ORDER BY level DESC, ordinal DESC) AS n FROM e) WHERE n = 1""")
+def edge_merge(spark, d):
+    """Nations of a region as connected places; edges to smaller keys are reviewed."""
+    n = read(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    e = n.select(F.col("n_nationkey").alias("a"), "n_regionkey").join(n.select(F.col("n_nationkey").alias("b"), "n_regionkey"), "n_regionkey").where("a <> b")
+    e = e.select("a", "b", ((F.col("a") + F.col("b")) % 2 == 0).alias("bidirectional"), (F.col("a") * 100 + F.col("b")).alias("ordinal"))
+    return ledger.merge_edges(e.where("a < b"), e.where("a > b"))
+
+
+@query("SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS orders FROM customer")
+def child_counts(spark, d):
+    return ledger.counts_per_parent(read(spark, d, "customer").select("c_custkey"), {"orders": read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))}, "c_custkey")
+
+
+@query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) + user_id * 10 AS sequence FROM events")
+def next_sequences(spark, d):
+    """Events numbered on from each user's last sequence."""
+    e = read(spark, d, "events")
+    held = e.select("user_id").distinct().withColumn("sequence", F.col("user_id") * 10)
+    return ledger.next_sequence(e.select("event_id", "user_id", "ts"), held, "user_id", ["ts", "event_id"]).select("event_id", "user_id", F.col("sequence").cast("long").alias("sequence"))
+
+
+# ------------------------------------------------------------------ contracts and access
+
+
+@query("""
+WITH a AS (SELECT 'p.' || s_suppkey AS pack_id, s_nationkey AS n, s_suppkey AS k FROM supplier WHERE s_suppkey % 4 <> 0), d AS (SELECT 'p.' || s_suppkey AS pack_id, 'p.' || (s_suppkey + 1) AS dep FROM supplier WHERE s_suppkey % 3 = 0),
+c AS (SELECT 'p.' || s_suppkey AS pack_id, 'p.' || (s_suppkey * 2) AS o FROM supplier WHERE s_suppkey % 5 = 0)
+SELECT pack_id AS subject, 'the locked version is unavailable' AS problem FROM a WHERE n % 6 = 0 OR k % 11 = 0
+UNION ALL SELECT pack_id, 'missing dependency ' || dep FROM d WHERE pack_id IN (SELECT pack_id FROM a) AND dep NOT IN (SELECT pack_id FROM a)
+UNION ALL SELECT pack_id, 'conflicts with ' || o FROM c WHERE pack_id IN (SELECT pack_id FROM a) AND o IN (SELECT pack_id FROM a)""")
+def ruleset_violations(spark, d):
+    """Suppliers as rule packs."""
+    s = read(spark, d, "supplier").select(F.concat(F.lit("p."), F.col("s_suppkey").cast("string")).alias("pack_id"), "s_suppkey", "s_nationkey")
+    one, none = F.lit("1.0.0").alias("version"), F.lit(None).cast("string")
+    active = s.where("s_suppkey % 4 <> 0").select("pack_id", one, F.lit("x").alias("checksum"))
+    versions = s.select("pack_id", one, F.when(F.col("s_suppkey") % 11 == 0, "y").otherwise("x").alias("checksum"), F.when(F.col("s_nationkey") % 6 == 0, "draft").otherwise("installed").alias("status"), F.array().cast("array<string>").alias("editions"))
+    deps = s.where("s_suppkey % 3 = 0").select("pack_id", F.concat(F.lit("p."), (F.col("s_suppkey") + 1).cast("string")).alias("depends_on"), none.alias("version"), none.alias("checksum"))
+    clash = s.where("s_suppkey % 5 = 0").select("pack_id", F.concat(F.lit("p."), (F.col("s_suppkey") * 2).cast("string")).alias("conflicts_with"))
+    mechanics = s.select("pack_id", F.concat("pack_id", F.lit(".m")).alias("id"), F.lit("h").alias("checksum"), none.alias("patch_target"), none.alias("patch_checksum"))
+    return contracts.resolve_ruleset(active, versions, deps, clash, mechanics)[0]
+
+
+@query("SELECT subject, problem FROM (SELECT p_brand AS subject, CASE WHEN NOT regexp_matches(lower(p_brand), '^[a-z0-9]+([._-][a-z0-9]+)+$') THEN 'the brand is no identifier' END AS problem, p_partkey FROM part UNION ALL SELECT p_brand, CASE WHEN p_size > 45 THEN 'too large' END, p_partkey FROM part) WHERE problem IS NOT NULL")
+def part_violations(spark, d):
+    """Checks of every row in one scan."""
+    return contracts.violations(read(spark, d, "part"), "p_brand", {"the brand is no identifier": F.lower("p_brand").rlike(contracts.PACK_ID), "too large": F.col("p_size") <= 45})
+
+
+_STEP = "['staged', 'inspected', 'extracted', 'review_required', 'reviewed', 'compiled', 'validated', 'installed', 'imported', 'activated', 'failed']"
+
+
+@query(f"""SELECT event_id, f, t FROM (SELECT event_id, {_STEP}[1 + event_id % 11] AS f, {_STEP}[1 + user_id % 11] AS t FROM events)
+WHERE f || '>' || t NOT IN ({", ".join(f"'{a}>{b}'" for a, bs in contracts.TRANSITIONS.items() for b in bs)})""")
+def state_machine(spark, d):
+    """Events as steps of import jobs."""
+    states = F.array(*[F.lit(s) for s in ("staged", "inspected", "extracted", "review_required", "reviewed", "compiled", "validated", "installed", "imported", "activated", "failed")])
+    own = read(spark, d, "events").select("event_id", F.element_at(states, (F.col("event_id") % 11 + 1).cast("int")).alias("f"), F.element_at(states, (F.col("user_id") % 11 + 1).cast("int")).alias("t"))
+    return contracts.illegal_transitions(own, "f", "t")
+
+
+@query("""
+WITH r AS (SELECT event_id, event_type AS scope, CAST(user_id AS VARCHAR) AS key, sha256(CAST(CAST(floor(value) AS BIGINT) % 2 AS VARCHAR)) AS h FROM events),
+old AS (SELECT event_type AS scope, CAST(user_id AS VARCHAR) AS key, sha256('0') AS h FROM events WHERE user_id % 4 = 0 GROUP BY 1, 2),
+first AS (SELECT scope, key, min_by(h, event_id) AS h, min(event_id) AS event_id FROM r GROUP BY 1, 2)
+SELECT r.event_id, CASE WHEN old.h IS NOT NULL THEN CASE WHEN old.h = r.h THEN 'replay' ELSE 'conflict' END WHEN r.event_id = first.event_id THEN 'new' WHEN r.h = first.h THEN 'repeat' ELSE 'conflict' END AS outcome
+FROM r LEFT JOIN old USING (scope, key) JOIN first USING (scope, key)""")
+def idempotency(spark, d):
+    """Events as requests, keyed by type and user."""
+    e = read(spark, d, "events")
+    r = e.select("event_id", F.col("event_type").alias("scope"), F.col("user_id").cast("string").alias("key"), F.sha2((F.floor("value").cast("long") % 2).cast("string"), 256).alias("request_sha256"), F.col("event_id").alias("at"))
+    old = e.where("user_id % 4 = 0").select(F.col("event_type").alias("scope"), F.col("user_id").cast("string").alias("key"), F.sha2(F.lit("0"), 256).alias("request_sha256")).distinct()
+    return contracts.idempotent_write(r, old).select("event_id", "outcome")
+
+
+@query("""
+SELECT doc_id AS job_id, CASE WHEN quality = 0 AND toxic = 1 THEN 'failed' WHEN vec_id IS NULL THEN 'failed' ELSE 'deliver' END AS outcome,
+  CASE WHEN vec_id IS NULL AND NOT (toxic = 1 AND quality = 0) THEN 'the entity is gone' WHEN toxic = 1 AND quality = 0 THEN 'unsupported entity type other' END AS error FROM labels LEFT JOIN embeddings ON vec_id = doc_id""")
+def outbox(spark, d):
+    """Labels as jobs, embeddings as entities."""
+    jobs = read(spark, d, "labels").select(F.col("doc_id").alias("job_id"), F.col("doc_id").alias("entity_id"), F.when((F.col("toxic") == 1) & (F.col("quality") == 0), "other").otherwise("rule_chunk").alias("entity_type"))
+    return contracts.classify_jobs(jobs, read(spark, d, "embeddings").select(F.col("vec_id").alias("entity_id"), "embedding")).select("job_id", "outcome", "error")
+
+
+@query("SELECT p_brand AS pack_id, p_type AS key, CASE WHEN count(DISTINCT p_size) = 1 THEN max(p_size) END AS value, count(DISTINCT p_size) > 1 AS conflict FROM part GROUP BY 1, 2")
+def option_merge(spark, d):
+    """Parts as owners of options."""
+    own = read(spark, d, "part").select(F.col("p_brand").alias("pack_id"), F.col("p_partkey").alias("owner"), F.col("p_type").alias("key"), F.col("p_size").alias("value"))
+    return contracts.merged_options(own).drop("owners")
+
+
+@query("""
+SELECT c_custkey, o_orderkey, c_custkey = o_custkey AND (c_mktsegment = 'BUILDING' OR (o_orderstatus = 'F')) AS allowed FROM (SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE o_custkey + 1 END AS asker FROM orders) JOIN customer ON c_custkey = asker""")
+def actor_access(spark, d):
+    """Customers as principals, orders as actors; buyers of one segment are masters, closed orders are granted to their customer."""
+    o, c = read(spark, d, "orders"), read(spark, d, "customer")
+    asked = o.select(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).otherwise(F.col("o_custkey") + 1).alias("principal_id"), F.col("o_custkey").alias("campaign_id"), F.col("o_orderkey").alias("actor_id"), F.lit(True).alias("control"), F.lit(False).alias("private"))
+    asked = asked.join(c.select(F.col("c_custkey").alias("principal_id")), "principal_id", "left_semi")
+    members = c.select(F.col("c_custkey").alias("campaign_id"), F.col("c_custkey").alias("principal_id"), F.when(F.col("c_mktsegment") == "BUILDING", "owner").otherwise("player").alias("role"))
+    grants = o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("campaign_id"), F.col("o_custkey").alias("principal_id"), F.col("o_orderkey").alias("actor_id"), F.lit(True).alias("can_control"), F.lit(False).alias("can_view_private"))
+    actors = o.select(F.col("o_custkey").alias("campaign_id"), F.col("o_orderkey").alias("actor_id"))
+    return access.may_use_actor(asked, members, grants, actors).select(F.col("principal_id").alias("c_custkey"), F.col("actor_id").alias("o_orderkey"), "allowed")
+
+
+@query("SELECT source || '/' || (doc_id % 10) AS source_key, sha256(text) AS checksum, CASE WHEN doc_id % 3 = 0 THEN 'skip' WHEN doc_id % 3 = 1 THEN 'retire' ELSE 'add' END AS action FROM documents")
+def source_plan(spark, d):
+    """Documents as incoming sources; a third is there unchanged, a third in another revision."""
+    docs = read(spark, d, "documents")
+    incoming = docs.select(F.col("doc_id").cast("string").alias("system_id"), F.concat_ws("/", "source", (F.col("doc_id") % 10).cast("string")).alias("source_key"), "text")
+    held = docs.where("doc_id % 3 < 2").select(F.col("doc_id").cast("string").alias("system_id"), F.concat_ws("/", "source", (F.col("doc_id") % 10).cast("string")).alias("source_key"), F.when(F.col("doc_id") % 3 == 0, F.sha2("text", 256)).otherwise("old").alias("checksum"), F.lit(True).alias("active"))
+    return ingestion.plan_sources(incoming, held).select("source_key", "checksum", "action")
