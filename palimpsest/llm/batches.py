@@ -41,7 +41,10 @@ def durable(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp("-checkpoints"))
-    return df.checkpoint()
+    spark = df.sparkSession
+    rows = df.checkpoint()._jdf.queryExecution().toRdd()
+    # A plan of its own: the checkpoint's keeps constraints on columns that are gone, on which unions fail.
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, spark._jsparkSession.parseDataType(df.schema.json()), False), spark)
 
 
 def without(df: DataFrame, names: list[str]) -> DataFrame:

@@ -54,22 +54,25 @@ _CANDIDATE = "struct<kind:int,base:boolean,start:bigint,end:bigint,m:string,befo
 
 
 def _spans(kind: int, guard: str, pattern: str, candidate: str, base: str) -> str:
-    """SQL for the candidates that one pattern gives in the text t, in order; offsets count code points."""
+    """SQL for the candidates that one pattern gives in the text __t, in order; offsets count code points."""
     m = "x.m"
     step = f"""struct(acc.pos + length(x.p) + length(x.m) AS pos, if({candidate.replace("m,", f"{m},")},
       concat(acc.found, array(named_struct('kind', {kind}, 'base', {base.replace("m rlike", f"{m} rlike").replace("(m,", f"({m},")}, 'start', acc.pos + length(x.p), 'end', acc.pos + length(x.p) + length(x.m), 'm', x.m, 'before', right(x.p, {CONTEXT})))),
       acc.found) AS found)"""
-    pairs = f"zip_with(split(t, '{pattern}', -1), regexp_extract_all(t, '{pattern}', 0), (p, m) -> struct(p, m))"
+    pairs = f"zip_with(split(__t, '{pattern}', -1), regexp_extract_all(__t, '{pattern}', 0), (p, m) -> struct(p, m))"
     empty = f"cast(array() AS array<{_CANDIDATE}>)"
-    return f"if({guard.format(t='t')}, aggregate(filter({pairs}, x -> x.m is not null), struct(0L AS pos, {empty} AS found), (acc, x) -> {step}).found, {empty})"
+    return f"if({guard.format(t='__t')}, aggregate(filter({pairs}, x -> x.m is not null), struct(0L AS pos, {empty} AS found), (acc, x) -> {step}).found, {empty})"
 
 
 def candidates(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Add `candidates`, with the labelers' votes; a null text has none."""
-    kept = without(docs, ["candidates"]).columns if keep is None else keep
-    own = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
-    found = own.withColumn("found", F.expr("concat(" + ", ".join(_spans(*p) for p in PATTERNS) + ")"))
-    votes = f"transform(found, c -> struct(c.kind, c.base, c.start, c.end, array({', '.join(LABELERS)}) AS votes))"
+    """Add `candidates`, with the labelers' votes; a null text has none.
+
+    Columns of `docs` named candidates, base or added, in any case, give way.
+    """
+    kept = without(docs, ["candidates", "base", "added"]).columns if keep is None else keep
+    own = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__t"))
+    found = own.withColumn("__found", F.expr("concat(" + ", ".join(_spans(*p) for p in PATTERNS) + ")"))
+    votes = f"transform(__found, c -> struct(c.kind, c.base, c.start, c.end, array({', '.join(LABELERS)}) AS votes))"
     return found.select(*[F.col(f"`{c}`") for c in kept], F.expr(votes).alias("candidates"))
 
 
@@ -159,14 +162,16 @@ def masked(docs: DataFrame, *, text: str = "text") -> DataFrame:
     Overlapping spans are replaced as one, by the name of the first.  All other
     columns stay; a null text stays null.
     """
-    columns = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{text}`").cast("string").alias("__text"))
     # Matching twice is cheaper than keeping all texts: the fit needs only the candidates' counts.
-    found = spans(candidates(docs, text=text), fit(candidates(docs, text=text, keep=[])))
+    weights = fit(candidates(rows, text="__text", keep=[]))
+    found = spans(candidates(rows, text="__text", keep=["__row", "__text"]), weights)
     names = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
     ordered = "array_sort(transform(concat(base, added), s -> struct(s.start AS start, s.end AS end, s.kind AS kind)))"
-    step = f"struct(greatest(acc.pos, s.end) AS pos, if(s.start < acc.pos, acc.out, concat(acc.out, substring(`{text}`, int(acc.pos + 1), int(s.start - acc.pos)), '<', {names}[s.kind], '>')) AS out)"
-    whole = f"aggregate({ordered}, struct(0L AS pos, '' AS out), (acc, s) -> {step}, acc -> concat(acc.out, substring(`{text}`, int(acc.pos + 1))))"
-    return found.withColumn(text, F.expr(f"if(size(base) + size(added) = 0, `{text}`, {whole})")).select(*[F.col(f"`{c}`") for c in columns])
+    step = f"struct(greatest(acc.pos, s.end) AS pos, if(s.start < acc.pos, acc.out, concat(acc.out, substring(__text, int(acc.pos + 1), int(s.start - acc.pos)), '<', {names}[s.kind], '>')) AS out)"
+    whole = f"aggregate({ordered}, struct(0L AS pos, '' AS out), (acc, s) -> {step}, acc -> concat(acc.out, substring(__text, int(acc.pos + 1))))"
+    new = F.expr(f"if(size(base) + size(added) = 0, __text, {whole})")
+    return found.select(*[(new if c == text else F.col("__row").getField(c)).alias(c) for c in docs.columns])
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
