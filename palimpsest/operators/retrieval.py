@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.scoring import RANK_CONSTANT, cosine_similarity, lexical_score, structured_score
 from palimpsest.functions.text import CJK, LATIN_WORD, fold, terms
+from palimpsest.sources.tables import durable
 
 #: Saturation and length normalisation of BM25.
 K1, B = 1.2, 0.75
@@ -105,11 +106,24 @@ def exact_matches(docs: DataFrame, queries: DataFrame, titles: list[str], *, doc
 
 
 def ranked(scored: DataFrame, channel: str, score: str | None = "score", limit: int | None = None) -> DataFrame:
-    """query_id, doc_id, channel and rank of one channel; without a score the order is that of the ids."""
-    order = [F.desc(score), "doc_id"] if score else ["doc_id"]
-    out = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
-    out = out.where(F.col("rank") <= limit) if limit else out
-    return out.select("query_id", "doc_id", F.lit(channel).alias("channel"), "rank")
+    """query_id, doc_id, channel and rank of one channel; without a score the order is that of the ids.
+
+    With a limit, partitions give their own best rows.  Without one all rows are
+    ranked: they are dealt out by range of (query, score, id), so that one query
+    may have any number of rows, and each partition numbers its own on from
+    those before it.
+    """
+    order = ["query_id", *([F.desc(score)] if score else []), "doc_id"]
+    if limit:
+        out = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order[1:]))).where(F.col("rank") <= limit)
+        return out.select("query_id", "doc_id", F.lit(channel).alias("channel"), "rank")
+    dealt = scored.repartitionByRange(*order).sortWithinPartitions(*order).select("query_id", "doc_id")
+    dealt = durable(dealt.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    sizes = dealt.groupBy("query_id", "__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("query_id").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # One row for each query and partition that it reaches into.
+    placed = dealt.join(sizes.withColumn("__before", before), ["query_id", "__part"])
+    return placed.select("query_id", "doc_id", F.lit(channel).alias("channel"), (F.col("__at") - F.col("__first") + F.col("__before") + 1).cast("int").alias("rank"))
 
 
 def reciprocal_rank_fusion(channels: list[DataFrame], *, weights: dict[str, float] | None = None, constant: int = RANK_CONSTANT, order: list[str] | None = None) -> DataFrame:
