@@ -23,6 +23,10 @@ from palimpsest.llm.batches import annotate, durable, lowered, mix, span_hashes,
 SHINGLE_WORDS, SIMILARITY = 5, 75
 #: Bands and bins of each: at similarity 0.75 a pair shares no bucket once in 200,000 pairs.
 BANDS, ROWS = 32, 4
+#: Texts of a bucket that are compared with as many others in one task, where stars don't settle it.
+BLOCK = 256
+#: Largest family compared as a whole.
+FAMILY = 8_192
 _BINS = BANDS * ROWS
 #: For each bin, the order in which it looks for a bin that isn't empty.
 _ORDERS = np.stack([np.random.default_rng([20140622, b]).permutation(_BINS) for b in range(_BINS)])
@@ -111,16 +115,14 @@ def components(edges: DataFrame) -> DataFrame:
     labels, rest = None, durable(edges.select("a", "b").where("a <> b").distinct())
     while not rest.isEmpty():
         both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = durable(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p")))
-        up = parent.select(F.col("a").alias("p"), F.col("p").alias("pp"))
-        parent = durable(parent.join(up, "p").select(F.col("a").alias("node"), F.col("pp").alias("component")))
+        parent = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p"))
+        up = parent.select(F.col("a").alias("p"), F.col("p").alias("component"))
+        parent = durable(parent.join(up, "p").select(F.col("a").alias("node"), "component"))
         if labels is None:
             labels = parent
         else:
             step = parent.select(F.col("node").alias("component"), F.col("component").alias("further"))
-            labels = labels.join(step, "component", "left").select("node", F.coalesce("further", "component").alias("component"))
-            labels = labels.unionByName(parent.join(labels.select("node"), "node", "left_anti"))
-            labels = durable(labels)
+            labels = durable(labels.join(step, "component", "left").select("node", F.coalesce("further", "component").alias("component")))
         ends = [parent.select(F.col("node").alias(x), F.col("component").alias(f"{x}{x}")) for x in ("a", "b")]
         rest = rest.join(ends[0], "a").join(ends[1], "b").select(F.col("aa").alias("a"), F.col("bb").alias("b")).where("a <> b")
         rest = durable(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -138,56 +140,113 @@ class Links:
         nodes = self.rows.join(self.classes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
         self.nodes = durable(nodes.select("node", "doc_id", "key", "n_shingles", "bands"))
         buckets = self.nodes.select("node", F.explode("bands").alias("bucket"))
-        shared = buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").drop("last")
+        shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
         # Members of buckets that hold at least two texts.
         self.members = durable(buckets.join(shared, "bucket"))
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those whose full shingle sets are similar enough."""
-        sizes = self.nodes.select("node", "n_shingles")
-        for x in ("a", "b"):
-            pairs = pairs.join(sizes.withColumnsRenamed({"node": x, "n_shingles": f"n_{x}"}), x)
-        near = 100 * F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")
-        pairs = durable(pairs.where(near))
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = self.nodes.select("node", "doc_id", "key").join(wanted, "node")
-        texts = self.docs.withColumn("key", F.unhex(F.md5(F.coalesce("text", F.lit(""))))).alias("d").join(wanted.alias("w"), F.col("d.key").eqNullSafe(F.col("w.key")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """node and its full shingle set, for the nodes wanted: made again from the texts, which are found by content and id."""
+        own = self.nodes.select("node", "doc_id", "key").join(wanted.select("node").distinct(), "node")
+        texts = self.docs.withColumn("key", F.unhex(F.md5(F.coalesce("text", F.lit(""))))).alias("d").join(own.alias("w"), F.col("d.key").eqNullSafe(F.col("w.key")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
 
         def compute(piece: pa.RecordBatch, at: int) -> list[pa.Array]:
             offsets, data = utf8(piece.column(at))
-            sets = shingle_sets(offsets, data)
-            return [pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+            found = shingle_sets(offsets, data)
+            return [pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))]
 
-        sets = annotate(texts.select("node", "text"), "text", [("shingles", T.ArrayType(T.LongType()))], compute, ["node"])
-        sets = durable(sets.dropDuplicates(["node"]))
+        return durable(annotate(texts.select("node", "text"), "text", [("shingles", T.ArrayType(T.LongType()))], compute, ["node"]).dropDuplicates(["node"]))
+
+    def confirmed(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+        """Of pairs (a, b), those whose full shingle sets are similar enough."""
+        if sets is None:
+            sizes = self.nodes.select("node", "n_shingles")
+            for x in ("a", "b"):
+                pairs = pairs.join(sizes.withColumnsRenamed({"node": x, "n_shingles": f"n_{x}"}), x)
+            pairs = durable(pairs.where(100 * F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")).select("a", "b"))
+            sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")))
         for x in ("a", "b"):
             pairs = pairs.join(sets.withColumnsRenamed({"node": x, "shingles": f"s_{x}"}), x)
         both = F.size(F.array_intersect("s_a", "s_b"))
-        return durable(pairs.where(100 * both >= SIMILARITY * (F.col("n_a") + F.col("n_b") - both)).select("a", "b"))
+        return durable(pairs.where(100 * both >= SIMILARITY * (F.size("s_a") + F.size("s_b") - both)).select("a", "b"))
 
-    def apart(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        """Those pairs (a, b) that lie in different components so far."""
-        for x in ("a", "b"):
-            pairs = pairs.join(labels.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")), x, "left").withColumn(f"c_{x}", F.coalesce(f"c_{x}", x))
-        return pairs.where("c_a <> c_b").select("a", "b")
+    def stars(self) -> DataFrame:
+        """Edges from each bucket's hub to its other members.
+
+        The hub is the member that meets most others over all its buckets: of
+        copies of one text, the text that they were made from.
+        """
+        meets = self.members.groupBy("node").agg(F.sum("size").alias("meets"))
+        own = self.members.join(meets, "node")
+        hubs = own.groupBy("bucket").agg(F.max(F.struct("meets", "node")).alias("h")).select("bucket", F.col("h.node").alias("a"))
+        return self.members.join(hubs, "bucket").where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
     def labels(self) -> DataFrame:
         """node and component of every text that is linked to another."""
-        stars = self.members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-        links = self.confirmed(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-        labels = components(links)
-        links = links.unionByName(self.confirmed(self.apart(stars, labels)))
+        links = self.confirmed(self.stars())
         labels = components(links)
-        # Buckets whose texts are still in several components: their pairs across components.
-        spread = self.members.select("bucket", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = spread.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-        spread = durable(spread.join(mixed, "bucket"))
-        left, right = (spread.select("bucket", F.col("node").alias(x), F.col("component").alias(f"c_{x}")) for x in ("a", "b"))
-        pairs = left.join(right, "bucket").where("c_a < c_b").select("a", "b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = pairs.join(stars, ["a", "b"], "left_anti")
-        more = self.confirmed(pairs)
-        return labels if more.isEmpty() else components(links.unionByName(more))
+        more = self.confirmed_across(labels)
+        return labels if more is None else components(links.unionByName(more))
+
+    def confirmed_across(self, labels: DataFrame) -> DataFrame | None:
+        """Links between texts of one bucket that the stars leave in different components; None if there are none.
+
+        Texts that such buckets join, at one or more removes, are a family.  A
+        family is cut into blocks, and every two blocks are compared in a task of
+        their own, by sets of half hashes: these can only seem more alike than
+        they are.  Only pairs that seem similar enough leave the tile, and their
+        full sets decide.  Of a family of over FAMILY texts each bucket is
+        compared so instead, which then is less work for the same pairs.
+        """
+        own = self.members.select("bucket", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = own.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+        own = durable(own.join(mixed.select("bucket", "n", "least"), "bucket"))
+        if own.isEmpty():
+            return None
+        families = components(own.select(F.col("least").alias("a"), F.col("node").alias("b"))).withColumnRenamed("component", "family")
+        sizes = families.groupBy("family").agg(F.count("*").alias("size"))
+        families = durable(families.join(sizes, "family"))
+        small = own.select("node", "component").distinct().join(families.where(F.col("size") <= FAMILY), "node")
+        small = small.select("node", "component", F.lit(0).alias("kind"), F.col("family").alias("group"), F.col("size").alias("n"))
+        large = own.join(families.where(F.col("size") > FAMILY).select("node"), "node", "left_semi").select("node", "component", F.lit(1).alias("kind"), F.col("bucket").alias("group"), "n")
+        sets = self.sets(own)
+        tiles = small.unionByName(large).withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        tiles = tiles.select("node", "component", "kind", "group", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        halves = sets.select("node", F.transform("shingles", lambda s: F.shiftright(s, 32).cast("int")).alias("halves"))
+        held = tiles.join(halves, "node").groupBy("kind", "group", "low", "high").agg(F.collect_list(F.struct("node", "component", "block", "halves")).alias("members"))
+
+        def run(batches):
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    yield from similar_in_tile(batch.column(0).slice(row, 1).flatten(), bool(batch.column(1)[row].as_py()))
+
+        pairs = durable(held.select("members", (F.col("low") == F.col("high")).alias("diagonal")).mapInArrow(run, "a long, b long").distinct())
+        return None if pairs.isEmpty() else self.confirmed(pairs, sets)
+
+
+def similar_in_tile(members: pa.StructArray, diagonal: bool):
+    """Batches of pairs (a, b) of different components that seem similar enough; across the two blocks, or within the one."""
+    node, component, block = (members.field(k).to_numpy() for k in range(3))
+    lists = members.field(3)
+    size = lists.value_lengths().to_numpy()
+    values, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(node)), size)
+    kinds, inverse, counts = np.unique(values, return_inverse=True, return_counts=True)
+    # Only what two members have can be shared.
+    column = np.cumsum(counts > 1) - 1
+    keep = counts[inverse] > 1
+    owner, inverse = owner[keep], column[inverse[keep]]
+    shared = np.zeros((len(node), len(node)), np.float32)
+    for low in range(0, int((counts > 1).sum()), 4096):
+        some = (inverse >= low) & (inverse < low + 4096)
+        grid = np.zeros((len(node), 4096), np.float32)
+        np.add.at(grid, (owner[some], inverse[some] - low), 1)
+        shared += grid @ grid.T
+    near = 100 * shared >= SIMILARITY * (size[:, None] + size[None, :] - shared)
+    near &= component[:, None] != component[None, :]
+    near &= (node[:, None] < node[None, :]) & (diagonal | (block[:, None] != block[None, :]))
+    a, b = np.nonzero(near)
+    if len(a):
+        yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -222,15 +281,15 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-WITH RECURSIVE d AS (
+WITH RECURSIVE d AS MATERIALIZED (
   SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
-), s AS (
-  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM d
-), n AS (SELECT r, doc_id, CAST(len(s) AS BIGINT) AS n_shingles FROM s),
-e AS (SELECT r, unnest(s) AS g FROM s),
-i AS (SELECT a.r AS a, b.r AS b, count(*) AS n_both FROM e a JOIN e b ON a.g = b.g AND a.r <> b.r GROUP BY ALL),
-l AS (SELECT a, b FROM i JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * n_both >= 75 * (x.n_shingles + y.n_shingles - n_both)),
+), x AS (SELECT r, unnest(w) AS w, generate_subscripts(w, 1) AS k FROM d),
+f AS (SELECT r, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS g FROM x WINDOW o AS (PARTITION BY r ORDER BY k)),
+e AS MATERIALIZED (SELECT DISTINCT r, g FROM f WHERE g IS NOT NULL UNION ALL SELECT r, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4),
+n AS MATERIALIZED (SELECT r, doc_id, (SELECT count(*) FROM e WHERE e.r = d.r) AS n_shingles FROM d),
+i AS (SELECT a.r AS a, b.r AS b, count(*) AS n_both FROM e a JOIN e b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+h AS MATERIALIZED (SELECT a, b FROM i JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * n_both >= 75 * (x.n_shingles + y.n_shingles - n_both)),
+l AS MATERIALIZED (SELECT a, b FROM h UNION ALL SELECT b, a FROM h),
 c AS (SELECT r, r AS reach FROM n UNION SELECT c.r, l.b FROM c JOIN l ON l.a = c.reach),
 m AS (SELECT c.r, min(n.doc_id) AS component_id FROM c JOIN n ON n.r = c.reach GROUP BY c.r)
 SELECT n.doc_id, n.n_shingles, m.component_id, n.doc_id = m.component_id AS kept FROM n JOIN m USING (r)

@@ -161,9 +161,11 @@ def test_components_are_those_of_brute_force(spark):
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in got.collect()) == brute_components(rows)
 
 
-def test_links_that_no_star_finds_are_found(spark, monkeypatch):
-    """A family whose texts are linked in chains: blocks of two texts, so that tiles are crossed."""
+@pytest.mark.parametrize("family", [5, 1000])
+def test_links_that_no_star_finds_are_found(spark, monkeypatch, family):
+    """A family whose texts are linked in chains: blocks of two texts, so that tiles are crossed, by family and by bucket."""
     monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    monkeypatch.setattr(near_dedup, "FAMILY", family)
     rng, chain = random.Random(8), [" ".join(f"w{i}" for i in range(120))]
     for _ in range(25):
         words = chain[-1].split()
