@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import hashing, text
 from palimpsest.functions.scoring import FIELD_WEIGHTS, cosine_similarity
-from palimpsest.operators import access, contracts, ledger, retrieval
-from palimpsest.operators import chunking, documents
-from palimpsest.plans import ingestion
+from palimpsest.operators import access, chunking, contracts, documents, ledger, records, retrieval
+from palimpsest.plans import ingestion, packages
 from palimpsest.sources import vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -569,3 +568,22 @@ def source_plan(spark, d):
     incoming = docs.select(F.col("doc_id").cast("string").alias("system_id"), F.concat_ws("/", "source", (F.col("doc_id") % 10).cast("string")).alias("source_key"), "text")
     held = docs.where("doc_id % 3 < 2").select(F.col("doc_id").cast("string").alias("system_id"), F.concat_ws("/", "source", (F.col("doc_id") % 10).cast("string")).alias("source_key"), F.when(F.col("doc_id") % 3 == 0, F.sha2("text", 256)).otherwise("old").alias("checksum"), F.lit(True).alias("active"))
     return ingestion.plan_sources(incoming, held).select("source_key", "checksum", "action")
+
+
+@query("""
+WITH n AS (SELECT o_custkey, max(o_orderkey) AS revision, max_by(o_orderpriority, o_orderkey) AS p FROM orders GROUP BY 1)
+SELECT c_custkey AS o_custkey, CASE WHEN revision IS NULL THEN 'missing' WHEN c_nationkey % 2 = 0 THEN 'applied' ELSE 'conflict' END AS outcome,
+  CASE WHEN c_nationkey % 2 = 0 THEN revision + 1 END AS revision, CASE WHEN c_nationkey % 2 = 0 AND revision IS NOT NULL THEN CASE WHEN c_nationkey % 3 = 0 THEN c_mktsegment ELSE p END END AS o_orderpriority FROM customer LEFT JOIN n ON o_custkey = c_custkey""")
+def conditional_updates(spark, d):
+    """Orders as revisions of customers; every other nation expects a revision that isn't there."""
+    held = read(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("revision"), "o_orderpriority")
+    change = read(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.lit(1).alias("ordinal"), F.when(F.col("c_nationkey") % 2 == 1, -1).alias("expected"), F.when(F.col("c_nationkey") % 3 == 0, F.col("c_mktsegment")).alias("o_orderpriority"))
+    return records.compare_and_swap(held, change, "o_custkey", ["o_orderpriority"]).drop("ordinal")
+
+
+@query("SELECT doc_id, sha256(substr(text, 1, length(text) // 2)) AS content_sha256, source || '/' || doc_id || '/section-0/chunk-0-' || substr(sha256(substr(text, 1, length(text) // 2)), 1, 16) AS chunk_key FROM documents")
+def source_bundles(spark, d):
+    """The first half of each document as a chunk of a source bundle."""
+    docs = read(spark, d, "documents").select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("source_key"), "text")
+    chunks = docs.select("doc_id", "source_key", F.lit(0).alias("section"), F.lit(0).alias("ordinal"), F.lit(0).alias("start"), F.floor(F.length("text") / 2).cast("int").alias("end"))
+    return packages.bundle_chunks(docs.drop("doc_id"), chunks).select("doc_id", "content_sha256", "chunk_key")

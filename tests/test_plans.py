@@ -54,3 +54,52 @@ def test_changed_sources_are_retired(spark):
     assert {r.source_key: r.action for r in planned.collect()} == {"a": "retire", "c": "add"}
     assert sorted((r.source_key, r.active) for r in ingestion.retire(held, planned).collect()) == [("a@x", False), ("b", True)]
     assert sorted((r.source_key, r.content) for r in ingestion.chunk_table(planned).collect()) == [("a", "new"), ("c", "body")]
+
+
+def test_conditional_changes(spark):
+    from palimpsest.operators import records
+
+    held = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "id string, revision int, name string")
+    change = spark.createDataFrame([("a", 1, 2, "new"), ("a", 2, 2, "late"), ("b", 1, 5, "q"), ("c", 1, None, "q")], "id string, ordinal int, expected int, name string")
+    got = {(r.id, r.ordinal): (r.outcome, r.revision, r.name) for r in records.compare_and_swap(held, change, "id", ["name"]).collect()}
+    assert got == {("a", 1): ("applied", 3, "new"), ("a", 2): ("conflict", None, None), ("b", 1): ("conflict", None, None), ("c", 1): ("missing", None, None)}
+    jobs = spark.createDataFrame([("j", "staged", 1), ("k", "activated", 4)], "job_id string, state string, revision int")
+    steps = spark.createDataFrame([("j", "inspected", 1), ("k", "failed", 4)], "job_id string, target string, expected int")
+    assert {r.job_id: (r.state, r.revision, r.error) for r in records.step_jobs(jobs, steps).collect()} == {"j": ("inspected", 2, None), "k": ("activated", 4, "no such transition")}
+
+
+def test_one_scene_is_current(spark):
+    from palimpsest.operators import records
+
+    held = spark.createDataFrame([("p", "s1", "current", 50, 3), ("q", "s1", "current", 1, 1)], "scope_id string, scene_id string, status string, progress int, version int")
+    change = spark.createDataFrame([("p", "s2", "current", 150, None), ("q", "s1", "done", 5, 9)], "scope_id string, scene_id string, status string, progress int, expected int")
+    assert sorted(tuple(r) for r in records.set_progress(held, change).collect()) == [("p", "s1", "visited", 50, 4), ("p", "s2", "current", 100, 1), ("q", "s1", "current", 1, 1)]
+
+
+def test_reviews(spark):
+    from palimpsest.operators import records
+
+    held = spark.createDataFrame([("j", "1", "pending", None, "{}", []), ("k", "1", "pending", None, "{}", [])], "job_id string, id string, review_status string, disposition string, artifact string, edits array<struct<before:string,after:string>>")
+    made = spark.createDataFrame([("j", "1", "accepted", "include", None), ("k", "1", "accepted", "include", None), ("k", "9", "accepted", None, None)], "job_id string, id string, review_status string, disposition string, artifact string")
+    after, problems = records.review_candidates(held, made)
+    assert sorted((r.job_id, r.review_status, len(r.edits)) for r in after.collect()) == [("j", "accepted", 1), ("k", "pending", 0)]
+    assert [tuple(r) for r in problems.collect()] == [("k", "9", "unknown candidate")] and [r.job_id for r in records.finalizable(after).collect()] == ["j"]
+
+
+def test_bundles(spark):
+    from palimpsest.operators import chunking
+    from palimpsest.plans import packages
+
+    sources = spark.createDataFrame([("s", "# A\none\n## B\ntwo 😀")], "source_key string, text string")
+    chunks = packages.bundle_chunks(sources, chunking.parse_chunks(sources, "source_key", "text").select("source_key", "section", "ordinal", "start", "end"))
+    assert packages.bundle_problems(sources, chunks).count() == 0
+    assert {r.problem for r in packages.bundle_problems(sources.withColumn("text", F.concat(F.lit("x"), "text")), chunks).collect()} == {"the content differs"}
+    tree = packages.portable_tree(chunking.parse_sections(sources, "source_key", "text"), chunks).first()
+    assert [(s.title, len(s.chunks)) for s in tree.sections] == [("A", 1), ("B", 1)]
+    assets = spark.createDataFrame([("p", "a", "0" * 64, 1), ("p", "a", "zz", 1)], "package_id string, asset_key string, sha256 string, size int")
+    got = packages.package_problems(
+        spark.createDataFrame([("p", "module", "1.0.0", "s")], "package_id string, kind string, version string, system_id string"), assets,
+        spark.createDataFrame([("p", "k", "b")], "package_id string, source_key string, asset_key string"), spark.createDataFrame([("p", "x", None)], "package_id string, actor_id string, image_asset_key string"),
+        spark.createDataFrame([("p", "actor", "y"), ("p", "source", "k")], "package_id string, kind string, ref string"),
+    )
+    assert {r.problem for r in got.collect()} == {"an asset's address is no SHA-256", "an asset is repeated", "unknown asset p|b", "unknown actor p|y"}
