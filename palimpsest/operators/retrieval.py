@@ -88,7 +88,9 @@ def bm25(docs: DataFrame, queries: DataFrame, *, doc_id: str, columns: dict[str,
     wanted = queries.select(F.col(query_id).alias("query_id"), F.explode(F.flatten(F.transform(fts_terms(F.col(query)), index_tokens))).alias("term")).distinct()
     every = F.concat(*[_weighted(F.col(c), w) for c, w in columns.items()])
     own = docs.select(F.col(doc_id).alias("doc_id"), every.alias("tokens")).withColumn("dl", F.size("tokens"))
-    sizes = own.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    # Lengths alone are counted without taking the tokens out.
+    tokens = sum((F.regexp_count(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(INDEX_TOKEN)) for c in columns), F.lit(0))
+    sizes = docs.agg(F.count("*").alias("n"), F.avg(tokens).alias("avgdl"))
     hits = own.select("doc_id", "dl", F.explode("tokens").alias("t")).select("doc_id", "dl", "t.term", "t.w").join(wanted.select("term").distinct(), "term", "left_semi")
     hits = hits.groupBy("term", "doc_id", "dl").agg(F.sum("w").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
