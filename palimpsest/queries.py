@@ -268,6 +268,13 @@ def evidence_containment(spark, d):
     return own.select("doc_id", F.contains(text.clean_evidence(F.col("text")), text.clean_evidence(F.col("excerpt"))).alias("held"))
 
 
+@query("SELECT doc_id, coalesce(contains(trim(regexp_replace(translate(text, '‘’“”‐‑‒–—', '''''\"\"-----'), '\\s+', ' ', 'g')), trim(regexp_replace(translate(substr(text, 11, 40), '‘’“”‐‑‒–—', '''''\"\"-----'), '\\s+', ' ', 'g'))), false) AS held FROM documents")
+def evidence_containment_whole(spark, d):
+    """As evidence_containment, for every document; a null text holds nothing."""
+    held = F.contains(text.clean_evidence(F.col("text")), text.clean_evidence(F.substring("text", 11, 40)))
+    return read(spark, d, "documents").select("doc_id", F.coalesce(held, F.lit(False)).alias("held"))
+
+
 @query("SELECT event_id, sha256(replace(props, ' ', '')) AS address FROM events")
 def json_addresses(spark, d):
     """Content addresses of the canonical JSON of event properties."""
