@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import hashing, text
@@ -594,3 +594,16 @@ def source_bundles(spark, d):
     docs = read(spark, d, "documents").select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("source_key"), "text")
     chunks = docs.select("doc_id", "source_key", F.lit(0).alias("section"), F.lit(0).alias("ordinal"), F.lit(0).alias("start"), F.floor(F.length("text") / 2).cast("int").alias("end"))
     return packages.bundle_chunks(docs.drop("doc_id"), chunks).select("doc_id", "content_sha256", "chunk_key")
+
+
+@query()
+def source_bundles_whole(spark, d):
+    """Each document as a source bundle: the chunks of its whole text, by section and window.
+
+    The first chunk of a section begins where the section before it ends, so that headings are hashed too; a null text is one empty chunk.
+    """
+    docs = read(spark, d, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("source_key"), F.coalesce("text", F.lit("")).alias("text"))
+    before = F.lag("end", 1, 0).over(Window.partitionBy("source_key").orderBy("section", "ordinal"))
+    start = F.when(F.col("ordinal") == 0, before).otherwise(F.col("start")).alias("start")
+    chunks = chunking.parse_chunks(docs, "source_key", "text").select("source_key", "section", "ordinal", start, "end")
+    return packages.bundle_chunks(docs, chunks)

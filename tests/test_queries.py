@@ -1,5 +1,6 @@
 """Every registered query with SQL against DuckDB on the smallest tables."""
 
+import hashlib
 import math
 import os
 
@@ -45,3 +46,14 @@ def test_evidence_of_every_document(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.held for r in queries.QUERIES["evidence_containment_whole"](spark, str(tmp_path)).collect()}
     assert got == {0: True, 1: True, 2: False, 3: True, 4: True}
+
+
+def test_bundles_cover_whole_texts(spark, tmp_path):
+    texts = ["first half " * 200 + "second half " * 200, "# A\none\n## B\ntwo 😀 end", "", None, "x" * 9000]
+    spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.QUERIES["source_bundles_whole"](spark, str(tmp_path)).collect()
+    for i, t in enumerate(texts):
+        t, own = t or "", [r for r in rows if r.source_key == f"s/{i}"]
+        assert own and all(r.content_sha256 == hashlib.sha256(t[r.start : r.end].encode()).hexdigest() for r in own)
+        inside = {k for r in own for k in range(r.start, r.end)}
+        assert all(k in inside or c.isspace() for k, c in enumerate(t))
