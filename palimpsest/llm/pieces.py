@@ -3,8 +3,11 @@
 A text is parted before each run of spaces that follows other characters; no
 piece reaches across such a border.  Every part is segmented from an agenda of
 candidate merges, best score first; a candidate is skipped when a keyed hash of
-seed, part, place and pieces falls under the dropout rate.  The same seed gives
-the same segmentation anywhere; any segmentation decodes to the text itself.
+seed, text, part, place and pieces falls under the dropout rate, so that each
+occurrence of a part draws for itself.  Where none of the merges that a part
+takes without dropout is skipped, it is segmented as without dropout; only that
+segmentation is remembered.  The same seed gives the same segmentation anywhere;
+any segmentation decodes to the text itself.
 """
 
 from __future__ import annotations
@@ -22,12 +25,12 @@ from pyspark.sql import types as T
 from palimpsest.llm.batches import annotate, mix, once, span_hashes, table, utf8
 
 DEFAULT_VOCABULARY = "piece_bpe_32k.model"
-#: Chance that a candidate merge is skipped, and how many ways to draw a part has; which one holds goes by text and place.
-DROPOUT, SEED, DRAWS = 0.1, 20240607, 4
+#: Chance that a candidate merge is skipped, and the seed of the draws.
+DROPOUT, SEED = 0.1, 20240607
 #: Parts of up to so many characters are merged in step; longer ones one by one, from a heap.
 IN_STEP = 48
 WIDTHS = (0, 4, 6, 8, 10, 12, 16, 24, 32, IN_STEP)
-#: Segmented parts that a worker keeps before it starts anew.
+#: Parts segmented without dropout that a worker keeps before it starts anew.
 REMEMBERED = 1_500_000
 _NONE = np.int32(2**31 - 1)
 _META = 0x2581
@@ -92,16 +95,20 @@ def read_vocabulary(content: bytes) -> Vocabulary:
     return Vocabulary(first, keys, merged, rank, byte_ids, np.frombuffer(b"".join(contents), np.uint8), np.concatenate(([0], np.cumsum([len(c) for c in contents]))))
 
 
-def skipped(draw: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray, dropout: float) -> np.ndarray:
-    """Whether the keyed hash drops a candidate; `draw` is the hash of seed, part and variant."""
+def named(place: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The hash of a candidate within its part."""
+    return mix(place.astype(np.uint64) << np.uint64(40) | left.astype(np.uint64) << np.uint64(20) | right.astype(np.uint64))
+
+
+def skipped(draw: np.ndarray, name: np.ndarray, dropout: float) -> np.ndarray:
+    """Whether the keyed hash drops a named candidate; `draw` is the hash of seed, text, place in it and part."""
     if dropout <= 0:
         return np.zeros(len(draw), bool)
-    h = mix(draw + mix(place.astype(np.uint64) << np.uint64(40) | left.astype(np.uint64) << np.uint64(20) | right.astype(np.uint64)))
-    return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53 < dropout
+    return (mix(draw + name) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < dropout
 
 
-def agenda(points: np.ndarray, draw: int, vocab: Vocabulary, dropout: float) -> list[tuple[int, int]]:
-    """(id or -1, place) of each symbol of one part, merged from a heap."""
+def agenda(points: np.ndarray, draw: int, vocab: Vocabulary, dropout: float, taken: list[tuple[int, int, int]] | None = None) -> list[tuple[int, int]]:
+    """(id or -1, place) of each symbol of one part, merged from a heap; `taken` gets the merges (place, left, right)."""
     symbol = vocab.first[points].tolist()
     n = len(symbol)
     before, after = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -114,7 +121,7 @@ def agenda(points: np.ndarray, draw: int, vocab: Vocabulary, dropout: float) ->
             return
         a, b = np.array([symbol[i] for i in lefts], np.int64), np.array([symbol[after[i]] for i in lefts], np.int64)
         merged, rank = vocab.candidates(a, b)
-        good = (rank != _NONE) & ~skipped(np.repeat(d, len(lefts)), np.array(lefts), a, b, dropout)
+        good = (rank != _NONE) & ~skipped(np.repeat(d, len(lefts)), named(np.array(lefts), a, b), dropout)
         for k in np.flatnonzero(good).tolist():
             heapq.heappush(heap, (int(rank[k]), lefts[k], after[lefts[k]], int(a[k]), int(b[k]), int(merged[k])))
 
@@ -123,6 +130,8 @@ def agenda(points: np.ndarray, draw: int, vocab: Vocabulary, dropout: float) ->
         _, i, j, a, b, new = heapq.heappop(heap)
         if symbol[i] != a or after[i] != j or symbol[j] != b:
             continue
+        if taken is not None:
+            taken.append((i, a, b))
         symbol[i], symbol[j], after[i] = new, -2, after[j]
         if after[i] >= 0:
             before[after[i]] = i
@@ -130,8 +139,8 @@ def agenda(points: np.ndarray, draw: int, vocab: Vocabulary, dropout: float) ->
     return [(s, i) for i, s in enumerate(symbol) if s != -2]
 
 
-def in_step(points: np.ndarray, bounds: np.ndarray, draws: np.ndarray, vocab: Vocabulary, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, places and parts of many short parts, all merged one candidate at a time in step."""
+def in_step(points: np.ndarray, bounds: np.ndarray, draws: np.ndarray, vocab: Vocabulary, dropout: float, taken: list[tuple[np.ndarray, np.ndarray]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, places and parts of many short parts, all merged one candidate at a time in step; `taken` gets the merges (part, name)."""
     sizes = np.diff(bounds)
     width = int(sizes.max())
     column = np.arange(width)
@@ -148,7 +157,7 @@ def in_step(points: np.ndarray, bounds: np.ndarray, draws: np.ndarray, vocab: Vo
         m, r = vocab.candidates(a, b)
         some = np.flatnonzero(r != _NONE)
         if len(some):
-            r[some[skipped(draws[owner[some]], place[rows[some], at[some]], a[some], b[some], dropout)]] = _NONE
+            r[some[skipped(draws[owner[some]], named(place[rows[some], at[some]], a[some], b[some]), dropout)]] = _NONE
         merged[rows, at], rank[rows, at] = m, r
 
     live = np.arange(len(sizes))
@@ -168,6 +177,8 @@ def in_step(points: np.ndarray, bounds: np.ndarray, draws: np.ndarray, vocab: Vo
             if not len(live):
                 break
             rows = np.arange(len(live))
+        if taken is not None:
+            taken.append((live, named(place[rows, j], symbol[rows, j], symbol[rows, j + 1])))
         symbol[rows, j] = merged[rows, j]
         shift = np.arange(symbol.shape[1])
         shift = shift + (shift > j[:, None])
@@ -184,7 +195,7 @@ def in_step(points: np.ndarray, bounds: np.ndarray, draws: np.ndarray, vocab: Vo
 
 
 class Encoder:
-    """Segments parts of texts and remembers them."""
+    """Segments parts of texts, and remembers their segmentation without dropout and the merges it takes."""
 
     def __init__(self, vocab: Vocabulary, seed: int, dropout: float):
         self.vocab, self.dropout = vocab, dropout
@@ -193,9 +204,11 @@ class Encoder:
 
     def forget(self) -> None:
         self.keys, self.starts, self.sizes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.first, self.merges, self.names = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
-    def segment(self, parts: list[bytes], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the parts, one after the other, and how many each has."""
+    def segment(self, parts: list[bytes], keys: np.ndarray, dropout: float | None = None, taken: list[tuple[np.ndarray, np.ndarray]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the parts, one after the other, and how many each has; `taken` gets the merges (part, name)."""
+        dropout = self.dropout if dropout is None else dropout
         text = b"".join(parts).decode("utf-8", "replace")
         points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
         data = np.frombuffer(b"".join(parts), np.uint8)
@@ -209,10 +222,16 @@ class Encoder:
                 some = own[k : k + 16_384]
                 cut = np.concatenate(([0], np.cumsum(sizes[some])))
                 take = np.repeat(bounds[some] - cut[:-1], sizes[some]) + np.arange(cut[-1])
-                s, p, o = in_step(points[take], cut, draws[some], self.vocab, self.dropout)
+                own_taken: list[tuple[np.ndarray, np.ndarray]] | None = None if taken is None else []
+                s, p, o = in_step(points[take], cut, draws[some], self.vocab, dropout, own_taken)
+                if taken is not None:
+                    taken += [(some[part], name) for part, name in own_taken]
                 symbols.append(s), places.append(p), owner.append(some[o])
         for i in np.flatnonzero(sizes > WIDTHS[-1]).tolist():
-            found = agenda(points[bounds[i] : bounds[i + 1]], int(draws[i]), self.vocab, self.dropout)
+            merges: list[tuple[int, int, int]] = []
+            found = agenda(points[bounds[i] : bounds[i + 1]], int(draws[i]), self.vocab, dropout, merges)
+            if taken is not None and merges:
+                taken.append((np.full(len(merges), i), named(*np.array(merges, np.int64).T)))
             symbols.append(np.array([s for s, _ in found], np.int32)), places.append(np.array([p for _, p in found], np.int32)), owner.append(np.full(len(found), i))
         symbol, place, part = np.concatenate(symbols), np.concatenate(places), np.concatenate(owner)
         order = np.argsort(part, kind="stable")
@@ -226,6 +245,29 @@ class Encoder:
         ids[np.repeat(unknown, width)] = self.vocab.byte_ids[spelled]
         return ids, np.bincount(part, weights=width, minlength=len(parts)).astype(np.int64)
 
+    def learn(self, parts: list[bytes], keys: np.ndarray, at: np.ndarray) -> None:
+        """Remember new parts as they are without dropout, where their keys belong."""
+        taken: list[tuple[np.ndarray, np.ndarray]] = []
+        ids, sizes = self.segment(parts, keys, 0.0, taken)
+        part = np.concatenate([np.zeros(0, np.int64), *(p for p, _ in taken)])
+        names = np.concatenate([np.zeros(0, np.uint64), *(n for _, n in taken)])
+        merges = np.bincount(part, minlength=len(parts))
+        begins = lambda n, held: len(held) + np.concatenate(([0], np.cumsum(n)[:-1]))
+        self.starts, self.sizes = np.insert(self.starts, at, begins(sizes, self.ids)), np.insert(self.sizes, at, sizes)
+        self.first, self.merges = np.insert(self.first, at, begins(merges, self.names)), np.insert(self.merges, at, merges)
+        self.keys, self.ids, self.names = np.insert(self.keys, at, keys), np.concatenate((self.ids, ids)), np.concatenate((self.names, names[np.argsort(part, kind="stable")]))
+
+    def diverging(self, at: np.ndarray, draws: np.ndarray) -> np.ndarray:
+        """Occurrences whose draw skips a merge of their remembered part; all others are segmented as it is."""
+        out, first, left, live = [], self.first[at], self.merges[at], np.arange(len(at))
+        k = 0
+        while len(live):
+            live = live[left[live] > k]
+            drop = skipped(draws[live], self.names[first[live] + k], self.dropout)
+            out.append(live[drop])
+            live, k = live[~drop], k + 1
+        return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
+
     def encode(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the bounds of each text's."""
         texts = len(offsets) - 1
@@ -247,24 +289,30 @@ class Encoder:
         text = np.searchsorted(begin, starts, side="right") - 1
         hashes = span_hashes(own, starts, ends)
         whole = span_hashes(own, begin, np.append(begin[1:], len(own)))
-        draw = mix(whole[text] + (np.arange(len(starts)) - np.searchsorted(starts, begin)[text]).astype(np.uint64)) % np.uint64(DRAWS) if self.dropout > 0 else np.uint64(0)
-        keys, index, inverse = np.unique(mix(hashes + draw), return_index=True, return_inverse=True)
+        keys, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) > REMEMBERED:
             self.forget()
         at = np.searchsorted(self.keys, keys)
         known = at < len(self.keys)
         known[known] = self.keys[at[known]] == keys[known]
         new = np.flatnonzero(~known)
+        raw = own.tobytes()
         if len(new):
-            raw = own.tobytes()
-            ids, sizes = self.segment([raw[a:b] for a, b in zip(starts[index[new]].tolist(), ends[index[new]].tolist(), strict=True)], keys[new])
-            begins = len(self.ids) + np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            self.ids = np.concatenate((self.ids, ids))
-            self.keys, self.starts, self.sizes = np.insert(self.keys, at[new], keys[new]), np.insert(self.starts, at[new], begins), np.insert(self.sizes, at[new], sizes)
+            self.learn([raw[a:b] for a, b in zip(starts[index[new]].tolist(), ends[index[new]].tolist(), strict=True)], keys[new], at[new])
             at = np.searchsorted(self.keys, keys)
-        start, size = self.starts[at][inverse], self.sizes[at][inverse]
+        at = at[inverse]
+        start, size, pool = self.starts[at], self.sizes[at], self.ids
+        if self.dropout > 0:
+            draws = mix(hashes + mix(whole[text] + (np.arange(len(starts)) - np.searchsorted(starts, begin)[text]).astype(np.uint64)))
+            other = self.diverging(at, mix(draws + self.seed))
+            if len(other):
+                drawn, which, back = np.unique(draws[other], return_index=True, return_inverse=True)
+                some = other[which]
+                ids, sizes = self.segment([raw[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)], drawn)
+                begins = len(pool) + np.concatenate(([0], np.cumsum(sizes)[:-1]))
+                start[other], size[other], pool = begins[back], sizes[back], np.concatenate((pool, ids))
         total = np.concatenate(([0], np.cumsum(size)))
-        ids = self.ids[np.repeat(start - total[:-1], size) + np.arange(total[-1])]
+        ids = pool[np.repeat(start - total[:-1], size) + np.arange(total[-1])]
         bounds = np.zeros(texts + 1, np.int64)
         bounds[1:][full] = np.bincount(text, weights=size, minlength=len(full)).astype(np.int64)
         return ids, np.cumsum(bounds)
@@ -294,12 +342,16 @@ def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", seed: int =
     `vocabulary` is the path of the model on the driver.  A null or empty text
     has no ids.  With dropout 0 the ids are those of the library, but for a real
     U+2581, which is spelled in bytes.  Equal texts are segmented alike; within
-    a text and between texts, one word has up to DRAWS segmentations.
+    a text and between texts, each occurrence of a word draws for itself.
     """
     sent, key = _sent(docs.sparkSession, vocabulary)
 
     def compute(piece: pa.RecordBatch, at: int) -> list[pa.Array]:
-        encoder = once(f"encoder {key}", lambda: Encoder(read_vocabulary(sent.value), seed, dropout))
+        held = once("encoder", dict)
+        if key not in held:
+            held.clear()  # what an earlier run remembered
+            held[key] = Encoder(read_vocabulary(sent.value), seed, dropout)
+        encoder = held[key]
         offsets, data = utf8(piece.column(at))
         ids, bounds = encoder.encode(offsets, data)
         back, cut = decoded(ids, bounds, encoder.vocab)

@@ -114,6 +114,22 @@ def test_heap_and_steps_agree(vocabulary, monkeypatch):
     assert (ids == other).all() and (sizes == others).all()
 
 
+def test_every_occurrence_draws_for_itself(vocabulary):
+    encoder = pieces.Encoder(vocabulary, 1, 0.3)
+    own = encode_all(encoder, [f"{i} internationalization" for i in range(300)])
+    word = {tuple(vocabulary.content[vocabulary.bounds[k] : vocabulary.bounds[k + 1]].tobytes() for k in x) for x in own}
+    assert len({w[next(i for i, p in enumerate(w[1:], 1) if p.startswith(b" ")) :] for w in word}) > 4
+    alone = {tuple(encode_all(pieces.Encoder(vocabulary, 1, 0.3), [f"{i} internationalization"])[0]) for i in range(300)}
+    assert alone == {tuple(x) for x in own}
+
+
+def test_remembered_parts_are_as_drawn(vocabulary, monkeypatch):
+    texts = random_texts(200, 4) + ["x" * 60 + " the same words the same words"] * 2
+    once = encode_all(pieces.Encoder(vocabulary, 1, 0.1), texts)
+    monkeypatch.setattr(pieces.Encoder, "diverging", lambda self, at, draws: np.arange(len(at)))
+    assert once == encode_all(pieces.Encoder(vocabulary, 1, 0.1), texts)
+
+
 def test_pieces_round_trip(spark):
     docs = table(spark, [None, *ODD], extra=True)
     encoded = pieces.encode(docs, pieces.default_vocabulary())
