@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 
 from palimpsest.llm.batches import annotate, crc_mod, labelled_sample, table
 
-#: Sampled rows of each label; a sampled text gives this many distinct stems to the lexicon's counts.
-SAMPLE_PER_LABEL, STEMS_PER_TEXT = 3_000, 4_000
+#: Sampled rows of each label.
+SAMPLE_PER_LABEL = 3_000
 #: A stem enters the lexicon with this many toxic texts and this ratio of shares, if so large a part of all texts that have it is toxic; so many stems at most.
 LEAST_TEXTS, LEAST_RATIO, LEAST_PRECISION, MOST_STEMS = 6, 20.0, 0.75, 400
 #: Boosting: trees, depth, learning rate, bins of a feature, least rows of a leaf, L2 strength.
@@ -126,9 +126,9 @@ def learn_lexicon(rows: DataFrame) -> list[str]:
     """
 
     def compute(piece: pa.RecordBatch, at: int) -> list[pa.Array]:
-        return [pa.array([sorted(stems_of(v or ""))[:STEMS_PER_TEXT] for v in piece.column(at).to_pylist()], pa.list_(pa.string()))]
+        return [pa.array([sorted(stems_of(v or "")) for v in piece.column(at).to_pylist()], pa.list_(pa.string()))]
 
-    rows = rows.groupBy(F.md5(F.substring("text", 1, 200)).alias("head"), "y").agg(F.min("text").alias("text"), F.avg("weight").alias("weight"))
+    rows = rows.groupBy(F.md5("text").alias("address"), "y").agg(F.min("text").alias("text"), F.avg("weight").alias("weight"))
     stems = annotate(rows, "text", [("stems", T.ArrayType(T.StringType()))], compute, ["y"])
     sizes = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     counts = stems.select("y", F.explode("stems").alias("stem")).groupBy("stem").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))

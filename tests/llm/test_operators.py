@@ -387,6 +387,16 @@ def test_toxicity_on_held_out_labels(spark, larger):
     assert sum(r.toxic == r.predicted for r in rows) >= 0.93 * len(rows) and sum(r.predicted for r in rows if not r.toxic) <= 2
 
 
+def test_lexicon_learns_from_whole_texts(spark):
+    rng, opening = random.Random(6), "the same letterhead stands over every text " * 8
+    made = lambda: " ".join("".join(rng.choice("bcdfghjk") for _ in range(7)) for _ in range(20))
+    rows = [(f"{opening} {made()} zzquorblat", 1, 1.0) for _ in range(8)] + [(f"{opening} {made()}", 0, 1.0) for _ in range(40)]
+    assert any(s.startswith("zzqu") for s in toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, y int, weight double")))
+    many = " ".join("a" + "".join(rng.choice("bcdfghjk") for _ in range(7)) for _ in range(6000))
+    long = [(f"{many} zzquorblat {i}x", 1, 1.0) for i in range(8)] + [(f"{many} {i}", 0, 1.0) for i in range(40)]
+    assert any(s.startswith("zzqu") for s in toxicity.learn_lexicon(spark.createDataFrame(long, "text string, y int, weight double")))
+
+
 def test_language_on_held_out_texts(spark, larger):
     docs = batches.table(spark, larger, "documents")
     out = language.op10_language_id(spark, larger).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
