@@ -1,7 +1,7 @@
 """Secret scans: patterns, and novelty against dictionaries primed with code and identifiers.
 
 Three patterns give the base spans.  Further candidates are long tokens that
-follow a sensitive word; each is compressed after its surroundings with a
+follow a sensitive word, or a name with one and '='; each is compressed after its surroundings with a
 dictionary of common code and identifiers, and is reported when the bytes it
 adds come near its length, so that nothing known explains it.
 """
@@ -24,6 +24,11 @@ _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _LONG = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
+#: A candidate up to the last '=' that ends a name and has a value after it.
+_NAMED = re.compile(r"(?:.*[^A-Za-z0-9_.-])?[A-Za-z_][A-Za-z0-9_.-]*=+(?=[^=])")
+#: Words and names put together from words: novel to the dictionaries, but no secrets, unless a name is given them.
+_WORDS = re.compile(r"(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[-._/~+=])++")
+_GIVEN = re.compile(r"""[=:]["'\s]*$""")
 #: Words that make what follows sensitive.
 _SENSITIVE = re.compile(r"(?i:password|passwd|pwd|secret|token|api[_-]?key|private[_-]?key|access[_-]?key|auth|bearer|credential|signature|client[_-]?id)")
 #: Characters before a candidate that are its surroundings, and those of them where a sensitive word counts.
@@ -62,21 +67,24 @@ def scan(text: str, compressor: zstandard.ZstdCompressor) -> list[tuple[int, int
     Novel spans overlap no base span.
     """
     found = []
-    low = None
     if "=" in text or ":" in text:
         found += [(m.start(), m.end(), 0) for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 6]
     if "AKIA" in text:
         found += [(m.start(), m.end(), 1) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), m.end(), 2) for m in _HEX.finditer(text)]
     for m in _LONG.finditer(text):
-        own = m.group()
-        if own.isalpha() or entropy(own) < ENTROPY or not any(c.isdigit() for c in own) or any(a < m.end() and m.start() < b for a, b, _ in found):
+        own, start, end = m.group(), m.start(), m.end()
+        name = _NAMED.match(own) if "=" in own else None
+        if name and _LONG.fullmatch(own, name.end()):
+            own, start = own[name.end() :], start + name.end()
+        if entropy(own) < ENTROPY or any(a < end and start < b for a, b, _ in found):
             continue
-        low = text[max(0, m.start() - CONTEXT) : m.start()]
-        if not _SENSITIVE.search(low):
+        if _WORDS.fullmatch(own) and not _GIVEN.search(text[max(0, start - 4) : start]):
             continue
-        if novelty(own, text[max(0, m.start() - SURROUNDINGS) : m.start()], text[m.end() : m.end() + SURROUNDINGS], compressor) >= NOVELTY:
-            found.append((m.start(), m.end(), 3))
+        if not _SENSITIVE.search(text[max(0, m.start() - CONTEXT) : start]):
+            continue
+        if novelty(own, text[max(0, start - SURROUNDINGS) : start], text[end : end + SURROUNDINGS], compressor) >= NOVELTY:
+            found.append((start, end, 3))
     return [(a, b, KINDS[k]) for a, b, k in sorted(found, key=lambda s: (s[0], s[2], s[1]))]
 
 

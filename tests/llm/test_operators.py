@@ -339,6 +339,15 @@ def test_novelty_tells_secrets_from_names():
     assert secrets.scan("q7Zk2PvX9mWc4LrT8sBn1Jd6", engine) == []
 
 
+def test_secrets_given_to_names_are_novel():
+    engine, value = secrets._compressor(), "q7Zk2PvX9mWc4LrT8sBn1Jd6"
+    for name in ("AWS_SECRET_ACCESS_KEY", "private_key", "auth", "pwd"):
+        assert secrets.scan(f"{name}={value}", engine) == [(len(name) + 1, len(name) + 1 + len(value), "novel")]
+    assert secrets.scan(f"colour={value}", engine) == []
+    assert [k for _, _, k in secrets.scan("auth=qXZkePvXtmWcuLrTosBnwJdz", engine)] == ["novel"]
+    assert secrets.scan("the author wrote of incomprehensibilities, auth handleRedirectResponseForwarder", engine) == []
+
+
 # ---------------------------------------------------------------- search
 
 
