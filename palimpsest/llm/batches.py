@@ -7,6 +7,7 @@ the longest single text, not the number of rows.
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import tempfile
 import types
@@ -24,12 +25,32 @@ PIECE_BYTES = 1 << 20
 BATCH_ROWS = 1000
 
 
+def _held() -> dict:
+    """What a worker process keeps between tasks; functions arrive by value, so module globals would not last."""
+    return sys.modules.setdefault("palimpsest_worker", types.ModuleType("palimpsest_worker")).__dict__
+
+
 def once(key: str, make: Callable[[], object]) -> object:
-    """Keep one value per worker process; functions arrive by value, so module globals would not last."""
-    cache = sys.modules.setdefault("palimpsest_worker", types.ModuleType("palimpsest_worker")).__dict__
-    if key not in cache:
-        cache[key] = make()
-    return cache[key]
+    """Keep one value per worker process, that of the last key; keys name contents, so equal tools are made once."""
+    held = _held()
+    if held.get("key") != key:
+        free(key)
+        held["value"], held["key"] = make(), key
+    return held["value"]
+
+
+def free(key: str | None) -> None:
+    """Let go of the value of any other key, so that no operator pays for the tools of the one before."""
+    held = _held()
+    if held.get("key") != key:
+        held.pop("value", None)
+        held["key"] = None
+        pa.default_memory_pool().release_unused()
+
+
+def named(kind: str, *contents: bytes) -> str:
+    """A key for `once`: the kind and a digest of what the value is made from."""
+    return f"{kind} {hashlib.md5(b''.join(hashlib.md5(c).digest() for c in contents)).hexdigest()}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +61,10 @@ def durable(df: DataFrame) -> DataFrame:
     """Write an intermediate result to the cluster's checkpoint folder and cut its lineage."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp("-checkpoints"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp("-checkpoints"))
     spark = df.sparkSession
     rows = df.checkpoint()._jdf.queryExecution().toRdd()
     # A plan of its own: the checkpoint's keeps constraints on columns that are gone, on which unions fail.
@@ -78,6 +102,23 @@ def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], np.frombuffer(data, np.uint8, int(offsets[-1] - offsets[0]), int(offsets[0]))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A working name that no column of `df` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _source(df: DataFrame, text: str, kept: list[str]) -> tuple[DataFrame, int]:
+    """The columns kept and the text, once, and its place among them."""
+    own = df.select(*[F.col(f"`{c}`") for c in kept])
+    for at, field in enumerate(own.schema.fields):
+        if field.name == text and isinstance(field.dataType, T.StringType):
+            return own, at
+    return df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias(fresh(own, "__text"))), len(kept)
+
+
 def annotate(
     df: DataFrame,
     text: str,
@@ -85,29 +126,49 @@ def annotate(
     compute: Callable[[pa.RecordBatch, int], list[pa.Array]],
     keep: list[str] | None = None,
     limit: int = PIECE_BYTES,
+    key: str | None = None,
 ) -> DataFrame:
     """Add columns computed from whole texts, batch by batch, without a shuffle.
 
     `compute(piece, index of the text column)` gives one array per field.  A
     column of `df` with a new field's name is replaced.  The text column is
-    read even when it is not kept.
+    read even when it is not kept, and sent to Python once.  `key` names the
+    tools that `compute` keeps by `once`; a worker lets go of all others.
     """
     names = [n for n, _ in fields]
     kept = without(df.select(*[F.col(f"`{c}`") for c in keep]) if keep is not None else df, names).columns
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = T.StructType([*source.schema.fields[:-1], *(T.StructField(n, t) for n, t in fields)])
-    at = len(kept)
+    source, at = _source(df, text, kept)
+    n = len(kept)
+    schema = T.StructType([*source.schema.fields[:n], *(T.StructField(x, t) for x, t in fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free(key)
         for batch in batches:
             for piece in pieces(batch, at, limit):
-                new = compute(piece, at)
-                yield pa.RecordBatch.from_arrays([*piece.columns[:at], *new], names=[*kept, *names])
+                yield pa.RecordBatch.from_arrays([*piece.columns[:n], *compute(piece, at)], names=[*kept, *names])
 
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return source.mapInArrow(run, schema)
 
 
+def filtered(df: DataFrame, text: str, test: Callable[[pa.RecordBatch, int], np.ndarray], key: str | None = None, limit: int = PIECE_BYTES) -> DataFrame:
+    """The rows whose whole text passes `test(piece, index of the text column)`, with all their columns, decided where they are read."""
+    source, at = _source(df, text, df.columns)
+    n = len(df.columns)
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free(key)
+        for batch in batches:
+            for piece in pieces(batch, at, limit):
+                mask = test(piece, at)
+                if mask.any():
+                    yield pa.RecordBatch.from_arrays(list(piece.columns[:n]), names=names).filter(pa.array(mask))
+
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return source.mapInArrow(run, df.schema)
+
+
 # ---------------------------------------------------------------- hashes
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -115,7 +176,7 @@ _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    held = once("powers", lambda: [np.ones(1, np.uint64), np.ones(1, np.uint64)])
+    held = _held().setdefault("powers", [np.ones(1, np.uint64), np.ones(1, np.uint64)])
     if len(held[0]) < n:
         size = 1 << int(n - 1).bit_length()
         for k, base in enumerate((_BASE, _BACK)):
@@ -185,3 +246,11 @@ def labelled_sample(labels: DataFrame, doc_id: str, label: str, train: F.Column,
     sizes = both.groupBy("y").agg(F.count("*").alias("n"))
     both = both.join(F.broadcast(sizes), "y").withColumn("weight", F.col("weight") / F.col("n"))
     return both.groupBy("doc_id").agg(F.max("y").alias("y"), F.max_by("weight", "y").alias("weight"))
+
+
+def labelled_texts(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, text, y, weight and a hash h of each chosen id; of several texts of one id, that of least hash, so rows stay bounded."""
+    own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = own.join(F.broadcast(chosen), "doc_id").withColumn("h", F.xxhash64("doc_id", "text"))
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("h", "text", "y", "weight")).alias("r"))
+    return one.select("doc_id", "r.text", "r.y", "r.weight", "r.h")

@@ -7,16 +7,16 @@ a text; around each hit Myers' bit-parallel distance decides.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.batches import annotate, once, table, without
+from palimpsest.llm.batches import annotate, filtered, fresh, named, once, table, without
 
 #: Edits allowed for each character of a normalised item.
 ERROR_RATE = 0.08
@@ -66,6 +66,11 @@ def best_match(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
     return least, at
 
 
+def bordered(text: str, start: int, end: int) -> bool:
+    """Whether a span begins and ends with a word; scripts that are written without spaces have borders everywhere."""
+    return all(not c or c == " " or ord(c) > 0x2E7F for c in (text[max(0, start - 1) : start], text[end : end + 1]))
+
+
 class Matcher:
     """All items of a block: the automaton of their pieces and the masks of each."""
 
@@ -92,8 +97,16 @@ class Matcher:
 
     def find(self, text: str) -> list[tuple[int, int, int]]:
         """(item id, distance, end in the normalised text) of each item within its budget, by item id."""
+        return sorted((i, d, at) for n, (d, at) in self.matches(text).items() for i in self.items[n][0])
+
+    def holds(self, text: str) -> bool:
+        """Whether any item is within its budget."""
+        return bool(self.matches(text, first=True))
+
+    def matches(self, text: str, first: bool = False) -> dict[int, tuple[int, int]]:
+        """Distance and end by number of item; with `first`, of no more than one item."""
         if not self.items:
-            return []
+            return {}
         norm = normalised(text)
         found: dict[int, tuple[int, int]] = {}
         tried: dict[int, int] = {}
@@ -108,15 +121,19 @@ class Matcher:
                 # A start tried before was searched with k characters to spare on either side.
                 if tried.get(n) == start:
                     continue
+                if not k and not bordered(norm, start, start + len(item)):
+                    continue
                 tried[n] = start
                 if norm.startswith(item, max(0, start)):
                     found[n] = (0, max(0, start) + len(item))
-                    continue
-                low = max(0, start - k)
-                distance, at = best_match(masks, len(item), norm[low : start + len(item) + k])
-                if distance <= k:
-                    found[n] = (distance, low + at)
-        return sorted((i, d, at) for n, (d, at) in found.items() for i in self.items[n][0])
+                else:
+                    low = max(0, start - k)
+                    distance, at = best_match(masks, len(item), norm[low : start + len(item) + k])
+                    if distance <= k:
+                        found[n] = (distance, low + at)
+                if first and found:
+                    return found
+        return found
 
 
 def blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, str]]]:
@@ -133,22 +150,32 @@ def match(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str
     Each match has item_id, distance and the end in the normalised text, at the
     first place found.  Null and empty texts, and empty benchmarks, match
     nothing.  Items with one normalised text match together; items of under 16
-    normalised characters must be there unchanged.
+    normalised characters must be there unchanged, as whole words.  Repeated rows
+    get the same matches; a column named matches, in any case, gives way.
     """
-    kept = without(docs, ["matches"]).columns if keep is None else keep
-    out = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__match_text"), F.array().cast("array<struct<item_id:bigint,distance:bigint,end:bigint>>").alias("matches"))
+    kept = without(docs.select(*[F.col(f"`{c}`") for c in keep]) if keep is not None else docs, ["matches"]).columns
     kind = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("item_id", "distance", "end")]))
-    for block in blocks(items, item_id, item_text):
-        sent, key = docs.sparkSession.sparkContext.broadcast(block), f"pieces {uuid.uuid4()}"
+    out, found = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, text])]), []
+    own = blocks(items, item_id, item_text)
+    block = next(own)
+    while block is not None:
+        later = next(own, None)
+        sent, key = _sent(docs.sparkSession, block, rate)
 
         def compute(piece: pa.RecordBatch, at: int, sent=sent, key=key) -> list[pa.Array]:
             matcher = once(key, lambda: Matcher(sent.value, rate))
             rows = [matcher.find(v) if v else [] for v in piece.column(at).to_pylist()]
             return [pa.array([[dict(zip(("item_id", "distance", "end"), r, strict=True)) for r in found] for found in rows], pa.list_(pa.struct([(n, pa.int64()) for n in ("item_id", "distance", "end")])))]
 
-        more = annotate(out, "__match_text", [("__more", kind)], compute)
-        out = more.withColumn("matches", F.array_sort(F.concat("matches", "__more"))).drop("__more")
-    return out.drop("__match_text")
+        found.append(fresh(out, "__found"))
+        out = annotate(out, text, [(found[-1], kind)], compute, [*kept, *found[:-1]] if later is None else None, key=key)
+        block = later
+    return out.select(*[F.col(f"`{c}`") for c in kept], F.array_sort(F.concat(*found)).alias("matches"))
+
+
+def _sent(spark: SparkSession, block: list[tuple[int, str]], rate: float):
+    """A block sent to the executors, and the name of its matcher."""
+    return spark.sparkContext.broadcast(block), named("pieces", repr((rate, block)).encode("utf-8", "replace"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +185,16 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold a benchmark item; all columns of the rest stay as they are."""
-    columns = docs.columns
-    marked = match(docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in columns])), table(spark, sf_dir, "benchmark"), keep=["__row"])
-    return marked.where(F.size("matches") == 0).select(*[F.col("__row").getField(c).alias(c) for c in columns])
+    """Drop the documents that hold a benchmark item; all columns of the rest stay as they are.
+
+    Null and empty texts, repeated rows and columns of any name are kept.
+    """
+    for block in blocks(table(spark, sf_dir, "benchmark"), "item_id", "text"):
+        sent, key = _sent(spark, block, ERROR_RATE)
+
+        def clean(piece: pa.RecordBatch, at: int, sent=sent, key=key) -> np.ndarray:
+            matcher = once(key, lambda: Matcher(sent.value, ERROR_RATE))
+            return np.array([not (v and matcher.holds(v)) for v in piece.column(at).to_pylist()], bool)
+
+        docs = filtered(docs, "text", clean, key)
+    return docs

@@ -13,7 +13,6 @@ any segmentation decodes to the text itself.
 from __future__ import annotations
 
 import heapq
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.batches import annotate, mix, once, span_hashes, table, utf8
+from palimpsest.llm import batches
+from palimpsest.llm.batches import annotate, fresh, mix, once, span_hashes, table, utf8
 
 DEFAULT_VOCABULARY = "piece_bpe_32k.model"
 #: Chance that a candidate merge is skipped, and the seed of the draws.
@@ -331,9 +331,11 @@ def decoded(ids: np.ndarray, bounds: np.ndarray, vocab: Vocabulary) -> tuple[np.
     return np.delete(out, drop), cut - np.cumsum(gone)[cut]
 
 
-def _sent(spark: SparkSession, vocabulary: str):
+def _sent(spark: SparkSession, vocabulary: str, kind: str):
+    """A vocabulary sent to the executors, and the name of what is made from it."""
     with open(vocabulary, "rb") as f:
-        return spark.sparkContext.broadcast(f.read()), uuid.uuid4()
+        content = f.read()
+    return spark.sparkContext.broadcast(content), batches.named(kind, content)
 
 
 def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", seed: int = SEED, dropout: float = DROPOUT, keep: list[str] | None = None) -> DataFrame:
@@ -341,17 +343,15 @@ def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", seed: int =
 
     `vocabulary` is the path of the model on the driver.  A null or empty text
     has no ids.  With dropout 0 the ids are those of the library, but for a real
-    U+2581, which is spelled in bytes.  Equal texts are segmented alike; within
-    a text and between texts, each occurrence of a word draws for itself.
+    U+2581, which is spelled in bytes.  Equal texts, so repeated rows too, are
+    segmented alike; within a text and between texts, each occurrence of a word
+    draws for itself.  An empty table gives an empty table; columns named ids,
+    n_pieces or lossless, in any case, give way.
     """
-    sent, key = _sent(docs.sparkSession, vocabulary)
+    sent, key = _sent(docs.sparkSession, vocabulary, f"encoder {seed} {dropout}")
 
     def compute(piece: pa.RecordBatch, at: int) -> list[pa.Array]:
-        held = once("encoder", dict)
-        if key not in held:
-            held.clear()  # what an earlier run remembered
-            held[key] = Encoder(read_vocabulary(sent.value), seed, dropout)
-        encoder = held[key]
+        encoder = once(key, lambda: Encoder(read_vocabulary(sent.value), seed, dropout))
         offsets, data = utf8(piece.column(at))
         ids, bounds = encoder.encode(offsets, data)
         back, cut = decoded(ids, bounds, encoder.vocab)
@@ -363,17 +363,17 @@ def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", seed: int =
             equal = np.array([back[a:b].tobytes() == data[c:d].tobytes() for a, b, c, d in zip(cut, cut[1:], offsets, offsets[1:])])
         return [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())), pa.array(np.diff(bounds), pa.int64()), pa.array(equal, pa.bool_())]
 
-    return annotate(docs, text, [("ids", T.ArrayType(T.IntegerType())), ("n_pieces", T.LongType()), ("lossless", T.BooleanType())], compute, keep)
+    return annotate(docs, text, [("ids", T.ArrayType(T.IntegerType())), ("n_pieces", T.LongType()), ("lossless", T.BooleanType())], compute, keep, key=key)
 
 
 def decode(encoded: DataFrame, vocabulary: str, *, ids: str = "ids", into: str = "text") -> DataFrame:
     """Add the texts that ids stand for; null or empty ids give the empty text, bytes that are no UTF-8 replacement characters."""
-    sent, key = _sent(encoded.sparkSession, vocabulary)
+    sent, key = _sent(encoded.sparkSession, vocabulary, "decoder")
     kept = [c for c in encoded.columns if c.lower() != into.lower()]
 
-    def run(batches):
-        vocab = once(f"pieces {key}", lambda: read_vocabulary(sent.value))
-        for batch in batches:
+    def run(parts):
+        vocab = once(key, lambda: read_vocabulary(sent.value))
+        for batch in parts:
             lists = batch.column(len(kept)).fill_null([])
             own = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             bounds = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
@@ -381,7 +381,7 @@ def decode(encoded: DataFrame, vocabulary: str, *, ids: str = "ids", into: str =
             raw = out.tobytes()
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(cut, cut[1:])], pa.string())], names=[*kept, into])
 
-    source = encoded.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{ids}`").cast("array<int>").alias("__ids"))
+    source = encoded.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{ids}`").cast("array<int>").alias(fresh(encoded, "__ids")))
     return source.mapInArrow(run, T.StructType([*source.schema.fields[:-1], T.StructField(into, T.StringType())]))
 
 
@@ -392,6 +392,7 @@ def default_vocabulary() -> str:
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """doc_id, ids, n_pieces and lossless of every document."""
     return encode(table(spark, sf_dir, "documents"), vocabulary or default_vocabulary(), keep=["doc_id"])
 
 

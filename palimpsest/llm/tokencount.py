@@ -14,14 +14,13 @@ from __future__ import annotations
 
 import json
 import unicodedata
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from palimpsest.llm.batches import annotate, once, span_hashes, table, utf8
+from palimpsest.llm.batches import annotate, named, once, span_hashes, table, utf8
 
 #: Characters of a chunk, and of its end whose map is tried first.
 CHUNK, TAIL = 256, 32
@@ -299,8 +298,8 @@ def count(docs: DataFrame, vocabulary: str, *, text: str = "text", limit: int =
     proportion to its length.
     """
     with open(vocabulary, encoding="utf-8") as f:
-        sent = docs.sparkSession.sparkContext.broadcast(f.read())
-    key = f"transducer {uuid.uuid4()}"
+        content = f.read()
+    sent, key = docs.sparkSession.sparkContext.broadcast(content), named("transducer", content.encode())
 
     def compute(piece: pa.RecordBatch, at: int) -> list[pa.Array]:
         tools = once(key, lambda: compiled(sent.value))
@@ -308,7 +307,7 @@ def count(docs: DataFrame, vocabulary: str, *, text: str = "text", limit: int =
         n = token_counts([v or "" for v in piece.column(at).to_pylist()], tools)
         return [pa.array(np.diff(offsets), pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit, pa.bool_())]
 
-    return annotate(docs, text, [("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("over_limit", T.BooleanType())], compute, keep)
+    return annotate(docs, text, [("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("over_limit", T.BooleanType())], compute, keep, key=key)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
