@@ -1,14 +1,13 @@
 """Language ID by compression.
 
-Each language gets a raw-content zstandard dictionary cut from a bounded sample
-of its training texts.  A whole text, in lower case, is compressed window by window with every
+Each language gets a raw-content zstandard dictionary, put together from windows
+of a bounded sample of its training texts.  A whole text, in lower case, is compressed window by window with every
 dictionary; the language whose dictionary leaves the fewest bytes wins, and the
 answer is rejected when the runner-up comes too close.
 """
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,10 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.batches import annotate, crc_mod, once, table
+from palimpsest.llm.batches import annotate, crc_mod, filtered, named, once, table
 
-#: Training texts of each language, the characters read of each, and the bytes of its dictionary.
-SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 96, 4_000, 65_536
+#: Distinct training texts of each language, the characters of the windows they are cut into, and the bytes of its dictionary.
+SAMPLE_TEXTS, SAMPLE_WINDOW, DICTIONARY_BYTES = 96, 512, 65_536
 #: All dictionaries together go to every executor; more than this is refused.
 ALL_DICTIONARIES_BYTES = 64 << 20
 #: Bytes of text compressed at a time, so that the dictionary counts throughout a long text.
@@ -42,37 +41,43 @@ class LanguageModel:
     dictionaries: list[bytes]
 
 
-def fit(docs: DataFrame, train: Column, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
-    """Cut one dictionary per language from the training rows of least id hash.
+def fit(docs: DataFrame, train: Column, *, text: str = "text", lang: str = "lang") -> LanguageModel:
+    """One dictionary per language, from the distinct training texts of least hash.
 
-    Rows with a null or empty text, or a null language, teach nothing.  No rows:
-    a model without languages, which predicts `und`.
+    Sampled texts are cut into windows from end to end.  Windows are taken in
+    turns, one of each text, in the order of their hashes, until the dictionary
+    is full, so that neither a long text nor a common opening fills it.  Copies
+    count once.  Rows with a null or empty text, or a null language, teach
+    nothing.  No rows: a model without languages, which predicts `und`.
     """
-    rows = docs.where(train).select(F.col(f"`{lang}`").cast("string").alias("lang"), F.substring(F.col(f"`{text}`").cast("string"), 1, SAMPLE_CHARS).alias("text"), F.xxhash64(F.col(f"`{doc_id}`")).alias("h"))
-    first = Window.partitionBy("lang").orderBy("h", "text")
-    rows = rows.where("lang is not null and text <> ''").withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_ROWS)
+    rows = docs.where(train).select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = rows.where("lang is not null and text <> ''").withColumn("h", F.xxhash64("text"))
+    most = ALL_DICTIONARIES_BYTES // DICTIONARY_BYTES
+    names = [r.lang for r in rows.select("lang").distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} languages need more than {ALL_DICTIONARIES_BYTES} bytes of dictionaries")
+    least = rows.select("lang", "h").distinct().withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= SAMPLE_TEXTS)
+    # SAMPLE_TEXTS rows a language at most, and so bounded like the dictionaries.
+    texts = rows.join(F.broadcast(least.select("lang", "h")), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    cut = F.expr(f"transform(sequence(0, int((length(text) - 1) div {SAMPLE_WINDOW})), k -> substring(text, k * {SAMPLE_WINDOW} + 1, {SAMPLE_WINDOW}))")
+    windows = texts.select("lang", "h", F.posexplode(cut).alias("k", "window")).withColumn("order", F.xxhash64("h", "k"))
+    windows = windows.withColumn("turn", F.row_number().over(Window.partitionBy("lang", "h").orderBy("order", "k")))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("turn", "order", "h", "k"))
+    windows = windows.withColumn("place", place).where(F.col("place") <= DICTIONARY_BYTES // SAMPLE_WINDOW)
     samples: dict[str, list[bytes]] = {}
-    for r in rows.orderBy("lang", "n").toLocalIterator():
-        samples.setdefault(r.lang, []).append(r.text.lower().encode())
+    for r in windows.select("lang", "place", "window").orderBy("lang", "place").collect():
+        samples.setdefault(r.lang, []).append(r.window.lower().encode())
     model = LanguageModel([], [])
     for name in sorted(samples):
-        each = max(256, DICTIONARY_BYTES // len(samples[name]))
         model.languages.append(name)
-        model.dictionaries.append(b"\n".join(x[: each - 1] for x in samples[name])[:DICTIONARY_BYTES])
-    if sum(map(len, model.dictionaries)) > ALL_DICTIONARIES_BYTES:
-        raise ValueError(f"{len(model.languages)} languages need more than {ALL_DICTIONARIES_BYTES} bytes of dictionaries")
+        model.dictionaries.append(b"\n".join(reversed(samples[name])))
     return model
 
 
-def predict(docs: DataFrame, model: LanguageModel, *, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Add lang_pred, score and rejected to every row, from its whole text.
-
-    A null text, or one without a letter: `und`, score 0, rejected.  Ties go to
-    the language that sorts first and are rejected.  With one learned language
-    there is no runner-up: score 1.  Rows are independent; repeated ids keep
-    their own answers.
-    """
-    sent, key = docs.sparkSession.sparkContext.broadcast(model), f"zstd {uuid.uuid4()}"
+def _judge(spark: SparkSession, model: LanguageModel):
+    """The name of the compressors, and a function that gives languages, scores and rejections of the texts of a batch."""
+    sent = spark.sparkContext.broadcast(model)
+    key = named("zstd", repr((COMPRESSION, WINDOW, model.languages)).encode(), *model.dictionaries)
 
     def compressors() -> list[zstandard.ZstdCompressor]:
         made, parameters = [], zstandard.ZstdCompressionParameters(**COMPRESSION)
@@ -82,7 +87,7 @@ def predict(docs: DataFrame, model: LanguageModel, *, doc_id: str = "doc_id", te
             made.append(zstandard.ZstdCompressor(compression_params=parameters, dict_data=own))
         return made
 
-    def compute(piece: pa.RecordBatch, at: int) -> list[pa.Array]:
+    def judge(piece: pa.RecordBatch, at: int) -> tuple[list[str], list[float], list[bool]]:
         names, held = sent.value.languages, once(key, compressors)
         pred, score, rejected = [], [], []
         for value in piece.column(at).to_pylist():
@@ -95,13 +100,31 @@ def predict(docs: DataFrame, model: LanguageModel, *, doc_id: str = "doc_id", te
             order = np.argsort(left, kind="stable")
             margin = 1.0 if len(order) == 1 else float(left[order[1]] - left[order[0]]) / float(left[order[1]])
             pred.append(names[order[0]]), score.append(1.0 - float(np.exp(-margin / SCALE))), rejected.append(margin < NARROW)
+        return pred, score, rejected
+
+    return key, judge
+
+
+def predict(docs: DataFrame, model: LanguageModel, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Add lang_pred, score and rejected to every row, from its whole text.
+
+    A null text, or one without a letter: `und`, score 0, rejected.  Ties go to
+    the language that sorts first and are rejected.  With one learned language
+    there is no runner-up: score 1.  Rows are independent; repeated ids keep
+    their own answers.
+    """
+    key, judge = _judge(docs.sparkSession, model)
+
+    def compute(piece: pa.RecordBatch, at: int) -> list[pa.Array]:
+        pred, score, rejected = judge(piece, at)
         return [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
 
     fields = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("rejected", T.BooleanType())]
-    return annotate(docs, text, fields, compute, keep)
+    return annotate(docs, text, fields, compute, keep, key=key)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score and rejected of every document; a null id is not held out."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, crc_mod("doc_id", 3) != 1)
     docs = docs.withColumn("held_out", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)))
@@ -109,7 +132,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents whose language is clear; all columns stay as they are."""
-    columns = docs.columns
-    marked = predict(docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in columns])), fit(docs, crc_mod("doc_id", 3) != 1), keep=["__row"])
-    return marked.where(~F.col("rejected")).select(*[F.col("__row").getField(c).alias(c) for c in columns])
+    """Keep the documents whose language is clear, with all their columns; texts that are null, empty or without letters go."""
+    key, judge = _judge(spark, fit(docs, crc_mod("doc_id", 3) != 1))
+    return filtered(docs, "text", lambda piece, at: ~np.array(judge(piece, at)[2], bool), key)
