@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.batches import annotate, crc_mod, labelled_sample, lowered, mix, span_hashes, table, utf8
+from palimpsest.llm.batches import annotate, crc_mod, durable, labelled_sample, labelled_texts, lowered, mix, span_hashes, table, utf8
 
 #: log2 of the buckets; training rows of each label; passes over them.
 BITS, SAMPLE_PER_LABEL, EPOCHS = 18, 3_000, 4
+#: Bytes of packed n-grams that the sample may have; it ends, in the order of hashes, where they are reached.
+SAMPLE_BYTES = 256 << 20
 #: Weight of the shares, so that their sum of 1 a family isn't drowned by the regulariser.
 SHARE = 8.0
 #: Follow-the-regularised-leader: learning rate, its offset, L1 and L2 strength.
@@ -94,17 +96,27 @@ def shares(df: DataFrame, text: str = "text") -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, train: F.Column, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", per_label: int = SAMPLE_PER_LABEL) -> QualityModel:
     """Train on at most `per_label` rows of each label, weighted to the labels' true shares.
 
-    No labelled rows: zero weights, so every score is 0.5.
+    The sample has SAMPLE_BYTES of packed n-grams at most, which all reach the
+    driver, and one text of each id.  No labelled rows: zero weights, so every
+    score is 0.5.
     """
-    chosen = labelled_sample(labels, "doc_id", label, train, per_label)
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "doc_id").withColumn("h", F.xxhash64("doc_id", "text"))
-    examples = sorted(shares(rows).collect(), key=lambda r: (r.h, r.y))
+    chosen = labelled_sample(labels, doc_id, label, train, per_label)
+    packed = durable(shares(labelled_texts(docs, chosen, doc_id, text)))
+    sizes = sorted((r.h, r.n) for r in packed.select("h", (F.octet_length("buckets") + F.octet_length("shares")).alias("n")).collect())
+    within = np.cumsum([size for _, size in sizes]) <= SAMPLE_BYTES
+    last = max((h for (h, _), some in zip(sizes, within, strict=True) if some), default=sizes[0][0] if sizes else 0)
+    examples = sorted(packed.where(F.col("h") <= last).collect(), key=lambda r: (r.h, r.y))
+    return learn([(np.frombuffer(r.buckets, np.int32), np.frombuffer(r.shares, np.float32).astype(float), r.y, r.weight) for r in examples])
+
+
+def learn(examples: list[tuple[np.ndarray, np.ndarray, int, float]]) -> QualityModel:
+    """Follow-the-regularised-leader over (buckets, shares, label, weight), EPOCHS times in the order given."""
     z, n, w = np.zeros(1 << BITS), np.zeros(1 << BITS), np.zeros(1 << BITS)
     bias = bias_n = 0.0
-    total = sum(r.weight for r in examples)
-    unpacked = [(np.frombuffer(r.buckets, np.int32), np.frombuffer(r.shares, np.float32).astype(float), r.y, r.weight * len(examples) / total) for r in examples]
+    total = sum(weight for _, _, _, weight in examples)
     for _ in range(EPOCHS):
-        for at, x, y, weight in unpacked:
+        for at, x, y, share in examples:
+            weight = share * len(examples) / total
             now = np.where(np.abs(z[at]) <= L1, 0.0, (np.sign(z[at]) * L1 - z[at]) / ((BETA + np.sqrt(n[at])) / ALPHA + L2))
             error = weight * (1 / (1 + np.exp(-np.clip(now @ x + bias, -30, 30))) - y)
             g = error * x
@@ -135,6 +147,7 @@ def score(docs: DataFrame, model: QualityModel, *, text: str = "text", threshold
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; a null id is not held out."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
     docs = docs.withColumn("held_out", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)))
