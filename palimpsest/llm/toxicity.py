@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.batches import annotate, crc_mod, labelled_sample, table
+from palimpsest.llm.batches import annotate, crc_mod, labelled_sample, labelled_texts, table
 
 #: Sampled rows of each label.
 SAMPLE_PER_LABEL = 3_000
@@ -94,7 +94,7 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     masked = [w for w in _MASKED.findall(text)] if _MASK.search(text) else []
     spaced = _SPACED.findall(text)
     hidden = sum(lexicon.insult(w.lower().translate(LOOKALIKES)) for w in masked) + sum(lexicon.insult("".join(_WORD.findall(w)).lower()) for w in spaced)
-    stretched = len(_STRETCHED.findall(text)) if any(c * 4 in text for c in "aeiouhmnorstyAEIOUHMNORSTY") else 0
+    stretched = len(_STRETCHED.findall(text))
     upper, letters = size - len(raw.translate(None, _UPPER)), max(1, size - len(raw.translate(None, _LETTERS)))
     return [
         1000 * (len(known) + hidden) / n, 1000 * len(own) / n, 1000 * (len(hits) + hidden) / n, float(min(4, len(hits) + hidden)), 1000 * near / n, 1000 * sum(map(second.__contains__, low)) / n,
@@ -211,8 +211,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: F.Column, *, doc_id: str = "d
     Rows are weighted to the labels' true shares.  Two in three sampled rows
     grow the trees, the rest calibrate.  No labelled rows: every score is 0.
     """
-    chosen = labelled_sample(labels, "doc_id", label, train, per_label)
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "doc_id").withColumn("h", F.xxhash64("doc_id", "text"))
+    chosen = labelled_sample(labels, doc_id, label, train, per_label)
+    rows = labelled_texts(docs, chosen, doc_id, text)
     model = ToxicityModel(learn_lexicon(rows))
     found = sorted(dense(rows, model.stems, "text", ["h", "y", "weight"]).collect(), key=lambda r: (r.h, r.y))
     if not found:
@@ -245,6 +245,7 @@ def score(docs: DataFrame, model: ToxicityModel, *, text: str = "text", threshol
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; a null id is not held out."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
     docs = docs.withColumn("held_out", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)))
