@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.batches import annotate, durable, lowered, mix, span_hashes, table, utf8, without, words
+from palimpsest.llm.batches import annotate, durable, lowered, mix, span_hashes, table, utf8, words
 
 #: Words of a shingle, and the least similarity of a link, in hundredths.
 SHINGLE_WORDS, SIMILARITY = 5, 75
@@ -27,6 +27,10 @@ BANDS, ROWS = 32, 4
 BLOCK = 256
 #: Largest family compared as a whole.
 FAMILY = 8_192
+#: Keys with over this part of the rows are heavy, so there are fewer than so many; and the tasks that one of them is dealt to.
+HEAVY, SALTS = 256, 32
+#: Bits of the filter that keeps texts out of a shuffle; 4 MB, whatever the input.
+FILTER_BITS = 1 << 24
 _BINS = BANDS * ROWS
 #: For each bin, the order in which it looks for a bin that isn't empty.
 _ORDERS = np.stack([np.random.default_rng([20140622, b]).permutation(_BINS) for b in range(_BINS)])
@@ -105,6 +109,40 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return annotate(own, "text", [("words_key", T.BinaryType()), ("n_shingles", T.LongType()), ("bands", T.ArrayType(T.LongType()))], compute, ["doc_id", "key"])
 
 
+def placed(columns: list[F.Column]) -> tuple[F.Column, F.Column]:
+    """The word of the filter that a key belongs to, and its bit there."""
+    place = F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
+    return F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
+
+
+def words_of(keys: DataFrame, columns: list[str]) -> DataFrame:
+    """The words of a filter with the keys in it: FILTER_BITS / 64 rows at most."""
+    word, bit = placed([F.col(c) for c in columns])
+    return keys.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+
+
+def maybe(df: DataFrame, filter_words: DataFrame, columns: list[F.Column], there: bool = True) -> DataFrame:
+    """Rows whose key may be in the filter (all that are, and few others), or the rest, without a shuffle."""
+    word, bit = placed(columns)
+    known = df.join(F.broadcast(filter_words), word == F.col("__word"), "left")
+    hit = F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))
+    return known.where(hit if there else ~hit).drop("__word", "__bits")
+
+
+def dealt(wide: DataFrame, narrow: DataFrame, on: str, by: str, how: str = "inner") -> DataFrame:
+    """Join with `narrow`, which has one row a key and in `__n` the rows of `wide` with it; `narrow` must be durable.
+
+    Rows of a heavy key, of which there are fewer than HEAVY, are dealt by the
+    column `by` to SALTS tasks, each with a copy of the key's row in `narrow`.
+    """
+    total = narrow.agg(F.sum("__n")).first()[0] or 0
+    heavy = F.broadcast(narrow.where(F.col("__n") * HEAVY > F.lit(total)).select(on, F.lit(SALTS).alias("__salts")))
+    salts = F.coalesce("__salts", F.lit(1))
+    copies = narrow.drop("__n").join(heavy, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    own = wide.join(heavy, on, "left").withColumn("__salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("__salts")
+    return own.join(copies, [on, "__salt"], how).drop("__salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and component, its least node, for the nodes of undirected edges (a, b).
 
@@ -115,16 +153,19 @@ def components(edges: DataFrame) -> DataFrame:
     labels, rest = None, durable(edges.select("a", "b").where("a <> b").distinct())
     while not rest.isEmpty():
         both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p"))
-        up = parent.select(F.col("a").alias("p"), F.col("p").alias("component"))
-        parent = durable(parent.join(up, "p").select(F.col("a").alias("node"), "component"))
+        parent = durable(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p"), F.count("*").alias("__n")))
+        children = parent.groupBy("p").agg(F.count("*").alias("__n"))
+        up = durable(parent.select(F.col("a").alias("p"), F.col("p").alias("component")).join(children, "p"))
+        parent = durable(dealt(parent.withColumnRenamed("__n", "n"), up, "p", "a").select(F.col("a").alias("node"), "component", F.col("n").alias("__n")))
         if labels is None:
-            labels = parent
+            labels = parent.select("node", "component")
         else:
             step = parent.select(F.col("node").alias("component"), F.col("component").alias("further"))
-            labels = durable(labels.join(step, "component", "left").select("node", F.coalesce("further", "component").alias("component")))
-        ends = [parent.select(F.col("node").alias(x), F.col("component").alias(f"{x}{x}")) for x in ("a", "b")]
-        rest = rest.join(ends[0], "a").join(ends[1], "b").select(F.col("aa").alias("a"), F.col("bb").alias("b")).where("a <> b")
+            step = durable(step.join(labels.groupBy("component").agg(F.count("*").alias("__n")), "component"))
+            labels = durable(dealt(labels, step, "component", "node", "left").select("node", F.coalesce("further", "component").alias("component")))
+        for x, y in (("a", "b"), ("b", "a")):
+            rest = dealt(rest, parent.select(F.col("node").alias(x), F.col("component").alias(f"{x}{x}"), "__n"), x, y)
+        rest = rest.select(F.col("aa").alias("a"), F.col("bb").alias("b")).where("a <> b")
         rest = durable(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("component")).where(F.lit(False))
 
@@ -136,18 +177,21 @@ class Links:
         self.docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
         self.rows = durable(fingerprints(docs, doc_id, text).withColumn("row", F.monotonically_increasing_id()))
         worded = self.rows.where(F.col("words_key").isNotNull())
-        self.classes = durable(worded.groupBy("words_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id")))
+        self.classes = durable(worded.groupBy("words_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id"), F.count("*").alias("__n")))
         nodes = self.rows.join(self.classes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
         self.nodes = durable(nodes.select("node", "doc_id", "key", "n_shingles", "bands"))
         buckets = self.nodes.select("node", F.explode("bands").alias("bucket"))
-        shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
         # Members of buckets that hold at least two texts.
-        self.members = durable(buckets.join(shared, "bucket"))
+        self.shared = durable(buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+        self.members = durable(dealt(buckets, self.shared.withColumn("__n", F.col("size")), "bucket", "node"))
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """node and its full shingle set, for the nodes wanted: made again from the texts, which are found by content and id."""
-        own = self.nodes.select("node", "doc_id", "key").join(wanted.select("node").distinct(), "node")
-        texts = self.docs.withColumn("key", F.unhex(F.md5(F.coalesce("text", F.lit(""))))).alias("d").join(own.alias("w"), F.col("d.key").eqNullSafe(F.col("w.key")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
+        own = durable(self.nodes.select("node", "doc_id", "key").join(wanted.select("node").distinct(), "node"))
+        docs = self.docs.withColumn("key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+        # A node is one row, but repeated rows have its id and text too.
+        docs = maybe(docs, words_of(own, ["doc_id", "key"]), [F.col("doc_id"), F.col("key")]).dropDuplicates(["key", "doc_id"])
+        texts = docs.alias("d").join(own.alias("w"), F.col("d.key").eqNullSafe(F.col("w.key")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
 
         def compute(piece: pa.RecordBatch, at: int) -> list[pa.Array]:
             offsets, data = utf8(piece.column(at))
@@ -164,8 +208,10 @@ class Links:
                 pairs = pairs.join(sizes.withColumnsRenamed({"node": x, "n_shingles": f"n_{x}"}), x)
             pairs = durable(pairs.where(100 * F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")).select("a", "b"))
             sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")))
-        for x in ("a", "b"):
-            pairs = pairs.join(sets.withColumnsRenamed({"node": x, "shingles": f"s_{x}"}), x)
+        for x, y in (("a", "b"), ("b", "a")):
+            degree = pairs.groupBy(x).agg(F.count("*").alias("__n"))
+            own = durable(sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}")).join(degree, x))
+            pairs = dealt(pairs, own, x, y)
         both = F.size(F.array_intersect("s_a", "s_b"))
         return durable(pairs.where(100 * both >= SIMILARITY * (F.size("s_a") + F.size("s_b") - both)).select("a", "b"))
 
@@ -177,8 +223,8 @@ class Links:
         """
         meets = self.members.groupBy("node").agg(F.sum("size").alias("meets"))
         own = self.members.join(meets, "node")
-        hubs = own.groupBy("bucket").agg(F.max(F.struct("meets", "node")).alias("h")).select("bucket", F.col("h.node").alias("a"))
-        return self.members.join(hubs, "bucket").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+        hubs = own.groupBy("bucket").agg(F.max(F.struct("meets", "node")).alias("h"), F.count("*").alias("__n")).select("bucket", F.col("h.node").alias("a"), "__n")
+        return dealt(self.members, durable(hubs), "bucket", "node").where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
     def labels(self) -> DataFrame:
         """node and component of every text that is linked to another."""
@@ -198,8 +244,9 @@ class Links:
         compared so instead, which then is less work for the same pairs.
         """
         own = self.members.select("bucket", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        own = durable(own)
         mixed = own.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        own = durable(own.join(mixed.select("bucket", "n", "least"), "bucket"))
+        own = durable(dealt(own, durable(mixed.select("bucket", "n", "least", F.col("n").alias("__n"))), "bucket", "node"))
         if own.isEmpty():
             return None
         families = components(own.select(F.col("least").alias("a"), F.col("node").alias("b"))).withColumnRenamed("component", "family")
@@ -258,26 +305,40 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     own.  A null id is never a component's id while another is there.
     """
     links = Links(docs, doc_id, text)
-    ids = links.classes.join(links.labels(), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = ids.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = durable(ids.join(least, "component").select("words_key", "component_id"))
+    ids = durable(links.classes.join(links.labels(), "node", "left").withColumn("component", F.coalesce("component", "node")))
+    least = durable(ids.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("__n")))
+    named = durable(dealt(ids.select("words_key", "component", F.col("__n").alias("n")), least, "component", "words_key").select("words_key", "component_id", F.col("n").alias("__n")))
     rows = links.rows.select("doc_id", "key", "words_key", "n_shingles")
-    whole = rows.where(F.col("words_key").isNotNull()).join(named, "words_key").select("doc_id", "n_shingles", "component_id", "key")
+    whole = dealt(rows.where(F.col("words_key").isNotNull()), named, "words_key", "doc_id").select("doc_id", "n_shingles", "component_id", "key")
     bare = rows.where(F.col("words_key").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "key")
     return whole.unionByName(bare).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document."""
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group: that with the least id, once if its row is repeated."""
+    """Keep one document of each group: that with the least id, once if its row is repeated.
+
+    Columns of any name stay as they are.  Documents whose id and text are no
+    one else's, and that are kept, are passed on where they are read; only the
+    rest, and the few that the filter takes for them, are shuffled.
+    """
     columns = docs.columns
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
-    own = docs.withColumn("__own_key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    own = own.join(kept, F.col("__own_key").eqNullSafe(F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    return without(own.dropDuplicates(["__id", "__key"]), ["__id", "__key", "__own_key"]).select(*[F.col(f"`{c}`") for c in columns])
+    found = near_duplicates(docs).groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.max("kept").alias("__kept"), F.count("*").alias("__rows"))
+    found = durable(found.where("not __kept or __rows > 1"))
+    inside = words_of(found, ["__id", "__key"])
+    name = "__own"
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias(name))
+    key = [F.col(f"{name}.doc_id").cast("long"), F.unhex(F.md5(F.coalesce(F.col(f"{name}.text").cast("string"), F.lit(""))))]
+    sure = maybe(own, inside, key, there=False)
+    other = maybe(own, inside, key).select(name, key[0].alias("__id_"), key[1].alias("__key_"))
+    other = other.join(found, F.col("__id_").eqNullSafe(F.col("__id")) & F.col("__key_").eqNullSafe(F.col("__key")), "left").where("coalesce(__kept, true)")
+    # Rows that aren't repeated are no copies of each other; those that are differ in nothing that counts.
+    once = other.where("__rows is null").select(name).unionByName(other.where("__rows is not null").dropDuplicates(["__id", "__key"]).select(name))
+    return sure.select(name).unionByName(once).select(*[F.col(name).getField(c).alias(c) for c in columns])
 
 
 OP5_SQL = r"""
