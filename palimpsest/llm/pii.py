@@ -50,18 +50,58 @@ LABELERS = (
     f"if(c.before rlike '(?i)\\\\b({FOR_IT})', 1, 0)",
     f"if(c.before rlike '(?i)\\\\b({AGAINST})', -1, 0)",
 )
+#: Spans that one fold goes over; more are folded in blocks, as a fold copies what it has gathered at each step.
+FOLD = 256
 _CANDIDATE = "struct<kind:int,base:boolean,start:bigint,end:bigint,m:string,before:string>"
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for `body` with `value`, which is worked out once, under a name."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _blocks(array: str) -> str:
+    """SQL for the blocks of a named array that isn't empty."""
+    return f"transform(sequence(0, int((size({array}) - 1) div {FOLD})), b -> slice({array}, b * {FOLD} + 1, {FOLD}))"
+
+
 def _spans(kind: int, guard: str, pattern: str, candidate: str, base: str) -> str:
     """SQL for the candidates that one pattern gives in the text __t, in order; offsets count code points."""
     m = "x.m"
     step = f"""struct(acc.pos + length(x.p) + length(x.m) AS pos, if({candidate.replace("m,", f"{m},")},
       concat(acc.found, array(named_struct('kind', {kind}, 'base', {base.replace("m rlike", f"{m} rlike").replace("(m,", f"({m},")}, 'start', acc.pos + length(x.p), 'end', acc.pos + length(x.p) + length(x.m), 'm', x.m, 'before', right(x.p, {CONTEXT})))),
       acc.found) AS found)"""
-    pairs = f"zip_with(split(__t, '{pattern}', -1), regexp_extract_all(__t, '{pattern}', 0), (p, m) -> struct(p, m))"
+    pairs = f"filter(zip_with(split(__t, '{pattern}', -1), regexp_extract_all(__t, '{pattern}', 0), (p, m) -> struct(p, m)), x -> x.m is not null)"
     empty = f"cast(array() AS array<{_CANDIDATE}>)"
-    return f"if({guard.format(t='__t')}, aggregate(filter({pairs}, x -> x.m is not null), struct(0L AS pos, {empty} AS found), (acc, x) -> {step}).found, {empty})"
+    folded = f"transform({_blocks('q')}, k -> aggregate(k, struct(0L AS pos, {empty} AS found), (acc, x) -> {step}))"
+    offsets = "aggregate(r, array(0L), (acc, k) -> concat(acc, array(element_at(acc, -1) + k.pos)))"
+    moved = "transform(k.found, f -> named_struct('kind', f.kind, 'base', f.base, 'start', f.start + o, 'end', f.end + o, 'm', f.m, 'before', f.before))"
+    whole = _let("r", folded, f"flatten(zip_with(r, slice({offsets}, 1, size(r)), (k, o) -> {moved}))")
+    return f"if({guard.format(t='__t')}, {_let('q', pairs, f'if(size(q) = 0, {empty}, {whole})')}, {empty})"
+
+
+def _running(array: str, kind: str, value: str, least: str) -> str:
+    """SQL for structs of each element x (of type `kind`) and m, the greatest `value` of those before it."""
+    empty = f"cast(array() AS array<struct<x:{kind},m:bigint>>)"
+    before = f"transform(sequence(0, size(r) - 1), i -> greatest({least}, coalesce(array_max(slice(tops, 1, i)), {least})))"
+    fold = f"aggregate(k, struct(m0 AS m, {empty} AS out), (acc, x) -> struct(greatest(acc.m, {value}) AS m, concat(acc.out, array(struct(x AS x, acc.m AS m))) AS out), acc -> acc.out)"
+    whole = _let("r", _blocks("q"), _let("tops", f"transform(r, k -> array_max(transform(k, x -> {value})))", f"flatten(zip_with(r, {before}, (k, m0) -> {fold}))"))
+    return _let("q", array, f"if(size(q) = 0, {empty}, {whole})")
+
+
+_SPAN = "struct<kind:int,start:bigint,end:bigint>"
+
+
+def _free(base: str, added: str) -> str:
+    """SQL for the added spans that overlap no base span: none reaches in from before, and none begins within."""
+    kind, least = f"struct<at:bigint,added:int,v:bigint,t:bigint,c:{_SPAN}>", "-9223372036854775807L"
+
+    def one_way(spans: str, at: str, v: str, t: str) -> str:
+        both = f"array_sort(concat(transform({base}, c -> named_struct('at', {at}, 'added', 0, 'v', {v}, 't', 0L, 'c', c)), transform({spans}, c -> named_struct('at', {at}, 'added', 1, 'v', {least}, 't', {t}, 'c', c))))"
+        return f"transform(filter({_running(both, kind, 'x.v', least)}, y -> y.x.added = 1 and y.m <= y.x.t), y -> y.x.c)"
+
+    within = one_way("away", "-c.start", "-c.start", "-c.end")
+    return f"if(size({added}) = 0, {added}, {_let('away', one_way(added, 'c.start', 'c.end', 'c.start'), f'array_sort({within})')})"
 
 
 def candidates(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -130,16 +170,16 @@ def spans(marked: DataFrame, weights: list[float]) -> DataFrame:
     p = f"1 / (1 + exp(-aggregate(zip_with({weigh}, {_features('c.votes', 'c.kind')}, (a, b) -> a * b), 0D, (a, b) -> a + b)))"
     bare = "struct(c.kind AS kind, c.start AS start, c.end AS end)"
     own = marked.withColumn("base", F.expr(f"array_sort(transform(filter(candidates, c -> c.base), c -> {bare}))"))
-    free = "not exists(base, b -> b.start < c.end and c.start < b.end)"
     # Each candidate's own pattern keeps it from overlapping others of its kind and origin.
-    return own.withColumn("added", F.expr(f"array_sort(transform(filter(candidates, c -> not c.base and {free} and {p} > {LEAST_PROBABILITY}), c -> {bare}))")).drop("candidates")
+    own = own.withColumn("added", F.expr(f"array_sort(transform(filter(candidates, c -> not c.base and {p} > {LEAST_PROBABILITY}), c -> {bare}))")).drop("candidates")
+    return own.withColumn("added", F.expr(_free("base", "added")))
 
 
 def find(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add `base` and `added` spans of every whole text; null and empty texts have none.
 
     The classifier is fitted on the candidates of all rows given.  Repeated rows
-    get the same spans.
+    get the same spans; an empty table gives an empty table.
     """
     marked = durable(candidates(docs, text=text, keep=keep))
     return spans(marked, fit(marked))
@@ -151,6 +191,7 @@ def _named(array: str) -> str:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, counts by kind, base_sha256 and all spans of every document."""
     found = find(table(spark, sf_dir, "documents"), keep=["doc_id"])
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = {k})) AS bigint)").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(F.expr(_named("base")), 256).alias("base_sha256"), F.expr(_named("array_sort(concat(base, added))")).alias("spans"))
@@ -168,13 +209,16 @@ def masked(docs: DataFrame, *, text: str = "text") -> DataFrame:
     found = spans(candidates(rows, text="__text", keep=["__row", "__text"]), weights)
     names = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
     ordered = "array_sort(transform(concat(base, added), s -> struct(s.start AS start, s.end AS end, s.kind AS kind)))"
-    step = f"struct(greatest(acc.pos, s.end) AS pos, if(s.start < acc.pos, acc.out, concat(acc.out, substring(__text, int(acc.pos + 1), int(s.start - acc.pos)), '<', {names}[s.kind], '>')) AS out)"
-    whole = f"aggregate({ordered}, struct(0L AS pos, '' AS out), (acc, s) -> {step}, acc -> concat(acc.out, substring(__text, int(acc.pos + 1))))"
+    last = "array_max(transform(k, y -> greatest(y.m, y.x.end)))"
+    put = f"if(y.x.start < y.m, '', concat(substring(part, int(y.m - k[0].m + 1), int(y.x.start - y.m)), '<', {names}[y.x.kind], '>'))"
+    block = _let("part", f"substring(__text, int(k[0].m + 1), int({last} - k[0].m))", f"array_join(transform(k, y -> {put}), '')")
+    rest = "substring(__text, int(array_max(transform(concat(base, added), s -> s.end)) + 1))"
+    whole = _let("q", _running(ordered, "struct<start:bigint,end:bigint,kind:int>", "x.end", "0L"), f"concat(array_join(transform({_blocks('q')}, k -> {block}), ''), {rest})")
     new = F.expr(f"if(size(base) + size(added) = 0, __text, {whole})")
     return found.select(*[(new if c == text else F.col("__row").getField(c)).alias(c) for c in docs.columns])
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mask personal data; n_chars follows the text."""
+    """Mask personal data; n_chars follows the text, all other columns stay; null and empty texts stay as they are."""
     out = masked(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
