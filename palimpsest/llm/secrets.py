@@ -9,7 +9,6 @@ adds come near its length, so that nothing known explains it.
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark.sql import types as T
 from palimpsest.llm.batches import annotate, once, table
 
 KINDS = ("assign", "access", "hex", "novel")
-_ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+_ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _LONG = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
@@ -33,8 +32,8 @@ _GIVEN = re.compile(r"""[=:]["'\s]*$""")
 _SENSITIVE = re.compile(r"(?i:password|passwd|pwd|secret|token|api[_-]?key|private[_-]?key|access[_-]?key|auth|bearer|credential|signature|client[_-]?id)")
 #: Characters before a candidate that are its surroundings, and those of them where a sensitive word counts.
 SURROUNDINGS, CONTEXT = 256, 48
-#: Least bytes that compression must add for each byte of the candidate, and least bits of entropy a character.
-NOVELTY, ENTROPY = 0.72, 3.2
+#: Least bytes that compression must add for each byte of the candidate.
+NOVELTY = 0.72
 
 #: What is common in code and its settings.
 CODE = """import os\nimport sys\nfrom collections import defaultdict\ndef main(args):\n    return None\nclass Client(object):\n    def __init__(self, host, port, username, password):\n        self.username = username\n        self.password = password
@@ -44,11 +43,6 @@ https://www.example.com/index.html http://localhost:8080/api/v1/ application/jso
 IDENTIFIERS = " ".join(a + b for a in ("get", "set", "is", "has", "to", "from", "create", "update", "delete", "find", "load", "save", "read", "write", "parse", "user_", "client_", "access_", "auth_", "session_", "config_", "default_") for b in ("Token", "Secret", "Password", "Key", "ApiKey", "Name", "Value", "Id", "Config", "Client", "Session", "Request", "Response", "String", "Number", "Url", "Path", "File", "Index", "Count", "token", "secret", "password", "key", "name", "value", "id", "config"))
 
 
-def entropy(s: str) -> float:
-    """Bits a character, from the string's own character counts."""
-    return -sum(c / len(s) * math.log2(c / len(s)) for c in (s.count(x) for x in set(s)))
-
-
 def _compressor() -> zstandard.ZstdCompressor:
     primed = zstandard.ZstdCompressionDict((IDENTIFIERS + "\n" + CODE).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     return zstandard.ZstdCompressor(level=6, dict_data=primed, write_content_size=False)
@@ -66,23 +60,26 @@ def scan(text: str, compressor: zstandard.ZstdCompressor) -> list[tuple[int, int
 
     Novel spans overlap no base span.
     """
-    found = []
+    base = []
     if "=" in text or ":" in text:
-        found += [(m.start(), m.end(), 0) for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 6]
+        base += [(m.start(), m.end(), 0) for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 6]
     if "AKIA" in text:
-        found += [(m.start(), m.end(), 1) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
-    found += [(m.start(), m.end(), 2) for m in _HEX.finditer(text)]
+        base += [(m.start(), m.end(), 1) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
+    base += [(m.start(), m.end(), 2) for m in _HEX.finditer(text)]
+    found, low, high = list(base), 0, -1
+    base.sort()
     for m in _LONG.finditer(text):
         own, start, end = m.group(), m.start(), m.end()
         name = _NAMED.match(own) if "=" in own else None
         if name and _LONG.fullmatch(own, name.end()):
             own, start = own[name.end() :], start + name.end()
-        if entropy(own) < ENTROPY or any(a < end and start < b for a, b, _ in found):
+        # Base spans that begin before the candidate's end; the farthest end among them tells whether one reaches into it.
+        while low < len(base) and base[low][0] < end:
+            high, low = max(high, base[low][1]), low + 1
+        if high > start or not _SENSITIVE.search(text[max(0, m.start() - CONTEXT) : start]):
             continue
         if _WORDS.fullmatch(own) and not _GIVEN.search(text[max(0, start - 4) : start]):
             continue
-        if not _SENSITIVE.search(text[max(0, m.start() - CONTEXT) : start]):
-            continue
         if novelty(own, text[max(0, start - SURROUNDINGS) : start], text[end : end + SURROUNDINGS], compressor) >= NOVELTY:
             found.append((start, end, 3))
     return [(a, b, KINDS[k]) for a, b, k in sorted(found, key=lambda s: (s[0], s[2], s[1]))]
@@ -92,11 +89,12 @@ def find(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None)
     """Add n_assign, n_access, n_hex, n_novel, base_sha256 and spans of every whole text.
 
     A null text counts as empty: no spans, and the digest of the empty string.
-    Repeated rows get the same answers.
+    Repeated rows get the same answers; an empty table gives an empty table, and
+    columns with the new names, in any case, give way.
     """
 
     def compute(piece: pa.RecordBatch, at: int) -> list[pa.Array]:
-        compressor = once("secrets zstd", _compressor)
+        compressor = once("secrets", _compressor)
         counts, digests, joined = [[], [], [], []], [], []
         for value in piece.column(at).to_pylist():
             spans = scan(value or "", compressor)
@@ -108,8 +106,9 @@ def find(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None)
         return [*(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(joined, pa.string())]
 
     fields = [*((f"n_{k}", T.LongType()) for k in KINDS), ("base_sha256", T.StringType()), ("spans", T.StringType())]
-    return annotate(docs, text, fields, compute, keep)
+    return annotate(docs, text, fields, compute, keep, key="secrets")
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the counts, base_sha256 and spans of every document."""
     return find(table(spark, sf_dir, "documents"), keep=["doc_id"])
