@@ -1,8 +1,11 @@
 """Exact top-k search by pivot-table elimination.
 
-Distances of queries and candidates to a few pivots bound the distance of every
-pair from below, and so its inner product from above.  Candidates are evaluated
-in the order of that bound until the bound falls under the k-th best score.
+The table has the distances of every vector to many pivots and to the origin.
+Together they say where a vector lies within the space that the pivots span and
+how far it is from that space, which gives the greatest lower bound on the
+distance of two vectors that these distances allow, and so the least upper bound
+on their inner product; no pivot by itself can say more.  Candidates are
+evaluated in the order of that bound until it falls under the k-th best score.
 """
 
 from __future__ import annotations
@@ -17,10 +20,11 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.batches import durable, table
 
-#: Pivots, taken by least id hash, and queries that one broadcast holds.
-PIVOTS, BLOCK_QUERIES = 16, 16_384
-#: Candidates and queries bounded at a time, and candidates evaluated first.
-TILE, QUERY_TILE, FIRST = 4_096, 64, 256
+#: Pivots; rows of least id hash that they are chosen from, and that give each query a first threshold; queries that one broadcast holds.
+PIVOTS, SAMPLE, BLOCK_QUERIES = 56, 4_096, 16_384
+#: Candidates and queries bounded at a time, and candidates evaluated at a time.
+TILE, QUERY_TILE, STEP = 4_096, 64, 128
+_LEAST, _MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 def vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 64) -> DataFrame:
@@ -30,82 +34,140 @@ def vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
     return df.where(F.col(f"`{vec_id}`").isNotNull() & F.col(f"`{embedding}`").isNotNull()).where(usable).select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v * scale)).alias("v"))
 
 
-class Bounds:
-    """Norms and pivot distances of a set of vectors of one length."""
+def choose(sample: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
+    """Pivots far apart: each is the sampled vector farthest from the space that those before it span."""
+    rest = sample.astype(np.float64)
+    scale = float(np.abs(rest).max(initial=0)) or 1.0
+    rest, chosen = rest / scale, []
+    for _ in range(min(pivots, *rest.shape)):
+        far = np.einsum("ij,ij->i", rest, rest)
+        k = int(far.argmax())
+        if far[k] <= 1e-6:
+            break
+        chosen.append(k)
+        unit = rest[k] / far[k] ** 0.5
+        rest = rest - np.outer(rest @ unit, unit)
+    return sample[chosen].astype(np.float64)
+
+
+class PivotTable:
+    """Vectors of one length, their norms and distances to the pivots, and what follows from these.
+
+    `inside` has the coordinates within the pivots' space, `outside` the distance from it.
+    """
 
     def __init__(self, x: np.ndarray, pivots: np.ndarray):
         self.x = x
-        self.norm = np.einsum("ij,ij->i", x, x)
-        square = self.norm[:, None] + np.einsum("ij,ij->i", pivots, pivots) - 2 * (x @ pivots.T)
-        self.distance = np.sqrt(np.maximum(square, 0)).astype(np.float32)
+        f = x.astype(np.float64)
+        self.norm = np.sqrt(np.einsum("ij,ij->i", f, f))
+        lengths = np.einsum("ij,ij->i", pivots, pivots)
+        self.reach = max(float((self.norm**2).max(initial=0)), float(lengths.max(initial=0)))
+        self.distance = np.sqrt(np.maximum(self.norm[:, None] ** 2 + lengths - 2 * (f @ pivots.T), 0))
+        if len(pivots):
+            # The law of cosines gives the products with the pivots; a triangular system turns them into coordinates.
+            products = (self.norm[:, None] ** 2 + lengths - self.distance**2) / 2
+            _, r = np.linalg.qr(pivots.T)
+            self.inside = np.linalg.solve(r.T, products.T).T
+        else:
+            self.inside = np.zeros((len(x), 0))
+        left = self.norm**2 - np.einsum("ij,ij->i", self.inside, self.inside)
+        # Rounding may only make the bound weaker.
+        self.outside = np.sqrt(np.maximum(left, 0) + 1e-6 * self.norm**2)
+
+
+def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact inner products as int64, a row for each of x and a column for each of q; those beyond its range become its ends."""
+    size = float(np.abs(x).max(initial=0).astype(np.float64)) * float(np.abs(q).max(initial=0).astype(np.float64)) * max(1, x.shape[1])
+    if size < 2**53:
+        return (x.astype(np.float64) @ q.T.astype(np.float64)).astype(np.int64)
+    if size < 2**62:
+        return x @ q.T
+    exact = x.astype(object) @ q.T.astype(object)
+    return np.array([min(max(int(v), _LEAST), _MOST) for v in exact.ravel()], np.int64).reshape(exact.shape)
 
 
 class Best:
-    """The k best (score, vec_id) of each query so far; ties go to the smaller id."""
+    """The k best (score, vec_id) of each query so far, of scores from a least one up; ties go to the smaller id."""
 
-    def __init__(self, queries: int, k: int):
-        self.score = np.full((queries, k), -np.inf)
-        self.ids = np.full((queries, k), np.iinfo(np.int64).max)
+    def __init__(self, least: np.ndarray, k: int):
+        self.least = least
+        self.score, self.ids, self.some = np.full((len(least), k), _LEAST), np.full((len(least), k), _MOST), np.zeros(len(least), np.int64)
+        self.evaluated = 0
 
-    def add(self, q: int, score: np.ndarray, ids: np.ndarray) -> None:
+    def threshold(self, q: int) -> int:
+        """The least score that can still count."""
         k = self.score.shape[1]
-        if len(score) > 4 * k:
-            part = np.partition(score, len(score) - k)[len(score) - k]
-            good = score >= max(part, self.score[q, -1])
-            score, ids = score[good], ids[good]
-        score, ids = np.concatenate((self.score[q], score)), np.concatenate((self.ids[q], ids))
-        order = np.lexsort((ids, -score))[:k]
-        self.score[q], self.ids[q] = score[order], ids[order]
-
-
-def search_block(query: Bounds, query_ids: np.ndarray, candidate: Bounds, candidate_ids: np.ndarray, best: Best, rows: np.ndarray) -> None:
-    """Bring the best of `rows` up to date with a block of candidates; exact."""
-    slack = 1e-3 * (1 + float(max(query.norm.max(initial=0), candidate.norm.max(initial=0))) ** 0.5)
+        return max(int(self.least[q]), int(self.score[q, -1])) if self.some[q] == k else int(self.least[q])
+
+    def add(self, q: int, score: np.ndarray, ids: np.ndarray) -> None:
+        self.evaluated += len(score)
+        good = score >= self.threshold(q)
+        n = self.some[q]
+        score, ids = np.concatenate((self.score[q, :n], score[good])), np.concatenate((self.ids[q, :n], ids[good]))
+        order = np.lexsort((ids, ~score))[: self.score.shape[1]]  # ~ turns the order round without overflow
+        self.some[q] = len(order)
+        self.score[q, : len(order)], self.ids[q, : len(order)] = score[order], ids[order]
+
+
+def search_tile(query: PivotTable, query_ids: np.ndarray, candidate: PivotTable, candidate_ids: np.ndarray, best: Best, rows: np.ndarray) -> None:
+    """Bring the best of `rows` up to date with a tile of candidates; exact."""
     for a in range(0, len(query_ids), QUERY_TILE):
         q = slice(a, min(a + QUERY_TILE, len(query_ids)))
-        low = np.zeros((q.stop - a, len(candidate_ids)), np.float32)
-        for p in range(query.distance.shape[1]):
-            np.maximum(low, np.abs(query.distance[q, p, None] - candidate.distance[None, :, p]), out=low)
-        # |q - c|^2 = |q|^2 + |c|^2 - 2 qc; the slack covers rounding.
-        high = (query.norm[q, None] + candidate.norm[None, :] - np.maximum(low - slack, 0).astype(np.float64) ** 2) / 2
-        first = np.argpartition(-high, FIRST, axis=1)[:, :FIRST] if high.shape[1] > 2 * FIRST else None
+        high = query.inside[q] @ candidate.inside.T + np.outer(query.outside[q], candidate.outside)
+        high += 1e-6 * np.outer(query.norm[q], candidate.norm) + 1e-9 * (1 + query.reach + candidate.reach)
+        high[query_ids[q, None] == candidate_ids[None, :]] = -np.inf  # a row with the query's id is none of its candidates
         for i in range(q.stop - a):
-            n, own = rows[a + i], query_ids[a + i]
-            if first is not None:
-                some = first[i][candidate_ids[first[i]] != own]
-                best.add(n, candidate.x[some] @ query.x[a + i], candidate_ids[some])
-                left = high[i] >= best.score[n, -1]
-                left[first[i]] = False
-                rest = np.flatnonzero(left)
-            else:
-                rest = np.arange(len(candidate_ids))
-            rest = rest[candidate_ids[rest] != own]
-            if len(rest):
-                order = rest[np.argsort(-high[i, rest], kind="stable")] if len(rest) > FIRST else rest
-                for b in range(0, len(order), 8 * FIRST):
-                    part = order[b : b + 8 * FIRST]
-                    if high[i, part[0]] < best.score[n, -1] and len(rest) > FIRST:
-                        break
-                    best.add(n, candidate.x[part] @ query.x[a + i], candidate_ids[part])
+            n = rows[a + i]
+            left = np.flatnonzero(high[i] >= best.threshold(n))
+            left = left[np.isfinite(high[i, left])]
+            order = left[np.argsort(-high[i, left], kind="stable")]
+            for b in range(0, len(order), STEP):
+                part = order[b : b + STEP]
+                part = part[high[i, part] >= best.threshold(n)]
+                if not len(part):
+                    break
+                best.add(n, products(candidate.x[part], query.x[a + i, None])[:, 0], candidate_ids[part])
+
+
+def first_thresholds(x: np.ndarray, ids: np.ndarray, sample: np.ndarray, sample_ids: np.ndarray, k: int) -> np.ndarray:
+    """For each query the k-th best score among sampled candidates, which the k best of all reach too."""
+    out = np.full(len(x), _LEAST)
+    for a in range(0, len(x) if len(sample) >= k else 0, QUERY_TILE):
+        own = products(x[a : a + QUERY_TILE], sample)
+        own[ids[a : a + QUERY_TILE, None] == sample_ids[None, :]] = _LEAST
+        out[a : a + QUERY_TILE] = np.partition(own, len(sample) - k, axis=1)[:, len(sample) - k]
+    return out
+
+
+def _matrix(vectors: list[list[int]], size: int) -> np.ndarray:
+    return np.array(vectors, np.int64).reshape(len(vectors), size)
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k best candidates by inner product.
 
-    Both sides are (vec_id, v) as `vectors` gives them.  A row with the query's
-    own id is no candidate; vectors of another length have no product with it
-    and take no part.  Ties go to the smaller vec_id; repeated candidates count
-    as often as they are there, and repeated queries are answered each.  Queries
-    are sent in blocks of BLOCK_QUERIES against all candidates; of several
-    blocks, each result is written before the next block is sent.
+    Both sides are (vec_id, v) as `vectors` gives them; other columns are left
+    out, whatever their names.  A row with the query's own id is no candidate;
+    vectors of another length have no product with it and take no part.  Ties go
+    to the smaller vec_id; repeated candidates count as often as they are there,
+    and repeated queries are answered each.  An empty side gives no rows; scores
+    beyond 64 bits become the ends of their range.  Queries are sent in blocks
+    of BLOCK_QUERIES against all candidates; of several blocks, each result is
+    written before the next block is sent.
     """
-    pivots = [r.v for r in candidates.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()]
+    candidates, queries = candidates.select("vec_id", "v"), queries.select("vec_id", "v")
+    drawn = candidates.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).collect()
+    sample = {}
+    for size in {len(r.v) for r in drawn}:
+        own = [r for r in drawn if len(r.v) == size]
+        x = _matrix([r.v for r in own], size)
+        sample[size] = (x, np.array([r.vec_id for r in own], np.int64), choose(x))
     stream = ((r.vec_id, r.v) for r in queries.toLocalIterator())
     found: DataFrame | None = None
     n, block = 0, list(islice(stream, BLOCK_QUERIES))
     while block or found is None:
         following = list(islice(stream, BLOCK_QUERIES))
-        own = _search(candidates, block, pivots, k, n)
+        own = _search(candidates, block, sample, k, n)
         if following or n:
             own = durable(own)
         found = own if found is None else found.unionByName(own)
@@ -113,20 +175,20 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     return found
 
 
-def _search(candidates: DataFrame, block: list[tuple[int, list[int]]], pivots: list[list[int]], k: int, start: int) -> DataFrame:
-    lengths = sorted({len(v) for _, v in block})
-    sets = {}
-    for size in lengths:
-        at = [i for i, (_, v) in enumerate(block) if len(v) == size]
-        x = np.array([block[i][1] for i in at], np.float64).reshape(len(at), size)
-        p = np.array([v for v in pivots if len(v) == size], np.float64).reshape(-1, size)
-        sets[size] = (np.array(at), np.array([block[i][0] for i in at]), x, p)
-    sent = candidates.sparkSession.sparkContext.broadcast((sets, len(block)))
+def _search(candidates: DataFrame, block: list[tuple[int, list[int]]], sample: dict, k: int, start: int) -> DataFrame:
+    sets, least = {}, np.full(len(block), _LEAST)
+    for size in sorted({len(v) for _, v in block}):
+        at = np.array([i for i, (_, v) in enumerate(block) if len(v) == size])
+        ids, x = np.array([block[i][0] for i in at], np.int64), _matrix([block[i][1] for i in at], size)
+        own, own_ids, pivots = sample.get(size, (np.zeros((0, size), np.int64), np.zeros(0, np.int64), np.zeros((0, size))))
+        least[at] = first_thresholds(x, ids, own, own_ids, k)
+        sets[size] = (at, ids, x, pivots)
+    sent = candidates.sparkSession.sparkContext.broadcast((sets, least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, queries = sent.value
-        best = Best(queries, k)
-        side = {size: Bounds(x, p) for size, (_, _, x, p) in known.items()}
+        known, least = sent.value
+        best = Best(least, k)
+        side = {size: PivotTable(x, p) for size, (_, _, x, p) in known.items()}
         held: list[pa.RecordBatch] = []
 
         def flush() -> None:
@@ -139,8 +201,8 @@ def _search(candidates: DataFrame, block: list[tuple[int, list[int]]], pivots: l
             for size, (rows, query_ids, _, p) in known.items():
                 mine = np.flatnonzero(sizes == size)
                 if len(mine):
-                    x = flat[starts[mine][:, None] + np.arange(size)].astype(np.float64)
-                    search_block(side[size], query_ids, Bounds(x, p), ids[mine], best, rows)
+                    x = flat[starts[mine][:, None] + np.arange(size)].astype(np.int64)
+                    search_tile(side[size], query_ids, PivotTable(x, p), ids[mine], best, rows)
 
         for batch in batches:
             held.append(batch)
@@ -148,12 +210,12 @@ def _search(candidates: DataFrame, block: list[tuple[int, list[int]]], pivots: l
                 flush()
         if held:
             flush()
-        real = np.isfinite(best.score)
+        real = np.arange(k) < best.some[:, None]
         row, _ = np.nonzero(real)
-        query_ids = np.zeros(queries, np.int64)
+        query_ids = np.zeros(len(least), np.int64)
         for at, own, _, _ in known.values():
             query_ids[at] = own
-        yield pa.RecordBatch.from_arrays([pa.array(row + start, pa.int64()), pa.array(query_ids[row], pa.int64()), pa.array(best.ids[real], pa.int64()), pa.array(best.score[real].astype(np.int64), pa.int64())], names=["n", "query_id", "vec_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(row + start, pa.int64()), pa.array(query_ids[row], pa.int64()), pa.array(best.ids[real], pa.int64()), pa.array(best.score[real], pa.int64())], names=["n", "query_id", "vec_id", "score"])
 
     near = candidates.mapInArrow(run, "n long, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("score"), "vec_id"))
@@ -161,6 +223,7 @@ def _search(candidates: DataFrame, block: list[tuple[int, list[int]]], pivots: l
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id and score of the 20 best of every row whose vec_id is divisible by 20."""
     own = vectors(table(spark, sf_dir, "embeddings"))
     return top_k(own, own.where(F.col("vec_id") % 20 == 0))
 
