@@ -7,6 +7,8 @@ the longest single text, not the number of rows.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import sys
 import tempfile
@@ -23,6 +25,8 @@ from pyspark.sql import types as T
 PIECE_BYTES = 1 << 20
 #: Rows that Spark puts in one Arrow batch; texts are a few KB, so some MB.
 BATCH_ROWS = 1000
+#: Bytes that Spark puts in one Arrow batch, one row at least.
+BATCH_BYTES = 8 << 20
 
 
 def _held() -> dict:
@@ -45,7 +49,22 @@ def free(key: str | None) -> None:
     if held.get("key") != key:
         held.pop("value", None)
         held["key"] = None
-        pa.default_memory_pool().release_unused()
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system, as a worker waits for other tasks for a while."""
+    pa.default_memory_pool().release_unused()
+    try:  # glibc keeps what was freed until it is told to give it back
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:
+        pass
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the plans that follow, in rows and in bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def named(kind: str, *contents: bytes) -> str:
@@ -71,6 +90,16 @@ def durable(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, spark._jsparkSession.parseDataType(df.schema.json()), False), spark)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files and checkpoints of steps that nothing refers to any more.
+
+    It does so when the driver's memory is collected, which for a small plan
+    over large data may be long after the disks are full.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """Drop the columns whose names an operator is about to add, whatever their case."""
     taken = {n.lower() for n in names}
@@ -146,8 +175,9 @@ def annotate(
         for batch in batches:
             for piece in pieces(batch, at, limit):
                 yield pa.RecordBatch.from_arrays([*piece.columns[:n], *compute(piece, at)], names=[*kept, *names])
+        trim()
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bounded_batches(df.sparkSession)
     return source.mapInArrow(run, schema)
 
 
@@ -164,8 +194,9 @@ def filtered(df: DataFrame, text: str, test: Callable[[pa.RecordBatch, int], np.
                 mask = test(piece, at)
                 if mask.any():
                     yield pa.RecordBatch.from_arrays(list(piece.columns[:n]), names=names).filter(pa.array(mask))
+        trim()
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bounded_batches(df.sparkSession)
     return source.mapInArrow(run, df.schema)
 
 

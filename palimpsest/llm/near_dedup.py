@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.batches import annotate, durable, lowered, mix, span_hashes, table, utf8, words
+from palimpsest.llm.batches import annotate, bounded_batches, durable, free, lowered, mix, span_hashes, table, tidy, trim, utf8, words
 
 #: Words of a shingle, and the least similarity of a link, in hundredths.
 SHINGLE_WORDS, SIMILARITY = 5, 75
@@ -167,6 +167,7 @@ def components(edges: DataFrame) -> DataFrame:
             rest = dealt(rest, parent.select(F.col("node").alias(x), F.col("component").alias(f"{x}{x}"), "__n"), x, y)
         rest = rest.select(F.col("aa").alias("a"), F.col("bb").alias("b")).where("a <> b")
         rest = durable(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        tidy(edges.sparkSession)
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("component")).where(F.lit(False))
 
 
@@ -228,7 +229,9 @@ class Links:
 
     def labels(self) -> DataFrame:
         """node and component of every text that is linked to another."""
+        tidy(self.docs.sparkSession)
         links = self.confirmed(self.stars())
+        tidy(self.docs.sparkSession)
         labels = components(links)
         more = self.confirmed_across(labels)
         return labels if more is None else components(links.unionByName(more))
@@ -263,10 +266,15 @@ class Links:
         held = tiles.join(halves, "node").groupBy("kind", "group", "low", "high").agg(F.collect_list(F.struct("node", "component", "block", "halves")).alias("members"))
 
         def run(batches):
+            free(None)
             for batch in batches:
                 for row in range(batch.num_rows):
                     yield from similar_in_tile(batch.column(0).slice(row, 1).flatten(), bool(batch.column(1)[row].as_py()))
+            trim()
 
+        bounded_batches(self.docs.sparkSession)
+
+        tidy(self.docs.sparkSession)
         pairs = durable(held.select("members", (F.col("low") == F.col("high")).alias("diagonal")).mapInArrow(run, "a long, b long").distinct())
         return None if pairs.isEmpty() else self.confirmed(pairs, sets)
 
@@ -307,6 +315,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     links = Links(docs, doc_id, text)
     ids = durable(links.classes.join(links.labels(), "node", "left").withColumn("component", F.coalesce("component", "node")))
     least = durable(ids.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("__n")))
+    tidy(docs.sparkSession)
     named = durable(dealt(ids.select("words_key", "component", F.col("__n").alias("n")), least, "component", "words_key").select("words_key", "component_id", F.col("n").alias("__n")))
     rows = links.rows.select("doc_id", "key", "words_key", "n_shingles")
     whole = dealt(rows.where(F.col("words_key").isNotNull()), named, "words_key", "doc_id").select("doc_id", "n_shingles", "component_id", "key")
@@ -329,6 +338,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns = docs.columns
     found = near_duplicates(docs).groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.max("kept").alias("__kept"), F.count("*").alias("__rows"))
     found = durable(found.where("not __kept or __rows > 1"))
+    tidy(spark)
     inside = words_of(found, ["__id", "__key"])
     name = "__own"
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias(name))

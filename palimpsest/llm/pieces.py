@@ -30,8 +30,8 @@ DROPOUT, SEED = 0.1, 20240607
 #: Parts of up to so many characters are merged in step; longer ones one by one, from a heap.
 IN_STEP = 48
 WIDTHS = (0, 4, 6, 8, 10, 12, 16, 24, 32, IN_STEP)
-#: Parts segmented without dropout that a worker keeps before it starts anew.
-REMEMBERED = 1_500_000
+#: Parts segmented without dropout that a worker keeps before it starts anew, and text bytes segmented at a time.
+REMEMBERED, STEP_BYTES = 200_000, 1 << 19
 _NONE = np.int32(2**31 - 1)
 _META = 0x2581
 
@@ -363,7 +363,7 @@ def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", seed: int =
             equal = np.array([back[a:b].tobytes() == data[c:d].tobytes() for a, b, c, d in zip(cut, cut[1:], offsets, offsets[1:])])
         return [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())), pa.array(np.diff(bounds), pa.int64()), pa.array(equal, pa.bool_())]
 
-    return annotate(docs, text, [("ids", T.ArrayType(T.IntegerType())), ("n_pieces", T.LongType()), ("lossless", T.BooleanType())], compute, keep, key=key)
+    return annotate(docs, text, [("ids", T.ArrayType(T.IntegerType())), ("n_pieces", T.LongType()), ("lossless", T.BooleanType())], compute, keep, STEP_BYTES, key)
 
 
 def decode(encoded: DataFrame, vocabulary: str, *, ids: str = "ids", into: str = "text") -> DataFrame:
