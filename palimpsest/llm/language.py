@@ -22,6 +22,8 @@ from palimpsest.llm.batches import annotate, crc_mod, filtered, named, once, tab
 
 #: Distinct training texts of each language, the characters of the windows they are cut into, and the bytes of its dictionary.
 SAMPLE_TEXTS, SAMPLE_WINDOW, DICTIONARY_BYTES = 96, 512, 65_536
+#: Parts of a language's texts that are ranked apart first.
+PARTS = 32
 #: All dictionaries together go to every executor; more than this is refused.
 ALL_DICTIONARIES_BYTES = 64 << 20
 #: Bytes of text compressed at a time, so that the dictionary counts throughout a long text.
@@ -56,7 +58,11 @@ def fit(docs: DataFrame, train: Column, *, text: str = "text", lang: str = "lang
     names = [r.lang for r in rows.select("lang").distinct().limit(most + 1).collect()]
     if len(names) > most:
         raise ValueError(f"more than {most} languages need more than {ALL_DICTIONARIES_BYTES} bytes of dictionaries")
-    least = rows.select("lang", "h").distinct().withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= SAMPLE_TEXTS)
+    least = rows.select("lang", "h").distinct()
+    # The least of each part of a language, then the least of these: no task sees all texts of a language.
+    for part in (F.pmod("h", F.lit(PARTS)), F.lit(0)):
+        rank = F.row_number().over(Window.partitionBy("lang", "part").orderBy("h"))
+        least = least.withColumn("part", part).withColumn("n", rank).where(F.col("n") <= SAMPLE_TEXTS).drop("n")
     # SAMPLE_TEXTS rows a language at most, and so bounded like the dictionaries.
     texts = rows.join(F.broadcast(least.select("lang", "h")), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     cut = F.expr(f"transform(sequence(0, int((length(text) - 1) div {SAMPLE_WINDOW})), k -> substring(text, k * {SAMPLE_WINDOW} + 1, {SAMPLE_WINDOW}))")
