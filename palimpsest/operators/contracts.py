@@ -36,8 +36,9 @@ def violations(rows: DataFrame, subject: str, checks: dict[str, Column]) -> Data
 
 
 def duplicates(rows: DataFrame, keys: list[str], problem: str) -> DataFrame:
-    key = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
-    return rows.groupBy(key.alias("subject")).agg(F.count("*").alias("n")).where("n > 1").select("subject", F.lit(problem).alias("problem"))
+    """subject (the keys, joined by /, nulls as ?) and problem of every combination of keys that is there twice; null equals null only."""
+    found = rows.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1")
+    return found.select(F.concat_ws("/", *[F.coalesce(F.col(k).cast("string"), F.lit("?")) for k in keys]).alias("subject"), F.lit(problem).alias("problem"))
 
 
 def missing(rows: DataFrame, reference: str, targets: DataFrame, target: str, subject: str, problem: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.scoring import lexical_score
 from palimpsest.functions.text import terms
+from palimpsest.sources.tables import durable
 
 #: Vocabularies of visibility.
 PLAYER_EVENTS = ("public", "party", "player")
@@ -104,24 +105,33 @@ def lineage(snapshots: DataFrame, start: str, *, node: str = "id", parent: str =
     """node, depth (0 at the start) and error of the walk to the root.
 
     A parent seen before ends the walk with the error `cycle`, one that isn't
-    there with `missing`, one of another owner with `foreign`.
+    there with `missing`, one of another owner with `foreign`.  Jumps are doubled
+    round by round, and each round joins the nodes reached so far with the jumps
+    of their length, so a walk of n nodes takes log2(n) rounds, however deep.
     """
-    spark = snapshots.sparkSession
-    view = "__lineage_nodes"
-    own = F.col(owner) if owner else F.lit(None).cast("string")
-    snapshots.select(F.col(node).cast("string").alias("id"), F.col(parent).cast("string").alias("parent"), own.cast("string").alias("owner")).createOrReplaceTempView(view)
-    walked = spark.sql(
-        f"""WITH RECURSIVE walk (id, parent, owner, depth, path, error) AS (
-          SELECT id, parent, owner, 0, array(id), CAST(NULL AS STRING) FROM {view} WHERE id = :start
-          UNION ALL
-          SELECT w.parent, n.parent, n.owner, w.depth + 1, concat(w.path, array(w.parent)),
-            CASE WHEN array_contains(w.path, w.parent) THEN 'cycle' WHEN n.id IS NULL THEN 'missing' WHEN NOT (n.owner <=> w.owner) THEN 'foreign' END
-          FROM walk w LEFT JOIN {view} n ON n.id = w.parent
-          WHERE w.parent IS NOT NULL AND w.error IS NULL
-        ) SELECT id, depth, error FROM walk""",
-        {"start": str(start)},
-    )
-    return walked.withColumnRenamed("id", node)
+    own = F.col(owner).cast("string") if owner else F.lit(None).cast("string")
+    nodes = snapshots.select(F.col(node).cast("string").alias("id"), F.col(parent).cast("string").alias("parent"), own.alias("owner")).where("id is not null")
+    above = nodes.select(F.col("id").alias("parent"), F.col("owner").alias("parents_owner"), F.lit(True).alias("there"))
+    steps = nodes.join(above, "parent", "left").where("parent is not null")
+    error = F.when(F.col("there").isNull(), "missing").when(~F.col("owner").eqNullSafe(F.col("parents_owner")), "foreign")
+    steps = durable(steps.select("id", F.col("parent").alias("to"), error.alias("error")))
+    most = steps.count() + 1
+    # A jump leads `size` steps up; one that meets an error or passes the root before that is none.
+    jumps, size = steps.where("error is null").select("id", "to"), 1
+    walk = durable(nodes.where(F.col("id") == str(start)).select("id", F.lit(0).cast("long").alias("depth")).distinct())
+    while size <= most:
+        more = durable(walk.join(jumps, "id").select(F.col("to").alias("id"), (F.col("depth") + size).alias("depth")))
+        if more.isEmpty() and size > 1:
+            break
+        walk = durable(walk.unionByName(more))
+        further = jumps.select(F.col("id").alias("to"), F.col("to").alias("beyond"))
+        jumps, size = durable(jumps.join(further, "to").select("id", F.col("beyond").alias("to"))), 2 * size
+    # The first time that a node is met counts; a node met again ends the walk one step after the last new one.
+    met = walk.groupBy("id").agg(F.min("depth").alias("depth"))
+    last = met.orderBy(F.desc("depth")).limit(1)
+    ended = last.join(steps, "id").select(F.col("to").alias("id"), (F.col("depth") + 1).cast("int").alias("depth"), F.coalesce("error", F.lit("cycle")).alias("error"))
+    found = met.select("id", F.col("depth").cast("int").alias("depth"), F.lit(None).cast("string").alias("error"))
+    return found.unionByName(ended).withColumnRenamed("id", node)
 
 
 def scoped(progress: DataFrame, scope: str, keys: list[str], *, fallback: str | None = "party", order: list[str] | None = None) -> DataFrame:
@@ -133,9 +143,10 @@ def scoped(progress: DataFrame, scope: str, keys: list[str], *, fallback: str |
 
 
 def current_scene(progress: DataFrame, scope: str, *, fallback: bool = True) -> DataFrame:
-    """The current scene of a scope, else of the party; the latest by updated_at and id."""
-    own = progress.where(F.col("status") == "current").withColumn("__all", F.lit(1))
-    return scoped(own, scope, ["__all"], fallback="party" if fallback else None, order=["updated_at", "id"]).drop("__all")
+    """The current scene of a scope, else of the party; the latest by updated_at and id, as a greatest row, so no task sorts all."""
+    own = progress.where((F.col("status") == "current") & F.col("scope_id").isin(*dict.fromkeys([scope, *(["party"] if fallback else [])])))
+    best = F.max_by(F.struct(*[F.col(c) for c in own.columns]), F.struct(F.col("scope_id") == scope, "updated_at", "id"))
+    return own.agg(best.alias("r")).where("r is not null").select("r.*")
 
 
 def orphans(references: DataFrame, targets: DataFrame, reference: str, target: str) -> DataFrame:
@@ -161,9 +172,11 @@ def diagnostics(facts: DataFrame, knowledge: DataFrame, branch_events: DataFrame
 
 def recap(before: DataFrame, after: DataFrame, key: str, value: str, scope: str | None = None) -> DataFrame:
     """What changed between two captures, for players: key, change, and both values; only disclosed rows count as added."""
-    a, b = before.select(key, F.col(value).alias("before")), after.select(key, F.col(value).alias("after"), (F.col(scope) if scope else F.lit("public")).alias("scope"))
+    a = before.select(key, F.col(value).alias("before"), F.lit(True).alias("__had"))
+    b = after.select(key, F.col(value).alias("after"), (F.col(scope) if scope else F.lit("public")).alias("scope"), F.lit(True).alias("__has"))
     both = a.join(b, key, "full_outer")
-    change = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").when(F.col("before") != F.col("after"), "changed")
+    # A null value is a value: only rows that weren't there are added, only those that are gone removed.
+    change = F.when(F.col("__had").isNull(), "added").when(F.col("__has").isNull(), "removed").when(~F.col("before").eqNullSafe(F.col("after")), "changed")
     return both.withColumn("change", change).where(F.col("change").isNotNull() & (F.col("scope").isNull() | F.col("scope").isin(*PLAYER_FACTS))).select(key, "change", "before", "after")
 
 
@@ -236,12 +249,21 @@ def copy_heads(heads: DataFrame, source: str, branch: str) -> DataFrame:
     return heads.where(F.col("branch_id") == source).withColumn("branch_id", F.lit(branch))
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Number rows from 1 in an order of all of them: dealt out by range, each partition going on from those before it."""
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = durable(dealt.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))  # one row a partition
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.join(sizes.select("__part", before.alias("__before")), "__part").withColumn(name, F.col("__at") + F.col("__before") + 1).drop("__part", "__at", "__before")
+
+
 def copy_revisions(revisions: DataFrame, branch: str, first: int) -> DataFrame:
     """A reversible cursor on a new branch: new ids, sequence on from `first`, parents among the copies."""
-    n = F.row_number().over(Window.partitionBy(F.lit(branch)).orderBy("sequence"))
-    numbered = revisions.withColumn("__new", F.concat(F.lit(f"{branch}:"), F.col("id"))).withColumn("sequence", n + first)
-    ids = numbered.select(F.col("id").alias("parent_id"), F.col("__new").alias("__parent"))
-    return numbered.join(ids, "parent_id", "left").withColumns({"id": F.col("__new"), "parent_id": F.col("__parent"), "branch_id": F.lit(branch)}).drop("__new", "__parent")
+    own = numbered(revisions, ["sequence", "id"], "__n")
+    own = own.withColumn("__new", F.concat(F.lit(f"{branch}:"), F.col("id"))).withColumn("sequence", F.col("__n") + first)
+    ids = own.select(F.col("id").alias("parent_id"), F.col("__new").alias("__parent"))
+    return own.join(ids, "parent_id", "left").withColumns({"id": F.col("__new"), "parent_id": F.col("__parent"), "branch_id": F.lit(branch)}).drop("__new", "__parent", "__n")
 
 
 def player_scene(scene: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ RULE_COLUMNS = {"source_title": 5.0, "section_title": 5.0, "heading_paths": 3.0,
 MODULE_COLUMNS = {"module_title": 8.0, "chapter_title": 6.0, "scene_title": 4.0, "headings": 3.0, "keywords": 2.5, "tags": 2.0, "scene_type": 2.0, "chunk_type": 1.5, "content": 1.0}
 #: Channel weights of rule search; module search weighs all alike.
 RULE_CHANNELS = {"exact": 1.5, "lexical": 1.0, "dense": 1.0}
+#: Queries of one search, which are broadcast.
+QUERIES_MOST = 10_000
 #: Documents' characters that a term pattern may match, as the index cuts them.
 INDEX_TOKEN = r"([\p{L}\p{N}\p{Co}]+)"
 
@@ -119,6 +121,8 @@ def ranked(scored: DataFrame, channel: str, score: str | None = "score", limit:
     if limit:
         out = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order[1:]))).where(F.col("rank") <= limit)
         return out.select("query_id", "doc_id", F.lit(channel).alias("channel"), "rank")
+    # Ranges are sampled and rows dealt out by what is written here, so that nothing is scored twice.
+    scored = durable(scored.select("query_id", "doc_id", *([score] if score else [])))
     dealt = scored.repartitionByRange(*order).sortWithinPartitions(*order).select("query_id", "doc_id")
     dealt = durable(dealt.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
     sizes = dealt.groupBy("query_id", "__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
@@ -167,6 +171,8 @@ def hybrid_search(
     errors break no ties.  The queries are the small side of every join; documents aren't shuffled
     before they are ranked.
     """
+    if queries.limit(QUERIES_MOST + 1).count() > QUERIES_MOST:
+        raise ValueError(f"more than {QUERIES_MOST} queries: all are sent to every executor, so search in batches")
     asked = queries.withColumn("enriched", enrich_query(F.col("query"), hints))
     exact = ranked(exact_matches(docs, asked, titles, doc_id=doc_id), "exact", None)
     own = docs.select(F.col(doc_id).alias("doc_id"), *[F.col(c).alias(f) for f, c in fields.items()])
