@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import hashing, text
 from palimpsest.functions.scoring import FIELD_WEIGHTS, cosine_similarity
-from palimpsest.operators import access, chunking, contracts, documents, ledger, records, retrieval
+from palimpsest.operators import access, catalog, chunking, contracts, documents, ledger, records, retrieval
 from palimpsest.plans import ingestion, packages
 from palimpsest.sources import vectors
 
@@ -261,16 +261,9 @@ def stable_keys(spark, d):
     return ledger.occurrence_keys(own, [], "k", ["p_partkey"]).select("p_partkey", "stable_key")
 
 
-@query("SELECT doc_id, trim(regexp_replace(translate(text, '‘’“”‐‑‒–—', '''''\"\"-----'), '\\s+', ' ', 'g')) LIKE '%' || trim(regexp_replace(substr(text, 11, 40), '\\s+', ' ', 'g')) || '%' AS held FROM documents WHERE substr(text, 11, 40) NOT LIKE '%\\%%' ESCAPE '\\' AND substr(text, 11, 40) NOT LIKE '%\\_%' ESCAPE '\\'")
-def evidence_containment(spark, d):
-    """Each document bound to an excerpt of itself, compared after cleaning; excerpts with SQL wildcards are left to tests."""
-    own = read(spark, d, "documents").withColumn("excerpt", F.substring("text", 11, 40)).where(~F.col("excerpt").rlike("[%_]"))
-    return own.select("doc_id", F.contains(text.clean_evidence(F.col("text")), text.clean_evidence(F.col("excerpt"))).alias("held"))
-
-
 @query("SELECT doc_id, coalesce(contains(trim(regexp_replace(translate(text, '‘’“”‐‑‒–—', '''''\"\"-----'), '\\s+', ' ', 'g')), trim(regexp_replace(translate(substr(text, 11, 40), '‘’“”‐‑‒–—', '''''\"\"-----'), '\\s+', ' ', 'g'))), false) AS held FROM documents")
-def evidence_containment_whole(spark, d):
-    """As evidence_containment, for every document; a null text holds nothing."""
+def evidence_containment(spark, d):
+    """Each document bound to an excerpt of itself, compared after cleaning; a null text holds nothing."""
     held = F.contains(text.clean_evidence(F.col("text")), text.clean_evidence(F.substring("text", 11, 40)))
     return read(spark, d, "documents").select("doc_id", F.coalesce(held, F.lit(False)).alias("held"))
 
@@ -588,11 +581,15 @@ def conditional_updates(spark, d):
     return records.compare_and_swap(held, change, "o_custkey", ["o_orderpriority"]).drop("ordinal")
 
 
-@query("SELECT doc_id, sha256(substr(text, 1, length(text) // 2)) AS content_sha256, source || '/' || doc_id || '/section-0/chunk-0-' || substr(sha256(substr(text, 1, length(text) // 2)), 1, 16) AS chunk_key FROM documents")
+@query("""
+WITH c AS (SELECT doc_id, source, 0 AS n, substr(text, 1, length(text) // 2) AS own FROM documents UNION ALL SELECT doc_id, source, 1, substr(text, length(text) // 2 + 1) FROM documents)
+SELECT doc_id, sha256(own) AS content_sha256, source || '/' || doc_id || '/section-0/chunk-' || n || '-' || substr(sha256(own), 1, 16) AS chunk_key FROM c""")
 def source_bundles(spark, d):
-    """The first half of each document as a chunk of a source bundle."""
+    """Each document as a source bundle of two chunks, its halves."""
     docs = read(spark, d, "documents").select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("source_key"), "text")
-    chunks = docs.select("doc_id", "source_key", F.lit(0).alias("section"), F.lit(0).alias("ordinal"), F.lit(0).alias("start"), F.floor(F.length("text") / 2).cast("int").alias("end"))
+    half, whole = F.floor(F.length("text") / 2).cast("int"), F.length("text")
+    parts = F.array(F.struct(F.lit(0).alias("ordinal"), F.lit(0).alias("start"), half.alias("end")), F.struct(F.lit(1).alias("ordinal"), half.alias("start"), whole.alias("end")))
+    chunks = docs.select("doc_id", "source_key", F.lit(0).alias("section"), F.inline(parts))
     return packages.bundle_chunks(docs.drop("doc_id"), chunks).select("doc_id", "content_sha256", "chunk_key")
 
 
@@ -607,3 +604,94 @@ def source_bundles_whole(spark, d):
     start = F.when(F.col("ordinal") == 0, before).otherwise(F.col("start")).alias("start")
     chunks = chunking.parse_chunks(docs, "source_key", "text").select("source_key", "section", "ordinal", start, "end")
     return packages.bundle_chunks(docs, chunks)
+
+
+# ------------------------------------------------------------------ listings
+# Rules: orders stand in for chunks, customers for sections, nations for sources.  Modules: orders for chunks,
+# customers for scenes, nations for chapters, regions for modules.
+
+
+def _rules(spark, d):
+    chunks = read(spark, d, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.col("o_custkey").alias("section_id"), F.col("o_orderpriority").alias("content"), F.col("o_orderstatus").alias("ordinal"))
+    sections = read(spark, d, "customer").select(F.col("c_custkey").alias("section_id"), F.col("c_nationkey").alias("source_id"), F.col("c_name").alias("section_title"))
+    nations = read(spark, d, "nation").select(F.col("n_nationkey").alias("source_id"), F.col("n_name").alias("title"), F.col("n_regionkey").cast("string").alias("system_id"), F.when(F.col("n_nationkey") % 2 == 0, "a").otherwise("b").alias("edition"), (F.col("n_nationkey") % 3 != 0).alias("active"))
+    return chunks, sections, nations
+
+
+def _modules(spark, d):
+    chunks = read(spark, d, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.col("o_custkey").alias("scene_id"), F.col("o_orderpriority").alias("content"))
+    scenes = read(spark, d, "customer").select(F.col("c_custkey").alias("scene_id"), F.col("c_nationkey").alias("chapter_id"), F.col("c_name").alias("scene_title"))
+    chapters = read(spark, d, "nation").select(F.col("n_nationkey").alias("chapter_id"), F.col("n_regionkey").alias("module_id"), F.col("n_name").alias("chapter_title"))
+    return chunks, scenes, chapters, read(spark, d, "region").select(F.col("r_regionkey").alias("module_id"), F.col("r_name").alias("module_title"))
+
+
+@query("SELECT n_nationkey AS source_id, n_name AS title FROM nation WHERE n_regionkey = 1 AND n_nationkey % 2 = 0 AND n_nationkey % 3 <> 0")
+def rule_sources(spark, d):
+    """Active sources of one system and edition."""
+    return catalog.sources(_rules(spark, d)[2], system_id="1", edition="a").select("source_id", "title")
+
+
+@query("SELECT o_orderkey AS chunk_id, c_custkey AS section_id, c_name AS section_title, o_orderstatus AS ordinal FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_nationkey = 7")
+def rule_source_chunks(spark, d):
+    """All chunks of one source, with their sections."""
+    return catalog.source_chunks(*_rules(spark, d), 7).select("chunk_id", "section_id", "section_title", "ordinal")
+
+
+@query("SELECT DISTINCT o_orderkey AS chunk_id, c_name AS section_title, n_name AS title, n_regionkey::VARCHAR AS system_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE l_returnflag = 'R'")
+def rule_expand(spark, d):
+    """Section and source of every chunk that a returned line asks for."""
+    asked = read(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("chunk_id"))
+    return catalog.expand_rule(*_rules(spark, d), asked).select("chunk_id", "section_title", "title", "system_id")
+
+
+@query("""
+SELECT l_orderkey + CASE WHEN l_linenumber = 2 THEN 100000000 ELSE 0 END AS chunk_id, l_linenumber, coalesce(c_nationkey, -1) AS source_id,
+  CASE WHEN c_nationkey IS NULL THEN 'unknown' WHEN l_linenumber = 1 OR l_suppkey % 25 = c_nationkey THEN 'bound' ELSE 'other source' END AS outcome
+FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey + CASE WHEN l_linenumber = 2 THEN 100000000 ELSE 0 END LEFT JOIN customer ON c_custkey = o_custkey""")
+def rule_citations(spark, d):
+    """Each line cites its order: the first for any source, the second an order that isn't there, the others for the nation of their supplier's number."""
+    line = F.col("l_linenumber")
+    asked = read(spark, d, "lineitem").select((F.col("l_orderkey") + F.when(line == 2, 100000000).otherwise(0)).alias("chunk_id"), "l_linenumber", F.when(line != 1, F.col("l_suppkey") % 25).alias("asked_source"))
+    chunks, sections, _ = _rules(spark, d)
+    return catalog.citations(asked, chunks, sections).select("chunk_id", "l_linenumber", F.coalesce("source_id", F.lit(-1)).alias("source_id"), "outcome")
+
+
+@query("SELECT o_orderkey AS chunk_id, c_name AS scene_title, n_name AS chapter_title, r_name AS module_title, 'module/' || r_regionkey || '/' || c_custkey || '/' || o_orderkey AS source_ref, sha256(o_orderpriority) AS content_sha256 FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
+def module_expand(spark, d):
+    """Each chunk with scene, chapter, module and an exact reference."""
+    return catalog.expand_module(*_modules(spark, d)).select("chunk_id", "scene_title", "chapter_title", "module_title", "source_ref", "content_sha256")
+
+
+@query("SELECT c_custkey AS scene_id, c_name AS scene_title, n_name AS chapter_title, r_name AS module_title FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
+def scene_listing(spark, d):
+    return catalog.scene_index(*_modules(spark, d)[1:]).select("scene_id", "scene_title", "chapter_title", "module_title")
+
+
+@query("SELECT o_orderkey AS progress_id, o_orderstatus AS status, c_name AS scene_title, r_name AS module_title FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE o_orderstatus <> 'P'")
+def progress_listing(spark, d):
+    """Orders as progress in their customers' scenes."""
+    progress = read(spark, d, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("progress_id"), F.col("o_custkey").alias("scene_id"), F.col("o_orderstatus").alias("status"))
+    return catalog.progress_index(progress, *_modules(spark, d)[1:]).select("progress_id", "status", "scene_title", "module_title")
+
+
+@query("SELECT s_suppkey AS character_id, s_name AS name, l_orderkey AS scene_id, l_linenumber FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_linestatus = 'O'")
+def binding_listing(spark, d):
+    """Lines bind suppliers, as characters, to orders, as scenes; one kind of them."""
+    bindings = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("character_id"), F.col("l_orderkey").alias("scene_id"), "l_linenumber", F.col("l_linestatus").alias("binding_kind"))
+    characters = read(spark, d, "supplier").select(F.col("s_suppkey").alias("character_id"), F.col("s_name").alias("name"))
+    return catalog.actor_bindings(bindings, characters, kind="O").select("character_id", "name", "scene_id", "l_linenumber")
+
+
+@query("SELECT event_id AS receipt_id, user_id AS group_id, c_name AS author FROM events JOIN customer ON c_custkey = user_id WHERE event_type = 'purchase' AND c_nationkey % 2 = 0 ORDER BY ts DESC, event_id DESC LIMIT 50")
+def receipt_listing(spark, d):
+    """The newest purchases as receipts of one mechanic, users as mutation groups, on one branch."""
+    rows = read(spark, d, "events").select(F.col("event_id").alias("receipt_id"), F.col("user_id").alias("group_id"), F.col("event_type").alias("mechanic_id"), F.col("ts").alias("created_at"))
+    groups = read(spark, d, "customer").select(F.col("c_custkey").alias("group_id"), F.col("c_name").alias("author"), (F.col("c_nationkey") % 2).alias("branch_id"))
+    return catalog.receipts(rows, groups, branch_id=0, mechanic_id="purchase", limit=50).select("receipt_id", "group_id", "author")
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'de' AND source IN ('src1', 'src2', 'src3')")
+def search_scope(spark, d):
+    """What a search in one language and three sources looks at."""
+    own = read(spark, d, "documents").withColumnsRenamed({"lang": "locale", "source": "source_key"})
+    return catalog.searchable(own, locale="de", source_keys=["src1", "src2", "src3"]).select("doc_id")
