@@ -695,3 +695,137 @@ def search_scope(spark, d):
     """What a search in one language and three sources looks at."""
     own = read(spark, d, "documents").withColumnsRenamed({"lang": "locale", "source": "source_key"})
     return catalog.searchable(own, locale="de", source_keys=["src1", "src2", "src3"]).select("doc_id")
+
+
+# ------------------------------------------------------------------ more of the ledger, access and contracts
+# Customers stand in for campaigns' members, orders for their grants and revisions, users of events for actors.
+
+
+@query("SELECT * FROM (SELECT event_id, user_id FROM events WHERE event_type = 'click' AND user_id IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3))")
+def actor_events(spark, d):
+    """Clicks of one nation's customers, who take part in their own events."""
+    e = read(spark, d, "events").where("event_type = 'click'")
+    own = read(spark, d, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("user_id"))
+    part = e.join(own, "user_id").select("event_id", F.lit("me").alias("actor_id"), F.lit("witness").alias("role"))
+    return ledger.for_actor(e, part, "me", ["witness", "actor"]).select("event_id", "user_id")
+
+
+@query("""
+SELECT DISTINCT event_id FROM events WHERE event_type = 'view' AND user_id % 5 = 0
+UNION SELECT event_id FROM events WHERE event_type = 'error' AND user_id % 7 = 0""")
+def known_events(spark, d):
+    """Views cited by visible knowledge, and errors taken part in."""
+    e = read(spark, d, "events")
+    knowledge = e.where("event_type = 'view'").select(F.when(F.col("user_id") % 5 == 0, "me").otherwise("you").alias("actor_id"), F.col("event_id").alias("source_event_id"), F.lit("owner").alias("disclosure_scope"))
+    part = e.where("event_type = 'error'").select("event_id", F.when(F.col("user_id") % 7 == 0, "me").otherwise("you").alias("actor_id"))
+    return ledger.actor_known_events(knowledge, part, "me")
+
+
+@query("SELECT event_id, user_id, event_type FROM events ORDER BY event_id DESC LIMIT 500")
+def revision_history(spark, d):
+    """The newest revisions; more than the bound are asked for."""
+    e = read(spark, d, "events").select("event_id", "user_id", "event_type", F.col("event_id").alias("sequence"))
+    return ledger.history(e, 10_000).drop("sequence")
+
+
+@query("SELECT 'b:' || event_id AS id, CASE WHEN lag(event_id) OVER (ORDER BY event_id) IS NULL THEN '-' ELSE 'b:' || lag(event_id) OVER (ORDER BY event_id) END AS parent_id, 1000 + row_number() OVER (ORDER BY event_id) AS sequence FROM events WHERE event_type = 'signup'")
+def revision_copies(spark, d):
+    """Signups, each the child of the one before, copied to a new branch."""
+    e = read(spark, d, "events").where("event_type = 'signup'").select(F.col("event_id").cast("string").alias("id"), F.col("event_id").alias("sequence"))
+    ids = ledger.numbered(e, ["sequence", "id"], "n")
+    parents = ids.select(F.col("id").alias("parent_id"), (F.col("n") + 1).alias("n"))
+    out = ledger.copy_revisions(ids.join(parents, "n", "left").drop("n"), "b", 1000)
+    return out.select("id", F.coalesce("parent_id", F.lit("-")).alias("parent_id"), "sequence")
+
+
+@query("""
+SELECT o_custkey AS snapshot_id, 'orders' AS kind, o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'unbound' ELSE 'not in payload' END AS problem FROM orders WHERE o_orderstatus IN ('F', 'P')""")
+def payload_bindings(spark, d):
+    """Snapshots whose payload names finished orders that aren't bound, and whose bindings name pending ones that it doesn't."""
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("snapshot_id"), F.col("o_orderkey").alias("id"), "o_orderstatus")
+    return ledger.snapshot_violations(o.where("o_orderstatus <> 'P'"), o.where("o_orderstatus <> 'F'"), "orders")
+
+
+@query("""
+SELECT 'party' AS scope_id, c_custkey AS old_scene_id, CASE WHEN c_nationkey < 20 THEN c_custkey + 1000000 ELSE -1 END AS new_scene_id, CASE WHEN c_nationkey < 20 THEN '-' ELSE 'unmapped' END AS error FROM customer""")
+def progress_migration(spark, d):
+    """Progress in every scene, moved to a revision that lacks the scenes of some chapters."""
+    c = read(spark, d, "customer")
+    progress = c.select(F.col("c_custkey").alias("scene_id"), F.lit("party").alias("scope_id"))
+    old = c.select(F.col("c_custkey").alias("scene_id"), F.col("c_name").alias("stable_key"))
+    new = c.where("c_nationkey < 20").select((F.col("c_custkey") + 1000000).alias("scene_id"), F.col("c_name").alias("stable_key"))
+    out = ledger.migrate_progress(progress, old, new)
+    return out.select("scope_id", "old_scene_id", F.coalesce(F.col("new_scene_id").cast("long"), F.lit(-1)).alias("new_scene_id"), F.coalesce("error", F.lit("-")).alias("error"))
+
+
+@query("SELECT DISTINCT o_custkey AS principal_id, c_nationkey AS campaign_id, c_nationkey % 4 = 1 AS allowed FROM orders JOIN customer ON c_custkey = o_custkey")
+def campaign_access(spark, d):
+    """Customers with orders ask for their nation's campaign; members of some are mere spectators."""
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("principal_id"), F.col("c_nationkey").alias("campaign_id"))
+    asked = read(spark, d, "orders").select(F.col("o_custkey").alias("principal_id")).distinct().join(c, "principal_id")
+    members = c.withColumn("role", F.when(F.col("campaign_id") % 4 == 1, "player").otherwise("spectator"))
+    return access.may_see_campaign(asked, members, ("owner", "player")).select("principal_id", "campaign_id", "allowed")
+
+
+@query("SELECT c_custkey AS principal_id, c_nationkey % 2 = 0 AS can_control, c_nationkey % 3 = 0 AS can_view_private FROM customer WHERE c_nationkey % 5 <> 0")
+def grant_changes(spark, d):
+    """Grants of control, changed to let some view private parts, and revoked for every fifth nation."""
+    c = read(spark, d, "customer").select(F.lit(1).alias("campaign_id"), F.col("c_custkey").alias("principal_id"), F.lit("hero").alias("actor_id"), "c_nationkey")
+    held = c.select("campaign_id", "principal_id", "actor_id", (F.col("c_nationkey") % 2 == 0).alias("can_control"), F.lit(False).alias("can_view_private"))
+    change = c.where("c_nationkey % 3 = 0").select("campaign_id", "principal_id", "actor_id", F.lit(None).cast("boolean").alias("can_control"), F.lit(True).alias("can_view_private"))
+    _, grants = access.revoke(c.select("campaign_id", "principal_id"), access.upsert_grants(held, change), c.where("c_nationkey % 5 = 0").select("campaign_id", "principal_id"))
+    return grants.select("principal_id", "can_control", "can_view_private")
+
+
+@query("SELECT sha256(o_orderpriority) AS address, 'stored' AS state FROM orders WHERE o_orderpriority LIKE '1%' GROUP BY ALL UNION ALL SELECT DISTINCT sha256(o_orderpriority), 'new' FROM orders WHERE o_orderpriority NOT LIKE '1%' UNION ALL SELECT sha256('gone'), 'unreferenced'")
+def stored_content(spark, d):
+    """Priorities as content: one is stored, the others are to be; one that is stored is no longer referred to."""
+    values = read(spark, d, "orders").select(F.sha2("o_orderpriority", 256).alias("address"), "o_orderpriority")
+    stored = values.where("o_orderpriority like '1%'").select("address").distinct().unionByName(spark.range(1).select(F.sha2(F.lit("gone"), 256).alias("address")))
+    new = contracts.persist_by_content(values, stored, "address").select("address", F.lit("new").alias("state"))
+    free = contracts.unreferenced(stored, values, "address")
+    kept = stored.join(free, "address", "left_anti").select("address", F.lit("stored").alias("state"))
+    return kept.unionByName(new).unionByName(free.select("address", F.lit("unreferenced").alias("state")))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_size % 4 = 0 THEN 'missing' WHEN p_size % 4 = 1 THEN 'match' WHEN p_size % 4 = 2 THEN 'unverified' ELSE 'conflict' END AS status FROM part")
+def component_states(spark, d):
+    """Parts as components: missing, installed alike, without a checksum, or installed with another."""
+    p = read(spark, d, "part").select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"), F.lit("1.0.0").alias("version"), "p_brand", (F.col("p_size") % 4).alias("r"))
+    wanted = p.select("kind", "id", "version", F.when(F.col("r") != 2, F.col("p_brand")).alias("checksum"))
+    there = p.where("r <> 0").select("kind", "id", "version", F.when(F.col("r") == 3, "other").otherwise(F.col("p_brand")).alias("checksum"))
+    return contracts.component_status(wanted, there, there.where("false")).select("id", "status")
+
+
+@query("SELECT DISTINCT l_suppkey AS addon_id FROM lineitem WHERE l_orderkey = 1 AND l_suppkey <> 1 UNION SELECT DISTINCT l_suppkey FROM lineitem WHERE l_orderkey = 2")
+def addon_conflicts(spark, d):
+    """Suppliers as add-ons that conflict with one: it names those of one order, those of another name it."""
+    lines = read(spark, d, "lineitem")
+    there = lines.where("l_orderkey = 1 and l_suppkey <> 1").select(F.lit(-1).cast("long").alias("addon_id"), F.col("l_suppkey").alias("conflicts_with"))
+    back = lines.where("l_orderkey = 2").select(F.col("l_suppkey").alias("addon_id"), F.lit(-1).cast("long").alias("conflicts_with"))
+    active = read(spark, d, "supplier").select(F.col("s_suppkey").alias("addon_id"))
+    return contracts.symmetric_conflicts(active, there.unionByName(back), -1)
+
+
+@query("SELECT doc_id, trim(regexp_replace(lower(replace(text, 'ß', 'ss')), '[^a-z0-9]+', '-', 'g'), '-') AS slug, greatest(1, length(text) // 4) AS tokens, coalesce(list_distinct(list_transform(regexp_extract_all(source, '[A-Za-z][A-Za-z0-9''-]{2,}'), lambda w: lower(w)))[1], '-') AS keyword FROM documents")
+def document_slugs(spark, d):
+    """Slug, estimated tokens and first keyword of the source of each document."""
+    own = read(spark, d, "documents")
+    return own.select("doc_id", text.ascii_slug(F.col("text")).alias("slug"), text.estimated_tokens(F.col("text")).alias("tokens"), F.coalesce(F.get(text.keywords(F.col("source")), F.lit(0)), F.lit("-")).alias("keyword"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN (doc_id * 37) % (length(text) + 35) >= length(text) // 2 + 18 THEN 4 ELSE 3 END AS page FROM documents""")
+def page_lookup(spark, d):
+    """Documents with two page markers put in: the page of some offset of each."""
+    own = read(spark, d, "documents").select("doc_id", F.floor(F.length("text") / 2).cast("int").alias("h"), "text")
+    marked = F.concat(F.lit("<!-- page: 3 -->\n"), F.substring("text", F.lit(1), F.col("h")), F.lit("\n<!-- page: 4 -->\n"), F.expr("substring(text, h + 1)"))
+    own = own.select("doc_id", marked.alias("text")).withColumn("marks", text.page_markers(F.col("text")))
+    return own.select("doc_id", text.page_for_offset(F.col("marks"), F.col("doc_id") * 37 % F.length("text")).alias("page"))
+
+
+@query("SELECT doc_id, sha256(trim(regexp_replace(text, '\\r\\n|\\r', '\n', 'g'), ' ')) AS digest FROM documents")
+def marker_removal(spark, d):
+    """Page markers put before and after each document are taken out again: the digest of what is left."""
+    marked = F.concat(F.lit("<!-- page: 1 -->\n"), F.col("text"), F.lit("\n  <!-- page: 2 -->  "))
+    return read(spark, d, "documents").select("doc_id", F.sha2(text.strip_page_markers(marked), 256).alias("digest"))
