@@ -157,11 +157,17 @@ def looks_all_caps(text: Column) -> Column:
     )
 
 
+def chapter_identity(text: Column) -> Column:
+    """The normalised line, with Ch. and App. spelled out: equal for labels of one chapter."""
+    full = F.regexp_replace(F.trim(text), r"(?i)^ch(?:apter)?\s*\.?\s*", "chapter ")
+    return normalized_line(F.regexp_replace(full, r"(?i)^app(?:endix)?\s*\.?\s*", "appendix "))
+
+
 def chapter_label(text: Column) -> Column:
-    """chapter:3, appendix:a, or null."""
-    chapter = F.regexp_extract(text, r"(?i)^\s*ch(?:apter|\.)?\s*([0-9]+|[ivxlc]+)\b", 1)
-    appendix = F.regexp_extract(text, r"(?i)^\s*app(?:endix|\.)?\s*([a-z0-9]+)\b", 1)
-    return F.when(chapter != "", F.concat(F.lit("chapter:"), F.lower(chapter))).when(appendix != "", F.concat(F.lit("appendix:"), F.lower(appendix)))
+    """chapter:3, appendix:a, part:2, episode:1and2, or null."""
+    identity = chapter_identity(text)
+    kind, which = (F.regexp_extract(identity, r"^(chapter|appendix|part|episode)s?([0-9]+(?:and[0-9]+)?|[a-z])", i) for i in (1, 2))
+    return F.when(kind != "", F.concat(kind, F.lit(":"), which))
 
 
 def stable_key(path: Column, title: Column) -> Column:

@@ -171,3 +171,25 @@ def classify_jobs(jobs: DataFrame, entities: DataFrame) -> DataFrame:
         .when(F.col("__there").isNull(), "the entity is gone").when(F.col("embedding").isNull() | (F.size("embedding") == 0), "the entity has no embedding")
     )
     return own.withColumn("error", error).withColumn("outcome", F.when(F.col("error").isNull(), "deliver").otherwise("failed")).drop("__there")
+
+
+def due_jobs(jobs: DataFrame, *, system_id: str, collection: str, limit: int = 1_000, job_ids: list | None = None) -> DataFrame:
+    """The oldest pending or failed upserts of one collection, at most `limit`: one batch of an outbox."""
+    if limit < 1:
+        raise ValueError("a batch needs a positive limit")
+    own = jobs.where((F.col("system_id") == system_id) & (F.col("collection") == collection) & (F.col("operation") == "upsert") & F.col("status").isin("pending", "failed"))
+    own = own.where(F.col("job_id").isin(*job_ids)) if job_ids else own
+    return own.orderBy("created_at", "job_id").limit(limit)
+
+
+def settle_jobs(jobs: DataFrame, tried: DataFrame, delivery_error: str | None = None) -> DataFrame:
+    """Jobs after a batch: each one tried has one attempt more, and is completed or failed with its reason.
+
+    tried (job_id, outcome, error) is what `classify_jobs` says of the batch;
+    with a delivery error all that were to be delivered fail with it and stay due.
+    """
+    own = jobs.join(tried.select("job_id", F.struct("outcome", "error").alias("__t")), "job_id", "left")
+    done = (F.col("__t.outcome") == "deliver") & F.lit(delivery_error is None)
+    status = F.when(F.col("__t").isNull(), F.col("status")).when(done, "completed").otherwise("failed")
+    error = F.when(F.col("__t").isNull(), F.col("error")).when(done, "").otherwise(F.coalesce("__t.error", F.lit(delivery_error or "vector delivery failed")))
+    return own.withColumns({"status": status, "error": error, "attempts": F.col("attempts") + F.col("__t").isNotNull().cast("int")}).drop("__t")

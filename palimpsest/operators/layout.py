@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions.text import looks_letter_spaced, normalized_line
+from palimpsest.operators.documents import page_quality
+
 #: Ratios of a heading's height to the body's, and the level each gives; the least likeness of an outline title.
 HEADING_RATIO, LEVELS = 1.35, ((1.8, 3), (1.4, 4))
 STRUCTURAL_LIKENESS, OTHER_LIKENESS = 0.45, 0.68
@@ -123,3 +126,69 @@ def cascade(layouts: DataFrame) -> DataFrame:
     mean = F.aggregate("blocks", F.lit(0.0), lambda a, b: a + b["confidence"]) / F.greatest(F.size("blocks"), F.lit(1))
     n = F.row_number().over(Window.partitionBy("document", "page").orderBy(F.desc("accepted"), F.when(F.col("accepted"), F.col("priority")).asc_nulls_last(), F.desc(mean), "priority"))
     return confident(layouts).withColumn("__n", n).where("__n = 1").drop("__n")
+
+
+#: How a line that begins a chapter looks, the least characters of a usable page, the most of one that is recognised for its outline alone, and words of a recovered heading.
+CHAPTER_LINE = r"(?i)^(?:(?:第[一二三四五六七八九十百0-9]+章|附录\s*[A-ZＡ-Ｚ])[\s：:]|(?:ch(?:apter)?\s*\.?|app(?:endix)?\s*\.?|part|episodes?)\s+[0-9A-Z]+(?:\s+and\s+[0-9A-Z]+)?[\s：:-])"
+LEAST_CHARS, MOST_OUTLINE_CHARS, MOST_HEADING_WORDS = 24, 800, 12
+
+
+def recognised_score(text: Column) -> Column:
+    """(clean, chars): 1 where no damage is seen, and the characters that are no white space; compared in this order."""
+    q = page_quality(text)
+    return F.struct(F.when(q["corrupt"] | q["fused"] | q["damaged"], 0).otherwise(1).alias("clean"), q["non_whitespace"].alias("chars"))
+
+
+def recognised_needs_fallback(text: Column) -> Column:
+    """Whether another provider should read the page: damage, or too little text."""
+    score = recognised_score(text)
+    return (score["clean"] == 0) | (score["chars"] < LEAST_CHARS)
+
+
+def layout_needs_fallback(text: Column, blocks: Column, least: float = 0.86) -> Column:
+    """The same of a layout, given with its text in reading order: also without blocks or with a mean confidence below `least`."""
+    total = F.aggregate(blocks, F.lit(0.0), lambda a, b: a + b["confidence"].cast("double"))
+    poor = F.coalesce(F.size(blocks) <= 0, F.lit(True)) | (total / F.greatest(F.size(blocks), F.lit(1)) < least)
+    return recognised_needs_fallback(text) | poor
+
+
+def unmatched_outline_pages(pages: DataFrame, matched: DataFrame) -> DataFrame:
+    """document and page of pages with text of which some outline entry has no line; `matched` is of `match_outline`."""
+    bare = matched.where(F.col("line").isNull()).select("document", "page").distinct()
+    return pages.where(F.length(normalized_line(F.coalesce("text", F.lit("")))) > 0).join(bare, ["document", "page"], "left_semi").select("document", "page")
+
+
+def outline_candidates(pages: DataFrame, matched: DataFrame, ordered: DataFrame) -> DataFrame:
+    """The unmatched pages worth recognising anew: short, and not among those (document, page) put in order by their layout."""
+    short = pages.where(page_quality(F.col("text"))["non_whitespace"] <= MOST_OUTLINE_CHARS)
+    return unmatched_outline_pages(short, matched).join(ordered.select("document", "page").distinct(), ["document", "page"], "left_anti")
+
+
+def recover_spaced_heading(heading: Column, lines: Column) -> Column:
+    """A letter-spaced heading as it is spaced elsewhere on its page: of mentions with the same letters the one of fewest words, then the shortest, then the first."""
+    target = normalized_line(heading)
+    words = F.transform(F.filter(lines, lambda x: x != heading), lambda x: F.regexp_extract_all(x, F.lit("[A-Za-z]+(?:['’][A-Za-z]+)?"), F.lit(0)))
+
+    def mentions(own: Column) -> Column:
+        starts = F.when(F.size(own) > 0, F.sequence(F.lit(1), F.size(own))).otherwise(F.array().cast("array<int>"))
+        runs = F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(MOST_HEADING_WORDS), F.size(own) - i + 1)), lambda n: F.array_join(F.slice(own, i, n), " ")))
+        return F.filter(F.flatten(runs), lambda r: (normalized_line(r) == target) & ~looks_letter_spaced(r))
+
+    found = F.flatten(F.transform(words, mentions))
+    best = F.array_sort(F.transform(found, lambda r, i: F.struct(F.size(F.split(r, " ")).alias("words"), F.length(r).alias("chars"), i.alias("at"), r.alias("text"))))
+    return F.when(looks_letter_spaced(heading) & (target != "") & (F.size(best) > 0), F.get(best, F.lit(0))["text"]).otherwise(heading)
+
+
+def without_leader(heading: Column) -> Column:
+    """A heading without the run of dashes, lines or waves that leads from it."""
+    return F.trim(F.regexp_replace(heading, r"\s*(?:[-_=~]\s*){3,}$", ""))
+
+
+def is_contents_page(text: Column) -> Column:
+    """A page of contents: named so in its first five lines, with chapters or dotted leaders, and short lines."""
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\r\n]"), lambda x: F.trim(x)), lambda x: x != "")
+    head = F.lower(F.array_join(F.slice(lines, 1, 5), " "))
+    count = lambda p: F.size(F.filter(lines, p))
+    chapters, leaders, short = count(lambda x: x.rlike(CHAPTER_LINE)), count(lambda x: x.rlike(r"\.{3,}\s*\d+\s*$")), count(lambda x: F.length(x) <= 80)
+    named = F.contains(head, F.lit("目录")) | head.rlike(r"\bcontents\b") | F.contains(normalized_line(head), F.lit("tableofcontents"))
+    return named & ((chapters >= 2) | (leaders >= 5)) & (F.size(lines) >= 8) & ((leaders >= 5) | (short >= 0.75 * F.size(lines)))

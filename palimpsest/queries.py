@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import hashing, text
 from palimpsest.functions.scoring import FIELD_WEIGHTS, cosine_similarity
-from palimpsest.operators import access, catalog, chunking, contracts, documents, ledger, records, retrieval
+from palimpsest.operators import access, cast, catalog, chunking, contracts, documents, facts, ledger, records, retrieval, rulepacks
 from palimpsest.plans import ingestion, packages
 from palimpsest.sources import vectors
 
@@ -829,3 +829,279 @@ def marker_removal(spark, d):
     """Page markers put before and after each document are taken out again: the digest of what is left."""
     marked = F.concat(F.lit("<!-- page: 1 -->\n"), F.col("text"), F.lit("\n  <!-- page: 2 -->  "))
     return read(spark, d, "documents").select("doc_id", F.sha2(text.strip_page_markers(marked), 256).alias("digest"))
+
+
+# ------------------------------------------------------------------ facts, beliefs and their evidence
+# Customers stand in for facts that are there, orders for new ones; events cite and are cited.
+
+
+@query("""
+WITH n AS (SELECT o_orderkey AS ordinal, o_custkey, 'b' || (o_orderkey % 3) AS branch_id, c_nationkey AS c, CASE WHEN o_orderkey % 7 = 0 THEN 'rumour' WHEN o_orderkey % 11 = 0 THEN 'bad' ELSE 'fact' END AS kind FROM orders JOIN customer ON c_custkey = o_custkey),
+f AS (SELECT *, min(ordinal) FILTER (kind <> 'bad') OVER k AS first, min_by(kind, ordinal) FILTER (kind <> 'bad') OVER k AS one FROM n WINDOW k AS (PARTITION BY o_custkey)),
+s AS (SELECT *, kind <> 'bad' AND kind = CASE WHEN c % 2 = 0 THEN 'fact' ELSE one END AS same, c % 4 = 0 AND branch_id = 'b0' AS head FROM f),
+t AS (SELECT *, min(ordinal) FILTER (same AND NOT head) OVER (PARTITION BY o_custkey, branch_id) AS taken FROM s),
+u AS (SELECT *, CASE WHEN kind = 'bad' THEN 'invalid' WHEN NOT same THEN 'identity' WHEN head OR ordinal <> taken THEN 'exists' WHEN c % 2 = 1 AND ordinal = first THEN 'created' ELSE 'headed' END AS outcome FROM t)
+SELECT ordinal, branch_id, outcome, CASE WHEN outcome NOT IN ('created', 'headed') THEN '-' WHEN c % 2 = 0 THEN 'm' || o_custkey ELSE 'n' || first END AS memory_id FROM u""")
+def fact_additions(spark, d):
+    """Orders as new facts under their customer's key; customers of every other nation are facts already."""
+    c, text_of = read(spark, d, "customer"), lambda p, col: F.concat(F.lit(p), F.col(col).cast("string"))
+    none = {x: F.lit("") for x in ("subject", "subject_ref", "predicate")}
+    held = c.where("c_nationkey % 2 = 0").select(F.lit("c").alias("campaign_id"), text_of("k", "c_custkey").alias("fact_key"), text_of("m", "c_custkey").alias("memory_id"), F.lit("fact").alias("kind")).withColumns(none)
+    heads = c.where("c_nationkey % 4 = 0").select(F.lit("b0").alias("branch_id"), text_of("m", "c_custkey").alias("memory_id"))
+    k, bad = F.col("o_orderkey"), (F.col("o_orderkey") % 11 == 0) & (F.col("o_orderkey") % 7 != 0)
+    new = read(spark, d, "orders").join(c, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select(k.alias("ordinal"), F.lit("c").alias("campaign_id"), F.concat(F.lit("b"), (k % 3).cast("string")).alias("branch_id"), text_of("k", "o_custkey").alias("fact_key"), text_of("n", "o_orderkey").alias("memory_id"),
+        F.when(k % 7 == 0, "rumour").when(bad, "actor_state").otherwise("fact").alias("kind"), F.lit("").alias("subject"), F.when(bad, "faction:x").otherwise("").alias("subject_ref"), F.lit("").alias("predicate"))
+    return facts.add_facts(held, heads, new).select("ordinal", "branch_id", "outcome", F.coalesce("memory_id", F.lit("-")).alias("memory_id"))
+
+
+@query("SELECT c_custkey AS fact_key, concat_ws(',', CASE WHEN c_custkey % 2 = 0 THEN 'kind' END, CASE WHEN c_custkey % 3 = 0 THEN 'predicate' END) AS fields FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")
+def fact_conflicts(spark, d):
+    """Customers proposed again, some with another kind or predicate."""
+    c, k = read(spark, d, "customer"), F.col("c_custkey")
+    own = c.select(F.col("c_nationkey").alias("campaign_id"), k.alias("fact_key"), F.col("c_mktsegment").alias("kind"), F.col("c_name").alias("subject"), F.lit(None).cast("string").alias("subject_ref"), F.lit("is").alias("predicate"))
+    proposed = own.withColumns({"kind": F.when(F.col("fact_key") % 2 == 0, "x").otherwise(F.col("kind")), "subject_ref": F.lit(""), "predicate": F.when(F.col("fact_key") % 3 == 0, "x").otherwise(F.col("predicate"))})
+    return facts.identity_conflicts(own, proposed).select("fact_key", F.array_join("fields", ",").alias("fields"))
+
+
+@query("""
+WITH k AS (SELECT event_id, user_id, 'key' || (event_id % 5) AS knowledge_key, CASE WHEN event_id % 13 = 0 THEN 'event' WHEN user_id % 10 = 0 AND event_id % 5 = 1 THEN 'held' END AS why FROM events)
+SELECT event_id, knowledge_key, CASE WHEN why = 'event' THEN 'event' WHEN why = 'held' THEN 'exists' WHEN event_id = min(event_id) FILTER (why IS NULL) OVER (PARTITION BY user_id, knowledge_key) THEN 'created' ELSE 'exists' END AS outcome FROM k""")
+def knowledge_additions(spark, d):
+    """Events as beliefs of their user that cite the event: every thirteenth is of another branch, every second one is bound to a snapshot."""
+    e, k = read(spark, d, "events"), F.col("event_id")
+    known = e.select(k, F.lit("c").alias("campaign_id"), F.when(k % 13 == 0, "x").otherwise("b").alias("branch_id"), F.when(k % 2 == 0, "s").alias("committed_snapshot_id"))
+    bound = known.where("event_id % 2 = 0 and event_id % 13 <> 0").select(F.lit("s").alias("snapshot_id"), "event_id")
+    new = e.select(k.alias("ordinal"), F.lit("c").alias("campaign_id"), F.lit("b").alias("branch_id"), F.col("user_id").alias("actor_id"), F.concat(F.lit(" key"), (k % 5).cast("string")).alias("knowledge_key"), k, F.lit("s").alias("head_snapshot_id"))
+    held = read(spark, d, "customer").where("c_custkey % 10 = 0").select(F.lit("b").alias("branch_id"), F.col("c_custkey").alias("actor_id"), F.lit("key1").alias("knowledge_key"))
+    held = held.unionByName(e.where("user_id % 10 = 0").select(F.lit("b").alias("branch_id"), F.col("user_id").alias("actor_id"), F.lit("key1").alias("knowledge_key")))
+    return facts.add_knowledge(held, facts.citable(new, known, bound)).select("event_id", F.trim("knowledge_key").alias("knowledge_key"), "outcome")
+
+
+@query("""
+SELECT p_partkey::VARCHAR AS subject, problem FROM part, (VALUES ('an anchor is for the master only', 2), ('the subject is no reference', 3), ('the purpose needs 1 to 200 characters', 5), ('a related reference is invalid', 7), ('an anchor needs 1 to 16 bindings', 11), ('too many related references', 13)) v(problem, m)
+WHERE p_partkey % m = 0 AND NOT (m = 7 AND p_partkey % 13 = 0)""")
+def anchor_contract(spark, d):
+    """Parts as anchors, each kind of fault in some."""
+    k, ref = F.col("p_partkey"), lambda x: F.concat(F.lit("item:"), x.cast("string"))
+    related = F.when(k % 13 == 0, F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.concat(F.lit("scene:"), i.cast("string")))).when(k % 7 == 0, F.array(F.lit("no reference"))).otherwise(F.array(ref(k), F.lit(" scene:1 ")))
+    own = read(spark, d, "part").select(k.alias("anchor_id"), F.lit(1).alias("schema_version"), F.when(k % 5 != 0, F.col("p_name")).alias("purpose"), F.when(k % 3 == 0, "part").otherwise(ref(k)).alias("subject_ref"), F.lit(" ").alias("predicate"), F.when(k % 2 == 0, "party").otherwise("dm").alias("disclosure_scope"), related.alias("related_refs"), F.when(k % 11 == 0, 17).otherwise(1).alias("bindings"))
+    return facts.anchor_problems(own)
+
+
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'unknown' WHEN doc_id % 5 = 1 THEN 'other campaign' WHEN doc_id % 5 = 2 THEN 'moved' WHEN doc_id % 5 = 3 THEN 'absent' ELSE 'bound' END AS outcome FROM documents""")
+def binding_resolution(spark, d):
+    """Documents as chunks, bound by their own text, in capitals and with other blanks; every kind of mismatch in some."""
+    k = F.col("doc_id")
+    own = read(spark, d, "documents").select(k, F.coalesce("text", F.lit("")).alias("content"))
+    place = {"module_id": F.lit("m"), "scene_id": F.lit("s"), "page_start": F.lit(1), "page_end": F.lit(2), "heading_path": F.array(F.lit("A"), F.lit("a "), F.lit("B"))}
+    chunks = own.where(k % 5 != 0).select(k.alias("chunk_id"), F.when(k % 5 == 1, "x").otherwise("c").alias("campaign_id"), "content", *[v.alias(n) for n, v in place.items()], F.sha2("content", 256).alias("content_sha256"))
+    place = place | {"page_end": F.when(k % 5 == 2, 3).otherwise(2), "heading_path": F.array(F.lit("A"), F.lit("B"))}
+    excerpt = F.when(k % 5 == 3, F.concat("content", F.lit(" and more"))).otherwise(F.regexp_replace(F.upper(F.col("content")), " ", "\n"))
+    asked = own.select(k, k.alias("chunk_id"), F.lit("c").alias("campaign_id"), *[v.alias(n) for n, v in place.items()], F.upper(F.sha2("content", 256)).alias("content_sha256"), excerpt.alias("source_excerpt"))
+    return facts.resolve_bindings(asked, chunks).select("doc_id", "outcome")
+
+
+@query("WITH l AS (SELECT l_orderkey, l_suppkey FROM lineitem GROUP BY ALL) SELECT l_orderkey AS recap_id, coalesce(string_agg(l_suppkey::VARCHAR, ',' ORDER BY l_suppkey) FILTER (l_suppkey % 3 = 0), '') AS unknown FROM l GROUP BY 1")
+def recap_presentations(spark, d):
+    """Orders as recaps with their lines' suppliers as cited events; a third of the suppliers isn't evidence."""
+    own = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("recap_id")).agg(F.collect_set("l_suppkey").alias("evidence_event_ids"))
+    held = own.withColumn("evidence_event_ids", F.filter("evidence_event_ids", lambda x: x % 3 != 0))
+    return facts.presentable(held, own).select("recap_id", F.array_join(F.transform("unknown", lambda x: x.cast("string")), ",").alias("unknown"))
+
+
+# ------------------------------------------------------------------ rule packs, add-ons and profiles
+# Parts stand in for versions and components, customers for campaigns, orders for requests.
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_size % 6 = 0 THEN 'unstored' WHEN p_size % 6 = 1 THEN 'other system' WHEN p_size % 6 = 2 THEN 'kept' WHEN p_size % 6 = 3 THEN 'immutable' WHEN p_size % 6 = 4 THEN 'rejected' ELSE 'validated' END AS outcome FROM part""")
+def pack_drafts(spark, d):
+    """Parts as drafts against packs and versions that are there."""
+    r = F.col("p_size") % 6
+    own = read(spark, d, "part").select("p_partkey", F.concat(F.lit("pack."), F.col("p_partkey").cast("string")).alias("pack_id"), F.when(r == 0, "1").otherwise("1.0.0").alias("version"), F.lit("s").alias("system_id"), F.col("p_brand").alias("checksum"), F.when(r == 4, 2).alias("problems"), r.alias("r"))
+    packs = own.where("r in (1, 2, 3)").select("pack_id", F.when(F.col("r") == 1, "t").otherwise("s").alias("system_id"))
+    versions = own.where("r in (2, 3, 4)").select("pack_id", "version", F.when(F.col("r") == 4, "validated").otherwise("installed").alias("status"), F.when(F.col("r") == 2, F.col("checksum")).otherwise("x").alias("checksum"))
+    return rulepacks.save_drafts(packs, versions, own.drop("r")).select("p_partkey", "outcome")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'missing' WHEN p_size % 4 = 1 THEN 'refused' ELSE 'installed' END AS outcome FROM part")
+def pack_installs(spark, d):
+    own = read(spark, d, "part").select("p_partkey", F.col("p_partkey").alias("pack_id"), F.lit("1.0.0").alias("version"), (F.col("p_size") % 4).alias("r"))
+    versions = own.where("r <> 0").select("pack_id", "version", F.element_at(F.array(F.lit("rejected"), F.lit("validated"), F.lit("installed")), F.col("r").cast("int")).alias("status"))
+    return rulepacks.install_versions(versions, own).select("p_partkey", "outcome")
+
+
+def _pack_requests(spark, d):
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("campaign_id"), F.when(F.col("c_nationkey") % 5 == 0, "t").otherwise("s").alias("system_id"), F.when(F.col("c_nationkey") % 3 == 0, "e2").otherwise("e1").alias("edition"), (F.col("c_nationkey") % 7 == 0).alias("locked"))
+    asked = read(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("campaign_id"), F.lit("b").alias("branch_id"), (F.col("o_orderkey") % 100).alias("pack_id"), F.lit("1.0.0").alias("version"))
+    packs = spark.range(100).select(F.col("id").alias("pack_id"), F.lit("1.0.0").alias("version"), F.lit("s").alias("system_id"), F.when(F.col("id") % 10 == 0, "validated").otherwise("installed").alias("status"), F.concat(F.lit("sum"), F.col("id").cast("string")).alias("checksum"), F.when(F.col("id") % 2 == 0, F.array(F.lit("e1"))).alias("editions"))
+    return c, asked, packs
+
+
+_PACK_REFUSAL = "CASE WHEN c_custkey IS NULL THEN 'missing' WHEN c_nationkey % 7 = 0 THEN 'locked' WHEN o_orderkey % 10 = 0 THEN 'not installed' WHEN c_nationkey % 5 = 0 THEN 'other system' WHEN o_orderkey % 2 = 0 AND c_nationkey % 3 = 0 THEN 'other edition'"
+
+
+@query(f"WITH a AS (SELECT o_orderkey, {_PACK_REFUSAL} WHEN o_orderkey % 100 = 7 AND c_nationkey % 2 = 0 THEN 'owned' ELSE 'applied' END AS outcome FROM orders LEFT JOIN customer ON c_custkey = o_custkey) SELECT o_orderkey, outcome, CASE WHEN outcome = 'applied' THEN 'sum' || (o_orderkey % 100) ELSE '-' END AS checksum FROM a")
+def pack_activations(spark, d):
+    """Orders ask for a pack on their customer's campaign; one pack belongs to an add-on in half of the nations."""
+    c, asked, packs = _pack_requests(spark, d)
+    held = read(spark, d, "customer").where("c_nationkey % 2 = 0").select(F.col("c_custkey").alias("campaign_id"), F.lit("b").alias("branch_id"), F.lit(7).cast("long").alias("pack_id"), F.array(F.lit("addon")).alias("owners"))
+    return rulepacks.set_activations(asked, c, packs, held).select("o_orderkey", "outcome", F.coalesce("checksum", F.lit("-")).alias("checksum"))
+
+
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE NOT (c_nationkey % 3 = 0 AND c_nationkey % 2 = 1) AND c_nationkey % 5 <> 0")
+def pack_removals(spark, d):
+    """Locks that stay where every third nation asks to remove its own; some belong to add-ons, some nations have none."""
+    c = read(spark, d, "customer").select("c_custkey", "c_nationkey", F.col("c_custkey").alias("campaign_id"), F.lit("b").alias("branch_id"), F.lit("p").alias("pack_id"))
+    held = c.where("c_nationkey % 5 <> 0").withColumn("owners", F.when(F.col("c_nationkey") % 2 == 0, F.array(F.lit("addon"))))
+    return rulepacks.remove_activations(held, c.where("c_nationkey % 3 = 0"))[0].select("c_custkey", "c_nationkey")
+
+
+@query(f"SELECT o_orderkey, {_PACK_REFUSAL} WHEN o_orderkey % 100 IN (13, 14) THEN 'components wanting' WHEN o_orderkey % 100 IN (21, 23) AND c_nationkey % 2 = 0 THEN 'conflict' ELSE 'ready' END AS outcome FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
+def addon_requirements(spark, d):
+    """Orders ask whether an add-on may be made active; one active add-on conflicts with two, named by either side."""
+    c, asked, packs = _pack_requests(spark, d)
+    rename = {"pack_id": "addon_id"}
+    wanting = spark.range(13, 15).select(F.col("id").alias("addon_id"), F.lit("1.0.0").alias("version"), F.lit(1).alias("wanting"))
+    conflicts = spark.range(2).select(F.when(F.col("id") == 0, 21).otherwise(99).cast("long").alias("addon_id"), F.when(F.col("id") == 0, 99).otherwise(23).cast("long").alias("conflicts_with"))
+    active = c.join(read(spark, d, "customer").where("c_nationkey % 2 = 0").select(F.col("c_custkey").alias("campaign_id")), "campaign_id").select("campaign_id", F.lit("b").alias("branch_id"), F.lit(99).cast("long").alias("addon_id"))
+    return rulepacks.activation_requirements(asked.withColumnsRenamed(rename), c, packs.withColumnsRenamed(rename).drop("checksum"), wanting, conflicts, active).select("o_orderkey", "outcome")
+
+
+@query("SELECT l_orderkey AS addon_id, count(*) AS components, count(*) FILTER (l_suppkey % 3 = 0 OR l_suppkey % 3 = 1 AND l_suppkey % 2 = 0) AS wanting FROM lineitem GROUP BY 1")
+def addon_components(spark, d):
+    """Orders as add-ons, lines as components: a third is missing, half of another third is there with another checksum."""
+    own = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("addon_id"), F.lit("1").alias("addon_version"), F.lit("rule_pack").alias("kind"), F.col("l_suppkey").alias("id"), F.lit("1.0.0").alias("version"), F.lit("a").alias("checksum"))
+    s = read(spark, d, "supplier").select(F.lit("rule_pack").alias("kind"), F.col("s_suppkey").alias("id"), F.lit("1.0.0").alias("version"))
+    there = s.where("id % 3 <> 0").withColumn("checksum", F.when((F.col("id") % 3 == 1) & (F.col("id") % 2 == 0), "b").otherwise("a"))
+    return rulepacks.installable(own, there, there.where("false")).select("addon_id", "components", "wanting")
+
+
+@query("SELECT l_orderkey AS addon_id, string_agg(k || '=' || n, ',' ORDER BY k) AS counts FROM (SELECT l_orderkey, l_returnflag AS k, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY 1")
+def addon_registry(spark, d):
+    """Orders as add-ons: how many of their lines, as components, are of each kind."""
+    own = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("addon_id"), F.lit("1").alias("version"), F.col("l_returnflag").alias("kind"))
+    pairs = F.transform(F.array_sort(F.map_entries("counts")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return rulepacks.component_counts(own).select("addon_id", F.array_join(pairs, ",").alias("counts"))
+
+
+@query("SELECT l_suppkey AS pack_id, count(DISTINCT l_orderkey) AS owners, count(DISTINCT l_returnflag) > 1 AS conflict, min(l_returnflag) AS version FROM lineitem GROUP BY 1")
+def addon_lock_merge(spark, d):
+    """Orders as active add-ons that lock their lines' suppliers, as packs, in the version of the return flag."""
+    own = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("addon_id"), F.lit("1").alias("addon_version"), F.lit("rule_pack").alias("kind"), F.col("l_suppkey").alias("id"), F.col("l_returnflag").alias("version"), F.lit("a").alias("checksum"))
+    active = read(spark, d, "orders").select(F.lit("c").alias("campaign_id"), F.lit("b").alias("branch_id"), F.col("o_orderkey").alias("addon_id"), F.lit("1").alias("addon_version"))
+    return rulepacks.addon_locks(active, own).select("pack_id", F.size("owners").cast("long").alias("owners"), "conflict", "version")
+
+
+@query("""
+SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'enabled' WHEN 1 THEN 'replaced' WHEN 2 THEN 'disabled' WHEN 3 THEN 'other version' WHEN 4 THEN 'not active' ELSE 'enabled' END AS outcome, o_orderkey % 6 IN (0, 1, 3, 5) AS active FROM orders""")
+def addon_switches(spark, d):
+    """Orders as add-ons that are switched on, off or to another version."""
+    r = F.col("o_orderkey") % 6
+    own = read(spark, d, "orders").select(F.lit("c").alias("campaign_id"), F.lit("b").alias("branch_id"), F.col("o_orderkey").alias("addon_id"), F.lit("2").alias("addon_version"), F.lit("a").alias("checksum"), r.isin(0, 1, 5).alias("enabled"), r.alias("r"))
+    active = own.where("r not in (0, 4)").select("campaign_id", "branch_id", "addon_id", F.when(F.col("r").isin(1, 3), "1").otherwise("2").alias("addon_version"), "checksum")
+    after, judged = rulepacks.switch_addons(active, own.drop("r"))
+    return judged.join(after.select("addon_id", F.lit(True).alias("active")), "addon_id", "left").select(F.col("addon_id").alias("o_orderkey"), "outcome", F.coalesce("active", F.lit(False)).alias("active"))
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_nationkey % 4 = 0 AND c_custkey % 3 = 0 THEN 'locked' WHEN c_nationkey % 4 = 0 AND c_custkey % 3 = 1 THEN 'outside the allow-list' WHEN c_nationkey % 4 = 1 AND c_custkey IN (SELECT o_custkey FROM orders) THEN 'edition frozen' ELSE 'set' END AS outcome FROM customer""")
+def profile_changes(spark, d):
+    """Customers as campaigns that change edition or options, some under a lock with an allow-list; orders are their characters."""
+    c = read(spark, d, "customer").select("c_custkey", F.col("c_custkey").alias("campaign_id"), (F.col("c_nationkey") % 4).alias("r"), (F.col("c_custkey") % 3).alias("o"))
+    rest = {"locale": F.lit("en"), "publications": F.array(F.lit("p"))}
+    now = c.select("campaign_id", F.lit("e1").alias("edition"), *[v.alias(k) for k, v in rest.items()], F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("1")).alias("options"))
+    options = F.when(F.col("o") == 1, F.create_map(F.lit("a"), F.lit("2"))).otherwise(F.create_map(F.lit("a"), F.lit("2"), F.lit("b"), F.lit("1")))
+    asked = c.select("c_custkey", "campaign_id", F.when((F.col("r") == 1) | (F.col("r") == 0) & (F.col("o") == 0), "e2").otherwise("e1").alias("edition"), *[v.alias(k) for k, v in rest.items()], options.alias("options"))
+    locks = c.select("campaign_id", (F.col("r") == 0).alias("locked"), F.array(F.lit("a")).alias("mutable_keys"))
+    return rulepacks.set_profiles(now, locks, read(spark, d, "orders").select(F.col("o_custkey").alias("campaign_id")), asked).select("c_custkey", "outcome")
+
+
+# ------------------------------------------------------------------ campaigns, characters, casts, assets, scenes and jobs
+
+
+@query("SELECT 'campaigns' AS kind, c_custkey AS campaign_id, CASE WHEN c_nationkey % 2 = 0 THEN 2 ELSE 1 END AS revision FROM customer UNION ALL SELECT 'branches', c_custkey, 0 FROM customer UNION ALL SELECT 'memberships', c_custkey, 0 FROM customer WHERE c_nationkey % 3 = 0 UNION ALL SELECT 'profiles', c_custkey, 0 FROM customer WHERE c_nationkey % 2 = 0")
+def campaign_creation(spark, d):
+    """Customers as new campaigns, some with an owner and an edition: the rows of each table."""
+    n = F.col("c_nationkey")
+    new = cast.create_campaigns(read(spark, d, "customer").select(F.col("c_custkey").alias("campaign_id"), F.lit("s").alias("system_id"), F.col("c_name").alias("name"), F.when(n % 3 == 0, F.col("c_name")).alias("principal_id"), F.when(n % 2 == 0, "e1").alias("edition")))
+    return contracts.union([rows.select(F.lit(kind).alias("kind"), "campaign_id", (F.col("revision") if "revision" in rows.columns else F.lit(0)).alias("revision")) for kind, rows in new.items()])
+
+
+@query("SELECT s_suppkey::VARCHAR AS character_id, -1 AS campaign_id, '-' AS template_id FROM supplier UNION ALL SELECT s_suppkey || ':instance', s_nationkey, s_suppkey::VARCHAR FROM supplier WHERE s_nationkey % 2 = 0")
+def character_creation(spark, d):
+    """Suppliers as templates, half of them with an instance in a campaign."""
+    asked = read(spark, d, "supplier").select(F.col("s_suppkey").alias("character_id"), F.lit("s").alias("system_id"), F.when(F.col("s_nationkey") % 2 == 0, F.col("s_nationkey")).cast("int").alias("campaign_id"), F.col("s_name").alias("name"), F.lit("{}").alias("sheet"))
+    return cast.create_characters(asked).select("character_id", F.coalesce("campaign_id", F.lit(-1)).alias("campaign_id"), F.coalesce("template_id", F.lit("-")).alias("template_id"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_nationkey % 5 = 0 THEN 'missing' WHEN s_nationkey % 5 = 1 THEN 'other system' WHEN s_nationkey % 5 = 2 THEN 'conflict' ELSE 'moved' END AS outcome, CASE WHEN s_nationkey % 5 IN (3, 4) THEN 8 ELSE 0 END AS revision FROM supplier")
+def character_moves(spark, d):
+    """Suppliers as characters that move to a campaign or the library."""
+    r = F.col("s_nationkey") % 5
+    own = read(spark, d, "supplier").select("s_suppkey", F.col("s_suppkey").alias("character_id"), r.alias("r"))
+    campaigns = spark.createDataFrame([("a", "s"), ("b", "t")], "campaign_id string, system_id string")
+    held = own.select("character_id", F.lit("s").alias("system_id"), F.lit(7).alias("revision"))
+    asked = own.select("s_suppkey", "character_id", F.when(F.col("r") == 0, "c").when(F.col("r") == 1, "b").when(F.col("r") != 4, "a").alias("target"), F.when(F.col("r") == 2, 6).when(F.col("r") == 3, 7).alias("expected"))
+    return cast.move_characters(held, asked, campaigns).select("s_suppkey", "outcome", F.coalesce("revision", F.lit(0)).alias("revision"))
+
+
+@query("SELECT c_custkey, concat_ws(',', CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'orders' END, CASE WHEN c_custkey IN (SELECT user_id FROM events) THEN 'events' END) AS held_by FROM customer")
+def actor_removals(spark, d):
+    """Customers as actors whose creation is undone: orders and events still refer to some."""
+    refs = {"orders": read(spark, d, "orders").select(F.col("o_custkey").alias("actor_id")), "events": read(spark, d, "events").select(F.col("user_id").alias("actor_id"))}
+    return cast.removable_actors(read(spark, d, "customer").select(F.col("c_custkey").alias("actor_id")), refs).select(F.col("actor_id").alias("c_custkey"), F.array_join("held_by", ",").alias("held_by"))
+
+
+@query("""
+SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'invalid' WHEN 1 THEN 'missing' WHEN 2 THEN 'other system' WHEN 3 THEN 'other campaign' WHEN 4 THEN 'no scene' WHEN 5 THEN 'other card' WHEN 6 THEN 'merged' ELSE 'created' END AS outcome, CASE c_custkey % 8 WHEN 6 THEN 'a=2,b=1' WHEN 7 THEN 'a=2' ELSE '-' END AS metadata FROM customer""")
+def cast_bindings(spark, d):
+    """Customers as characters that are bound to a module, with every kind of fault and two that are bound already."""
+    own = read(spark, d, "customer").select(F.col("c_custkey").alias("character_id"), (F.col("c_custkey") % 8).alias("r"))
+    r = F.col("r")
+    modules = spark.createDataFrame([("m", "s", "c")], "module_id string, system_id string, campaign_id string")
+    scenes = spark.createDataFrame([(1, "m", "key")], "scene_id int, module_id string, stable_key string")
+    characters = own.where("r <> 1").select("character_id", F.when(r == 2, "t").otherwise("s").alias("system_id"), F.when(r == 3, "x").when(r == 6, "c").alias("campaign_id"))
+    held = own.where("r in (5, 6)").select(F.lit("m").alias("module_id"), F.lit("key").alias("scene_key"), "character_id", F.lit("cast").alias("binding_kind"), F.lit("").alias("role"), F.when(r == 5, "other").otherwise("card").alias("actor_card_id"), F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("1")).alias("metadata"))
+    asked = own.select(F.lit("m").alias("module_id"), "character_id", F.when(r == 0, "").otherwise(" card ").alias("actor_card_id"), F.lit("Cast").alias("binding_kind"), F.lit(None).cast("string").alias("role"), F.when(r == 4, 2).when(r != 7, 1).alias("scene_id"), F.create_map(F.lit("a"), F.lit("2")).alias("metadata"))
+    pairs = F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return cast.bind_actors(held, asked, modules, characters, scenes).select(F.col("character_id").alias("c_custkey"), "outcome", F.coalesce(F.array_join(pairs, ","), F.lit("-")).alias("metadata"))
+
+
+@query("""
+WITH a AS (SELECT p_brand, p_type, min(p_size) AS lo, max(p_size) AS hi FROM part GROUP BY ALL)
+SELECT p_brand, p_type, CASE WHEN lo <> hi OR p_brand = 'Brand#11' AND lo <> 7 THEN 'different content' WHEN p_brand = 'Brand#11' THEN 'kept' ELSE 'created' END AS outcome FROM a""")
+def asset_registry(spark, d):
+    """Parts as assets: brand and type as path, the size as content; one brand's are there."""
+    p = read(spark, d, "part").select(F.col("p_brand").alias("module_id"), F.col("p_type").alias("source_path"), F.lit("text/plain").alias("media_type"), F.lpad(F.col("p_size").cast("string"), 3, "0").alias("checksum"))
+    held = p.where("module_id = 'Brand#11'").select("module_id", "source_path", F.lit("007").alias("checksum")).distinct()
+    return cast.register_assets(held, p).select(F.col("module_id").alias("p_brand"), F.col("source_path").alias("p_type"), "outcome")
+
+
+@query("""
+SELECT o_orderkey AS scene_id, coalesce(string_agg('f' || l_returnflag || '=' || v, ',' ORDER BY l_returnflag), 'fN=old') AS fields
+FROM orders LEFT JOIN (SELECT l_orderkey, l_returnflag, max_by(l_suppkey::VARCHAR, {'n': l_linenumber, 'v': l_suppkey::VARCHAR}) AS v FROM lineitem WHERE l_linenumber <> 1 GROUP BY ALL
+  UNION ALL SELECT o_orderkey, 'N', 'old' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber <> 1 AND l_returnflag = 'N')) ON l_orderkey = o_orderkey GROUP BY 1""")
+def scene_fields(spark, d):
+    """Orders as scenes with one field; their lines set fields, the first ones such that only parsing may set."""
+    scenes = read(spark, d, "orders").select(F.col("o_orderkey").alias("scene_id"), F.create_map(F.lit("fN"), F.lit("old")).alias("metadata"))
+    changes = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("scene_id"), F.when(F.col("l_linenumber") == 1, "stable_key").otherwise(F.concat(F.lit(" f"), "l_returnflag")).alias("field"), F.col("l_suppkey").cast("string").alias("value"), F.col("l_linenumber").alias("ordinal"))
+    pairs = F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return cast.set_scene_fields(scenes, changes)[0].select("scene_id", F.array_join(pairs, ",").alias("fields"))
+
+
+_JOB = "CASE WHEN doc_id % 4 = 0 THEN 'completed' WHEN doc_id % 4 = 1 THEN 'failed' ELSE 'pending' END"
+
+
+@query(f"""
+WITH j AS (SELECT doc_id AS job_id, {_JOB} AS was FROM documents), t AS (SELECT job_id FROM j WHERE was <> 'completed' ORDER BY job_id LIMIT 700),
+o AS (SELECT j.job_id, was, t.job_id IS NOT NULL AS tried, vec_id IS NOT NULL AS there FROM j LEFT JOIN t USING (job_id) LEFT JOIN embeddings ON vec_id = j.job_id AND label <> 3)
+SELECT job_id, CASE WHEN NOT tried THEN was WHEN there THEN 'completed' ELSE 'failed' END AS status, 1 + tried::INT AS attempts, CASE WHEN NOT tried THEN 'old' WHEN there THEN '' ELSE 'the entity is gone' END AS error FROM o""")
+def vector_jobs(spark, d):
+    """Documents as jobs of an outbox, vectors as entities, some of them gone: all jobs after one batch."""
+    k = F.col("doc_id")
+    jobs = read(spark, d, "documents").select(k.alias("job_id"), F.lit("s").alias("system_id"), F.lit("c").alias("collection"), F.lit("upsert").alias("operation"), F.expr(_JOB).alias("status"), k.alias("created_at"), F.lit("rule_chunk").alias("entity_type"), k.alias("entity_id"), F.lit(1).alias("attempts"), F.lit("old").alias("error"))
+    entities = read(spark, d, "embeddings").where("label <> 3").select(F.col("vec_id").alias("entity_id"), "embedding")
+    tried = contracts.classify_jobs(contracts.due_jobs(jobs, system_id="s", collection="c", limit=700).drop("error"), entities)
+    return contracts.settle_jobs(jobs, tried).select("job_id", "status", "attempts", "error")
