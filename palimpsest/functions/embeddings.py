@@ -60,3 +60,25 @@ def embed(rows: DataFrame, text: str, make: Callable[[], Callable[[list[str]], n
 
     unique = rows.select(text).where(F.col(text).isNotNull()).distinct().withColumn(into, encoded(F.col(text)))
     return rows.join(unique, text, "left")
+
+
+def configured_profiles(setting: str | None, known: dict[str, Profile], aliases: dict[str, str] | None = None, default: str | None = None) -> list[Profile]:
+    """The profiles that a comma-separated setting names, once each, in order; ValueError for an unknown name or none."""
+    names = [n.strip().lower() for n in (default or "" if setting is None else setting).split(",") if n.strip()]
+    keys = list(dict.fromkeys((aliases or {}).get(n, n) for n in names))
+    unknown = [k for k in keys if k not in known]
+    if unknown:
+        raise ValueError(f"unknown profiles {unknown}; choose from {', '.join(known)}")
+    if not keys:
+        raise ValueError("no profile is configured")
+    return [known[k] for k in keys]
+
+
+def choose_profile(profiles: list[Profile], known: dict[str, Profile], *, key: str | None = None, language: str | None = None, aliases: dict[str, str] | None = None) -> Profile:
+    """The profile of a key or alias, else that of a language among those configured."""
+    if not key:
+        return profile_for_language(profiles, language or "multi")
+    found = known.get((aliases or {}).get(key.casefold(), key.casefold()))
+    if found is None:
+        raise ValueError(f"unknown profile {key!r}")
+    return found

@@ -109,3 +109,26 @@ class NonceGuard:
 
 def context_fingerprint(fields: dict) -> str:
     return digest(fields)
+
+
+#: Fixed value: who may vouch for a principal.
+TRUSTED = "trusted-host"
+
+
+def context_problems(contexts: DataFrame, context_id: str) -> DataFrame:
+    """subject and problem of stored contexts whose fields couldn't have been signed; signatures themselves are checked by `verify_context`."""
+    from palimpsest.operators.contracts import SHA256, violations
+
+    needed = ("host", "channel", "actor_principal", "conversation_principal", "session_id")
+    checks = {f"{c} is missing": F.trim(F.coalesce(c, F.lit(""))) != "" for c in needed}
+    zone = F.col("issued_at").rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$") & F.try_to_timestamp("issued_at").isNotNull()
+    return violations(contexts, context_id, checks | {
+        "the epoch is negative": F.col("authorization_epoch") >= 0, "the source isn't trusted": F.col("principal_source") == TRUSTED,
+        "the nonce needs 1 to 128 characters": F.length(F.trim("nonce")).between(1, 128), "issued_at needs a time zone": zone, "the signature is no digest": F.lower(F.trim("signature")).rlike(SHA256),
+    })
+
+
+def audit_receipts(writes: DataFrame, contexts: DataFrame, context_id: str) -> DataFrame:
+    """Writes (context id, tool, revision, ..) with who made them: the fields that every write keeps; without a context they are null."""
+    kept = ("actor_principal", "conversation_principal", "tenant_id", "campaign_id", "session_id", "authorization_epoch", "nonce")
+    return writes.join(contexts.select(context_id, *kept), context_id, "left")

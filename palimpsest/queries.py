@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import hashing, text
 from palimpsest.functions.scoring import FIELD_WEIGHTS, cosine_similarity
 from palimpsest.operators import access, cast, catalog, chunking, contracts, documents, facts, ledger, records, retrieval, rulepacks
-from palimpsest.plans import ingestion, packages
+from palimpsest.plans import cards, ingestion, packages
 from palimpsest.sources import vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1105,3 +1105,57 @@ def vector_jobs(spark, d):
     entities = read(spark, d, "embeddings").where("label <> 3").select(F.col("vec_id").alias("entity_id"), "embedding")
     tried = contracts.classify_jobs(contracts.due_jobs(jobs, system_id="s", collection="c", limit=700).drop("error"), entities)
     return contracts.settle_jobs(jobs, tried).select("job_id", "status", "attempts", "error")
+
+
+# ------------------------------------------------------------------ descriptors, cards, contexts and documents
+
+
+@query("SELECT doc_id, sha256(text) AS checksum, strlen(text) AS size, 'blobs/sha256/' || sha256(text) AS blob_key FROM documents")
+def asset_descriptors(spark, d):
+    """Documents as assets that are found by their content."""
+    return cards.blob_descriptors(read(spark, d, "documents").select("doc_id", F.col("text").alias("content"))).select("doc_id", "checksum", "size", "blob_key")
+
+
+@query("""
+SELECT s_suppkey::VARCHAR AS subject, problem FROM supplier, (VALUES ('the id isn''t portable', 2), ('the name is missing', 3), ('the image is another kind of asset', 5), ('unknown image gone', 7)) v(problem, m)
+WHERE s_suppkey % m = 0 AND NOT (m = 5 AND s_suppkey % 7 = 0)""")
+def card_contract(spark, d):
+    """Suppliers as actors' cards, each kind of fault in some."""
+    k = F.col("s_suppkey")
+    own = read(spark, d, "supplier").select(k.alias("actor_id"), F.lit("1").alias("version"), F.lit("s").alias("system_id"), F.lit("npc").alias("actor_type"), F.when(k % 3 != 0, F.col("s_name")).alias("name"), F.lit(None).cast("string").alias("player_name"), F.lit(None).cast("string").alias("summary"),
+        F.lit("{}").alias("sheet"), F.lit("{}").alias("notes"), F.when(k % 7 == 0, "gone").when(k % 5 == 0, "map").otherwise("face").alias("image_asset_key"), F.lit("").alias("image_alt"))
+    own = own.withColumn("actor_id", F.col("actor_id").cast("string"))
+    made = cards.actor_cards(own).withColumn("card", F.col("card").withField("id", F.when(F.col("actor_id").cast("long") % 2 == 0, "no id").otherwise(F.col("actor_id"))))
+    return cards.card_problems(made, spark.createDataFrame([("face", "actor_image"), ("map", "map")], "asset_key string, kind string"), "s")
+
+
+@query("""
+SELECT event_id::VARCHAR AS subject, problem FROM events, (VALUES ('channel is missing', 2), ('the epoch is negative', 3), ('the source isn''t trusted', 5), ('issued_at needs a time zone', 7), ('the signature is no digest', 11)) v(problem, m) WHERE event_id % m = 0""")
+def context_contract(spark, d):
+    """Events as stored contexts, each kind of fault in some."""
+    k = F.col("event_id")
+    own = read(spark, d, "events").select(k, F.lit("h").alias("host"), F.when(k % 2 != 0, "c").alias("channel"), F.col("event_type").alias("actor_principal"), F.lit("p").alias("conversation_principal"), F.lit("s").alias("session_id"), F.when(k % 3 == 0, -1).otherwise(0).alias("authorization_epoch"),
+        F.when(k % 5 == 0, "me").otherwise("trusted-host").alias("principal_source"), k.cast("string").alias("nonce"), F.when(k % 7 == 0, "2024-01-02T03:04:05").otherwise("2024-01-02T03:04:05+00:00").alias("issued_at"), F.when(k % 11 == 0, "x").otherwise(F.sha2("event_type", 256)).alias("signature"))
+    return access.context_problems(own, "event_id")
+
+
+@query("SELECT o_orderkey, o_orderstatus AS tool, c_name AS actor_principal, c_nationkey AS authorization_epoch FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_nationkey <> 3) ON c_custkey = o_custkey")
+def audit_receipts(spark, d):
+    """Orders as writes under their customer's context; one nation has none."""
+    c = read(spark, d, "customer").where("c_nationkey <> 3").select(F.col("c_custkey").alias("context_id"), F.col("c_name").alias("actor_principal"), F.col("c_nationkey").alias("authorization_epoch"), *[F.lit("x").alias(n) for n in ("conversation_principal", "tenant_id", "campaign_id", "session_id", "nonce")])
+    writes = read(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("context_id"), F.col("o_orderstatus").alias("tool"))
+    return access.audit_receipts(writes, c, "context_id").select("o_orderkey", "tool", "actor_principal", "authorization_epoch")
+
+
+@query("""
+WITH t AS (SELECT event_id, '{"candidates":[],"inspection":{},"payload":' || replace(props, ' ', '') || ',"result":{},"validation":{}}' AS v FROM events)
+SELECT event_id, sha256(v) AS document_checksum, length(v) AS document_uncompressed_size FROM t""")
+def import_documents(spark, d):
+    """Event properties as payloads of import jobs."""
+    return cards.with_import_document(read(spark, d, "events").select("event_id", "props"), payload=F.col("props")).select("event_id", "document_checksum", "document_uncompressed_size")
+
+
+@query("SELECT event_id, sha256(replace(props, ' ', '')) AS checksum FROM events WHERE event_type = 'purchase'")
+def package_digests(spark, d):
+    """The properties of purchases as bodies of packages."""
+    return cards.package_checksums(read(spark, d, "events").where("event_type = 'purchase'"), "props").select("event_id", "checksum")

@@ -137,3 +137,35 @@ def test_states_are_replaced_and_checked_out(spark, log):
     with pytest.raises(Refused) as e:
         transactions.checkout(log, 4, "c", "main")
     assert e.value.outcomes == {"dirty": 1}
+
+
+def test_systems_and_profiles():
+    from palimpsest.functions.embeddings import Profile, choose_profile, configured_profiles
+    from palimpsest.plans.systems import System, Systems
+
+    own = Systems()
+    for name in ("b", "a"):
+        own.register(System(name, name.upper()))
+    assert [s.id for s in own.all()] == ["a", "b"] and own.get("a").name == "A" and own.discover() == []
+    with pytest.raises(ValueError):
+        own.register(System("a", "another"))
+    with pytest.raises(LookupError):
+        own.get("c")
+    known = {k: Profile(k, lang, 8) for k, lang in (("m", "multi"), ("z", "zh"))}
+    assert [p.key for p in configured_profiles(" Z, m,zz ", known, {"zz": "z"})] == ["z", "m"] and [p.key for p in configured_profiles(None, known, default="m")] == ["m"]
+    for bad in ("", "q"):
+        with pytest.raises(ValueError):
+            configured_profiles(bad, known)
+    assert choose_profile([known["m"]], known, key="ZZ", aliases={"zz": "z"}).key == "z" and choose_profile([known["m"]], known, language="zh").key == "m"
+
+
+def test_requests_of_a_stream_are_kept_once(spark, tmp_path):
+    from palimpsest.streaming.ledgers import remember_requests
+
+    schema = "scope string, key string, request_sha256 string, at int"
+    log = CommitLog(spark, str(tmp_path / "log"))
+    for n, rows in enumerate(([("s", "k", "a", 1), ("s", "k", "a", 2), ("s", "l", "b", 1)], [("s", "k", "a", 3), ("s", "l", "x", 4), ("t", "k", "z", 5)], [("s", "l", "x", 6)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        remember_requests(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), log, "requests", str(tmp_path / "state")).awaitTermination()
+    assert sorted((r.scope, r.key, r.request_sha256) for r in log.read("requests").collect()) == [("s", "k", "a"), ("s", "l", "b"), ("t", "k", "z")]
+    assert [(r.scope, r.key, r.request_sha256) for r in log.read("requests_conflicts").collect()] == [("s", "l", "x")]
