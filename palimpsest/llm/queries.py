@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from palimpsest.llm.bytepair import op12_byte_bpe
 from palimpsest.llm.decontamination import op2_decontamination
 from palimpsest.llm.language import op10_language_id
 from palimpsest.llm.near_dedup import OP5_SQL, op5_near_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_pieces": op9_pieces,
     "op10_language_id": op10_language_id,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 #: The rest have no SQL form; tests/llm compares them with brute force.
 ORACLES: dict[str, str] = {"op5_near_dedup": OP5_SQL, "op8_topk": OP8_SQL}
