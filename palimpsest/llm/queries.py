@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from palimpsest.llm.bytepair import op12_byte_bpe
 from palimpsest.llm.decontamination import op2_decontamination
+from palimpsest.llm.fim import OP13_SQL, op13_fill_in_middle
+from palimpsest.llm.interactions import OP11_SQL, op11_filter_audit
 from palimpsest.llm.language import op10_language_id
 from palimpsest.llm.near_dedup import OP5_SQL, op5_near_dedup
 from palimpsest.llm.pieces import op9_pieces
@@ -25,7 +27,9 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_pieces": op9_pieces,
     "op10_language_id": op10_language_id,
+    "op11_filter_audit": op11_filter_audit,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 #: The rest have no SQL form; tests/llm compares them with brute force.
-ORACLES: dict[str, str] = {"op5_near_dedup": OP5_SQL, "op8_topk": OP8_SQL}
+ORACLES: dict[str, str] = {"op5_near_dedup": OP5_SQL, "op8_topk": OP8_SQL, "op11_filter_audit": OP11_SQL, "op13_fill_in_middle": OP13_SQL}
