@@ -13,6 +13,7 @@ import hashlib
 import sys
 import tempfile
 import types
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -76,15 +77,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write an intermediate result to the cluster's checkpoint folder and cut its lineage."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; one of its own is set only on a local master, as in tests."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if not folder and not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(folder or tempfile.mkdtemp("-checkpoints"))
+    return context.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write rows to the shared folder as Parquet, and read them from there."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write an intermediate result to the cluster's checkpoint folder and cut its lineage."""
     spark = df.sparkSession
+    shared_folder(spark)
     rows = df.checkpoint()._jdf.queryExecution().toRdd()
     # A plan of its own: the checkpoint's keeps constraints on columns that are gone, on which unions fail.
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, spark._jsparkSession.parseDataType(df.schema.json()), False), spark)
@@ -202,19 +216,25 @@ def filtered(df: DataFrame, text: str, test: Callable[[pa.RecordBatch, int], np.
 
 # ---------------------------------------------------------------- hashes
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Two primes under 2^31 and a base for each: unlike sums modulo 2^64, these don't collide on words of a regular build.
+_PRIMES, _BASES = (2147483647, 2147483629), (1389796043, 1722830137)
+#: Bytes whose terms, unreduced, can be added up in 64 bits.
+_UNREDUCED = 1 << 24
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    held = _held().setdefault("powers", [np.ones(1, np.uint64), np.ones(1, np.uint64)])
-    if len(held[0]) < n:
-        size = 1 << int(n - 1).bit_length()
-        for k, base in enumerate((_BASE, _BACK)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            held[k] = np.multiply.accumulate(steps)
-    return held[0], held[1]
+def _powers(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a base and of its inverse, modulo its prime."""
+    held = _held().setdefault("powers", {})
+    if k not in held or len(held[k][0]) < n:
+        prime, size, made = np.uint64(_PRIMES[k]), 1 << max(10, int(n - 1).bit_length()), []
+        for base in (_BASES[k], pow(_BASES[k], -1, _PRIMES[k])):
+            powers, have = np.ones(size, np.uint32), 1
+            while have < size:
+                powers[have : 2 * have] = powers[:have].astype(np.uint64) * np.uint64(pow(base, have, _PRIMES[k])) % prime
+                have *= 2
+            made.append(powers)
+        held[k] = tuple(made)
+    return held[k]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -227,11 +247,40 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, by differences of prefix sums; equal spans hash alike anywhere."""
-    forth, back = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * forth[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each byte span, by differences of prefix sums; equal spans hash alike anywhere.
+
+    Two given spans of n bytes collide with a chance of about (n / 2^31)^2,
+    whatever their structure; where a result must not rest on that, compare the
+    bytes too (`same_spans`).
+    """
+    sums, values = np.zeros(len(data) + 1, np.uint64), data.astype(np.uint64) + np.uint64(1)
+    out = np.zeros(len(starts), np.uint64)
+    for k, p in enumerate(_PRIMES):
+        forth, back = _powers(k, len(data) + 1)
+        terms, prime = values * forth[: len(data)], np.uint64(p)
+        if len(data) > _UNREDUCED:
+            terms %= prime
+        np.cumsum(terms, out=sums[1:])
+        out = out << np.uint64(32) | (sums[ends] - sums[starts]) % prime * back[starts] % prime
+    return mix(mix(out) + (ends - starts).astype(np.uint64))
+
+
+def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, begins: np.ndarray) -> bool:
+    """Whether each span equals the span of its size that begins there in the other buffer."""
+    sizes = ends - starts
+    cut = 0
+    total = np.concatenate(([0], np.cumsum(sizes)))
+    while cut < len(starts):
+        stop = max(int(np.searchsorted(total, total[cut] + (1 << 21), side="right")) - 1, cut + 1)
+        if stop == cut + 1:
+            alike = np.array_equal(data[starts[cut] : ends[cut]], other[begins[cut] : begins[cut] + sizes[cut]])
+        else:
+            at = np.arange(total[cut], total[stop])
+            alike = (data[np.repeat(starts[cut:stop] - total[cut:stop], sizes[cut:stop]) + at] == other[np.repeat(begins[cut:stop] - total[cut:stop], sizes[cut:stop]) + at]).all()
+        if not alike:
+            return False
+        cut = stop
+    return True
 
 
 _SPACE = np.zeros(256, bool)

@@ -24,7 +24,7 @@ from palimpsest.llm.batches import annotate, crc_mod, filtered, named, once, tab
 SAMPLE_TEXTS, SAMPLE_WINDOW, DICTIONARY_BYTES = 96, 512, 65_536
 #: Parts of a language's texts that are ranked apart first.
 PARTS = 32
-#: All dictionaries together go to every executor; more than this is refused.
+#: All dictionaries together go to every executor; with very many languages each gets less.
 ALL_DICTIONARIES_BYTES = 64 << 20
 #: Bytes of text compressed at a time, so that the dictionary counts throughout a long text.
 WINDOW = 2_048
@@ -54,10 +54,8 @@ def fit(docs: DataFrame, train: Column, *, text: str = "text", lang: str = "lang
     """
     rows = docs.where(train).select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"))
     rows = rows.where("lang is not null and text <> ''").withColumn("h", F.xxhash64("text"))
-    most = ALL_DICTIONARIES_BYTES // DICTIONARY_BYTES
-    names = [r.lang for r in rows.select("lang").distinct().limit(most + 1).collect()]
-    if len(names) > most:
-        raise ValueError(f"more than {most} languages need more than {ALL_DICTIONARIES_BYTES} bytes of dictionaries")
+    languages = rows.select("lang").distinct().count()
+    each = max(1, min(DICTIONARY_BYTES, ALL_DICTIONARIES_BYTES // max(1, languages)) // SAMPLE_WINDOW)
     least = rows.select("lang", "h").distinct()
     # The least of each part of a language, then the least of these: no task sees all texts of a language.
     for part in (F.pmod("h", F.lit(PARTS)), F.lit(0)):
@@ -69,7 +67,7 @@ def fit(docs: DataFrame, train: Column, *, text: str = "text", lang: str = "lang
     windows = texts.select("lang", "h", F.posexplode(cut).alias("k", "window")).withColumn("order", F.xxhash64("h", "k"))
     windows = windows.withColumn("turn", F.row_number().over(Window.partitionBy("lang", "h").orderBy("order", "k")))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("turn", "order", "h", "k"))
-    windows = windows.withColumn("place", place).where(F.col("place") <= DICTIONARY_BYTES // SAMPLE_WINDOW)
+    windows = windows.withColumn("place", place).where(F.col("place") <= each)
     samples: dict[str, list[bytes]] = {}
     for r in windows.select("lang", "place", "window").orderBy("lang", "place").collect():
         samples.setdefault(r.lang, []).append(r.window.lower().encode())

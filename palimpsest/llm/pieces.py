@@ -268,6 +268,17 @@ class Encoder:
             live, k = live[~drop], k + 1
         return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
+    def exact(self, text: bytes) -> np.ndarray:
+        """Ids of one text, each part segmented for itself, without what is remembered by hash."""
+        own = np.frombuffer(b" " + text, np.uint8)
+        space = own == 0x20
+        starts = np.flatnonzero(np.concatenate(([True], space[1:] & ~space[:-1])))
+        ends = np.append(starts[1:], len(own))
+        whole = span_hashes(own, np.zeros(1, np.int64), np.array([len(own)]))
+        draws = mix(span_hashes(own, starts, ends) + mix(whole + np.arange(len(starts)).astype(np.uint64)))
+        raw = own.tobytes()
+        return self.segment([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], draws)[0]
+
     def encode(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the bounds of each text's."""
         texts = len(offsets) - 1
@@ -331,6 +342,17 @@ def decoded(ids: np.ndarray, bounds: np.ndarray, vocab: Vocabulary) -> tuple[np.
     return np.delete(out, drop), cut - np.cumsum(gone)[cut]
 
 
+def lossless(ids: np.ndarray, bounds: np.ndarray, offsets: np.ndarray, data: np.ndarray, vocab: Vocabulary) -> np.ndarray:
+    """Whether each text's ids decode to its bytes."""
+    back, cut = decoded(ids, bounds, vocab)
+    equal = np.diff(cut) == np.diff(offsets)
+    if equal.all() and len(back) == len(data):
+        wrong = np.flatnonzero(back != data)
+        equal[np.searchsorted(offsets, wrong, side="right") - 1] = False
+        return equal
+    return np.array([back[a:b].tobytes() == data[c:d].tobytes() for a, b, c, d in zip(cut, cut[1:], offsets, offsets[1:])], bool)
+
+
 def _sent(spark: SparkSession, vocabulary: str, kind: str):
     """A vocabulary sent to the executors, and the name of what is made from it."""
     with open(vocabulary, "rb") as f:
@@ -354,13 +376,15 @@ def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", seed: int =
         encoder = once(key, lambda: Encoder(read_vocabulary(sent.value), seed, dropout))
         offsets, data = utf8(piece.column(at))
         ids, bounds = encoder.encode(offsets, data)
-        back, cut = decoded(ids, bounds, encoder.vocab)
-        equal = np.diff(cut) == np.diff(offsets)
-        if equal.all() and len(back) == len(data):
-            wrong = np.flatnonzero(back != data)
-            equal[np.searchsorted(offsets, wrong, side="right") - 1] = False
-        else:
-            equal = np.array([back[a:b].tobytes() == data[c:d].tobytes() for a, b, c, d in zip(cut, cut[1:], offsets, offsets[1:])])
+        equal = lossless(ids, bounds, offsets, data, encoder.vocab)
+        if not equal.all():
+            # Two parts of one hash: they are remembered as one, so what decodes to another text is encoded anew.
+            encoder.forget()
+            lists = np.split(ids, bounds[1:-1])
+            for i in np.flatnonzero(~equal).tolist():
+                lists[i] = encoder.exact(data[offsets[i] : offsets[i + 1]].tobytes())
+            ids, bounds = np.concatenate(lists).astype(np.int32), np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+            equal = lossless(ids, bounds, offsets, data, encoder.vocab)
         return [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())), pa.array(np.diff(bounds), pa.int64()), pa.array(equal, pa.bool_())]
 
     return annotate(docs, text, [("ids", T.ArrayType(T.IntegerType())), ("n_pieces", T.LongType()), ("lossless", T.BooleanType())], compute, keep, STEP_BYTES, key)

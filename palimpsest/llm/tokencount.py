@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from palimpsest.llm.batches import annotate, named, once, span_hashes, table, utf8
+from palimpsest.llm.batches import annotate, named, once, same_spans, span_hashes, table, utf8
 
 #: Characters of a chunk, and of its end whose map is tried first.
 CHUNK, TAIL = 256, 32
@@ -158,7 +158,7 @@ class TokenTransducer:
         self.order = order
         self.made = [p is None or self.follows(*p, k) for k, p in enumerate(self.parts)]
         self.allowed: dict[int, bool] = {}
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
 
     def follows(self, a: int, b: int, below: int = 1 << 60) -> bool:
         """The transition a to b: no merge made before `below` joins the two or parts of them across their border.
@@ -226,14 +226,14 @@ class TokenTransducer:
             token, stop = more, stop + 1
         return token
 
-    def counts(self, keys: np.ndarray, spans: list[bytes]) -> np.ndarray:
+    def counts(self, spans: list[bytes]) -> np.ndarray:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        found = list(map(known.get, keys.tolist()))
+        found = list(map(known.get, spans))
         for i, c in enumerate(found):
             if c is None:
-                found[i] = known[int(keys[i])] = self.count(spans[i])
+                found[i] = known[spans[i]] = self.count(spans[i])
         return np.array(found, np.int64)
 
 
@@ -282,9 +282,11 @@ def token_counts(texts: list[str], tools: tuple) -> np.ndarray:
     starts, stops, first = starts[real], stops[real], at[:-1][real]
     if not len(starts):
         return extra
-    keys, index, inverse = np.unique(span_hashes(data, starts, stops), return_index=True, return_inverse=True)
+    _, index, inverse = np.unique(span_hashes(data, starts, stops), return_index=True, return_inverse=True)
+    if not (np.array_equal(stops - starts, (stops - starts)[index][inverse]) and same_spans(data, starts, stops, data, starts[index][inverse])):
+        index = inverse = np.arange(len(starts))  # unlike pre-tokens of one hash: each is counted for itself
     raw = data.tobytes()
-    counts = transducer.counts(keys, [raw[a:b] for a, b in zip(starts[index].tolist(), stops[index].tolist(), strict=True)])
+    counts = transducer.counts([raw[a:b] for a, b in zip(starts[index].tolist(), stops[index].tolist(), strict=True)])
     part = np.searchsorted(ends, first)
     return extra + np.bincount(np.array(owner)[part], weights=counts[inverse], minlength=len(texts)).astype(np.int64)
 
@@ -311,6 +313,7 @@ def count(docs: DataFrame, vocabulary: str, *, text: str = "text", limit: int =
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_tokens and over_limit of every document."""
     if vocabulary is None:
         import public_tokenizers
 

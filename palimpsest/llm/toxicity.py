@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.batches import annotate, crc_mod, labelled_sample, labelled_texts, table
+from palimpsest.llm.batches import annotate, crc_mod, durable, labelled_sample, labelled_texts, table
 
 #: Sampled rows of each label.
 SAMPLE_PER_LABEL = 3_000
@@ -35,7 +35,10 @@ LOOKALIKES = str.maketrans("013457@$!", "oieastasi")
 
 _WORD = re.compile(r"[^\W\d_]+")
 _MASK = re.compile(r"[^\W\d_][0-9@$!*]+[^\W\d_]")
-_MASKED = re.compile(r"(?<![^\W_])[^\W\d_][^\W_@$!*]*[0-9@$!*]+[^\W\d_][\w@$!*]*")
+#: Where a letter follows a digit or sign, and the rest of a masked word; fixed signs that stand for letters.
+_TURN, _REST, _SIGNS = re.compile(r"[0-9@$!*][^\W\d_]"), re.compile(r"[\w@$!*]*"), "0123456789@$!*"
+#: Letters and digits of any script, as a text's end read backwards begins with them.
+_ALNUM, _LETTER = re.compile(r"[^\W_]*"), re.compile(r"[^\W\d_]")
 _SPACED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?![^\W\d_])")
 _STRETCHED = re.compile(r"([^\W\d_])\1{3,}")
 FEATURES = ("insults", "stems", "either", "any", "near_you", "you", "capitals", "shouted", "exclaims", "signs", "obfuscated", "masked", "spaced", "stretched", "length")
@@ -79,6 +82,30 @@ class Lexicon:
         return word in self.insults or word.rstrip("s") in self.insults
 
 
+def masked_words(text: str) -> list[str]:
+    """Words, from their first letter on, in which digits or signs are followed by a letter, in time linear in the text.
+
+    Such a word begins with a letter that follows no letter or digit; then come
+    letters and digits, then digits and signs, then a letter, then whatever of
+    all these and underscores is left of the run.
+    """
+    found, done = [], 0
+    turn = _TURN.search(text)
+    while turn:
+        at = turn.start()
+        before = text[done : at + 1].rstrip(_SIGNS)
+        own = _ALNUM.match(before[::-1]).end()
+        start = done + len(before) - own
+        follows = start == done > 0 and text[done - 1].isalnum()
+        if own and _LETTER.match(text, start) and not follows:
+            done = _REST.match(text, at + 1).end()
+            found.append(text[start:done])
+        else:
+            done = at + 1
+        turn = _TURN.search(text, max(done, at + 1))
+    return found
+
+
 def features(text: str, lexicon: Lexicon) -> list[float]:
     """Dense features of a whole text; all 0 where it is empty."""
     if not text:
@@ -91,7 +118,7 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     own = [k for k, w in likely if lexicon.learned(w)]
     hits = sorted({*known, *own})
     near = sum(not second.isdisjoint(low[max(0, k - NEAR) : k + NEAR + 1]) for k in hits)
-    masked = [w for w in _MASKED.findall(text)] if _MASK.search(text) else []
+    masked = masked_words(text) if _MASK.search(text) else []
     spaced = _SPACED.findall(text)
     hidden = sum(lexicon.insult(w.lower().translate(LOOKALIKES)) for w in masked) + sum(lexicon.insult("".join(_WORD.findall(w)).lower()) for w in spaced)
     stretched = len(_STRETCHED.findall(text))
@@ -212,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: F.Column, *, doc_id: str = "d
     grow the trees, the rest calibrate.  No labelled rows: every score is 0.
     """
     chosen = labelled_sample(labels, doc_id, label, train, per_label)
-    rows = labelled_texts(docs, chosen, doc_id, text)
+    rows = durable(labelled_texts(docs, chosen, doc_id, text))  # read by the lexicon, by its counts and by the features
     model = ToxicityModel(learn_lexicon(rows))
     found = sorted(dense(rows, model.stems, "text", ["h", "y", "weight"]).collect(), key=lambda r: (r.h, r.y))
     if not found:
