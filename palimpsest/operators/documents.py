@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -168,71 +167,6 @@ def apply_page_revisions(pages: DataFrame, revisions: DataFrame) -> DataFrame:
     return out.select("document", "page", F.when(over, F.col("base")).otherwise(F.col("text")).alias("text"), F.when(over, 0).otherwise(F.col("edits")).alias("edits"), F.coalesce("whole", "error").alias("error"))
 
 
-_BREAK = re.compile(r"^\s*$")
-
-
-def reflow(lines: list[str], levels: dict[int, int], margins: set[str]) -> str:
-    """Markdown of one page's lines: headings by line number, paragraphs joined, margins and page numbers dropped."""
-    out: list[str] = []
-    paragraph = ""
-
-    def close() -> None:
-        nonlocal paragraph
-        if paragraph:
-            out.append(paragraph)
-        paragraph = ""
-
-    for n, raw in enumerate(lines):
-        line = " ".join(raw.split())
-        key = re.sub(r"[^\w]+", "", line.casefold())
-        if not line or key in margins or re.match(_PAGE_NUMBER, line, re.I):
-            if not line:
-                close()
-            continue
-        if n in levels:
-            close()
-            out.append("#" * levels[n] + " " + line)
-        elif re.match(r"^(?:[-*•]|\d{1,3}[.)])\s+", line):
-            close()
-            out.append(re.sub(r"^[*•]\s+", "- ", line))
-        else:
-            line = "\\" + line if line.startswith("#") else line
-            hyphen = paragraph.endswith("-") and line[:1].islower()
-            paragraph = paragraph[:-1] + line if hyphen else f"{paragraph} {line}" if paragraph else line
-            if re.search(r"[.!?:;]['\")\]]?$", line) and len(line) < 40:
-                close()
-    close()
-    return "\n\n".join(out)
-
-
-def structured_markdown(pages: DataFrame, headings: DataFrame, margins: DataFrame) -> DataFrame:
-    """document, page and markdown of every page, with its marker first.
-
-    `headings` has (document, page, title, level): each is matched to the first
-    line of its page with the same normalised text; `margins` has (document,
-    line), as `repeated_margin_lines` gives them.  Pages are independent, so
-    they are reflowed where they are.
-    """
-    hints = headings.groupBy("document", "page").agg(F.collect_list(F.struct(normalized_line(F.col("title")).alias("key"), F.col("level").cast("int").alias("level"))).alias("hints"))
-    edges = margins.groupBy("document").agg(F.collect_set("line").alias("margins"))
-    own = pages.select("document", "page", "text").join(hints, ["document", "page"], "left").join(edges, "document", "left")
-
-    def run(batches):
-        for frame in batches:
-            rows = []
-            for r in frame.itertuples():
-                lines, levels = (r.text or "").split("\n"), {}
-                for h in [] if r.hints is None else r.hints:
-                    n = next((i for i, line in enumerate(lines) if i not in levels and re.sub(r"[^\w]+", "", line.casefold()) == h["key"]), None)
-                    if n is not None:
-                        levels[n] = min(6, max(1, h["level"]))
-                body = reflow(lines, levels, set() if r.margins is None else set(r.margins))
-                rows.append((r.document, r.page, f"<!-- page: {r.page} -->\n\n{body}".rstrip()))
-            yield pd.DataFrame(rows, columns=["document", "page", "markdown"])
-
-    return own.mapInPandas(run, "document string, page long, markdown string")
-
-
 def quality_gate(quality: DataFrame) -> DataFrame:
     """Documents that fail closed: 80 % of the pages or more are suspect."""
     return quality.where(F.size("suspect_pages") >= 0.8 * F.col("pages"))

@@ -128,8 +128,13 @@ def cascade(layouts: DataFrame) -> DataFrame:
     return confident(layouts).withColumn("__n", n).where("__n = 1").drop("__n")
 
 
-#: How a line that begins a chapter looks, the least characters of a usable page, the most of one that is recognised for its outline alone, and words of a recovered heading.
-CHAPTER_LINE = r"(?i)^(?:(?:第[一二三四五六七八九十百0-9]+章|附录\s*[A-ZＡ-Ｚ])[\s：:]|(?:ch(?:apter)?\s*\.?|app(?:endix)?\s*\.?|part|episodes?)\s+[0-9A-Z]+(?:\s+and\s+[0-9A-Z]+)?[\s：:-])"
+#: Fixed value: how a line that begins a chapter looks.
+CHAPTER_LINE = (
+    r"(?i)^(?:(?:第[一二三四五六七八九十百0-9]+章|附录\s*[A-ZＡ-Ｚ])(?:\s|：|:)|"
+    r"(?:Ch(?:apter)?\s*\.?|App(?:endix)?\s*\.?|Part|Episodes?)\s+"
+    r"(?:[0-9A-Z]+(?:\s+and\s+[0-9A-Z]+)?)(?:\s|：|:|-))"
+)
+#: The least characters of a usable page, the most of one that is recognised for its outline alone, and words of a recovered heading.
 LEAST_CHARS, MOST_OUTLINE_CHARS, MOST_HEADING_WORDS = 24, 800, 12
 
 
@@ -184,11 +189,31 @@ def without_leader(heading: Column) -> Column:
     return F.trim(F.regexp_replace(heading, r"\s*(?:[-_=~]\s*){3,}$", ""))
 
 
-def is_contents_page(text: Column) -> Column:
-    """A page of contents: named so in its first five lines, with chapters or dotted leaders, and short lines."""
+#: Fixed values of pages of contents: lines of the head that names them and what it says, least lines, most characters of a
+#: short line, and what counts as an entry: a chapter, or dots that lead to a page number.
+CONTENTS_HEAD, CONTENTS_LINES, CONTENTS_CHARS, LEADER = 5, 8, 80, r"\.{3,}\s*\d+\s*$"
+CONTENTS_NAME, CONTENTS_KEY = r"目录|\bcontents\b", "tableofcontents"
+#: Enough chapters, enough leaders, and the share of short lines that chapters alone need.
+CHAPTERS, LEADS, SHORT_SHARE = 2, 5, 0.75
+
+
+def contents_entries(text: Column) -> Column:
+    """struct(lines, short, chapters, leads): what the lines of a page are, counted in one fold; blank lines don't count."""
     lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\r\n]"), lambda x: F.trim(x)), lambda x: x != "")
-    head = F.lower(F.array_join(F.slice(lines, 1, 5), " "))
-    count = lambda p: F.size(F.filter(lines, p))
-    chapters, leaders, short = count(lambda x: x.rlike(CHAPTER_LINE)), count(lambda x: x.rlike(r"\.{3,}\s*\d+\s*$")), count(lambda x: F.length(x) <= 80)
-    named = F.contains(head, F.lit("目录")) | head.rlike(r"\bcontents\b") | F.contains(normalized_line(head), F.lit("tableofcontents"))
-    return named & ((chapters >= 2) | (leaders >= 5)) & (F.size(lines) >= 8) & ((leaders >= 5) | (short >= 0.75 * F.size(lines)))
+    zero = F.struct(*[F.lit(0).alias(c) for c in ("lines", "short", "chapters", "leads")])
+
+    def seen(acc: Column, x: Column) -> Column:
+        more = {"lines": F.lit(1), "short": (F.length(x) <= CONTENTS_CHARS).cast("int"), "chapters": x.rlike(CHAPTER_LINE).cast("int"), "leads": x.rlike(LEADER).cast("int")}
+        return F.struct(*[(acc[c] + n).alias(c) for c, n in more.items()])
+
+    return F.aggregate(lines, zero, seen)
+
+
+def is_contents_page(text: Column) -> Column:
+    """A page of contents: its head says so, and its entries carry it, by many leaders or by chapters among mostly short lines."""
+    filled = F.filter(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\r\n]"), lambda x: F.trim(x) != "")
+    head = F.lower(F.array_join(F.slice(filled, 1, CONTENTS_HEAD), " "))
+    n = contents_entries(text)
+    by_leaders = n["leads"] >= LEADS
+    by_chapters = (n["chapters"] >= CHAPTERS) & (n["short"] >= SHORT_SHARE * n["lines"])
+    return (n["lines"] >= CONTENTS_LINES) & (by_leaders | by_chapters) & (head.rlike(CONTENTS_NAME) | F.contains(normalized_line(head), F.lit(CONTENTS_KEY)))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import hashing, text
 from palimpsest.functions.scoring import FIELD_WEIGHTS, cosine_similarity
-from palimpsest.operators import access, cast, catalog, chunking, contracts, documents, facts, ledger, records, retrieval, rulepacks
+from palimpsest.operators import access, cast, catalog, chunking, contracts, documents, facts, headings, ledger, records, reflow, retrieval, rulepacks
 from palimpsest.plans import cards, ingestion, packages
 from palimpsest.sources import vectors
 
@@ -1159,3 +1159,66 @@ def import_documents(spark, d):
 def package_digests(spark, d):
     """The properties of purchases as bodies of packages."""
     return cards.package_checksums(read(spark, d, "events").where("event_type = 'purchase'"), "props").select("event_id", "checksum")
+
+
+# ------------------------------------------------------------------ structure over page borders
+
+
+@query(r"""
+WITH raw AS (
+  SELECT coalesce(source, '') AS document, doc_id AS page, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS (
+  SELECT document, page, generate_subscripts(parts, 1) AS n, unnest(parts) AS raw FROM raw),
+kinds AS (
+  SELECT document, page, n, line,
+         CASE WHEN line = '' THEN 'gap' WHEN regexp_matches(line, '^[A-Z][a-z]+$') THEN 'heading' WHEN regexp_matches(line, '^(?:[-*]|[0-9]+[.)]) ') THEN 'item' ELSE 'body' END AS kind,
+         regexp_matches(line, '[。！？!?；;：:…][”’』」）》】]*$') AS ends
+  FROM (SELECT document, page, n, trim(raw) AS line FROM lines)),
+on_page AS (SELECT *, lag(kind) OVER (PARTITION BY document, page ORDER BY n) AS kind_before FROM kinds),
+solid AS (
+  SELECT *, lag(kind) OVER w AS last_kind, lag(ends) OVER w AS last_ends, lag(page) OVER w AS last_page
+  FROM on_page WHERE kind <> 'gap' WINDOW w AS (PARTITION BY document ORDER BY page, n)),
+begun AS (
+  SELECT *, (kind <> 'body' OR last_kind IS NULL OR last_kind <> 'body' OR last_ends OR (last_page = page AND kind_before = 'gap')) AS begins,
+         last_value(CASE WHEN kind = 'heading' THEN line END IGNORE NULLS) OVER (PARTITION BY document ORDER BY page, n) AS chapter
+  FROM solid),
+numbered AS (
+  SELECT *, sum(begins::INT) OVER (PARTITION BY document ORDER BY page, n) AS block_id,
+         sum(begins::INT) OVER (PARTITION BY document, page ORDER BY n) AS nth FROM begun),
+paired AS (SELECT *, lead(line) OVER (PARTITION BY document, block_id ORDER BY page, n) AS following FROM numbered)
+SELECT document, min(page) AS page, arg_min(nth, (page, n))::BIGINT AS block, arg_min(kind, (page, n)) AS kind, arg_min(chapter, (page, n)) AS chapter,
+       count(*)::INT AS lines, count(DISTINCT page)::BIGINT AS pages,
+       md5(string_agg(CASE WHEN following IS NULL THEN line WHEN line LIKE '%-' AND regexp_matches(following, '^[A-Za-z]') THEN line[:-2] WHEN line LIKE '%-' THEN line ELSE line || ' ' END, '' ORDER BY page, n)) AS address
+FROM paired GROUP BY document, block_id
+""")
+def reflowed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of whole documents whose pages are the rows of one source; paragraphs go on over page borders.
+
+    Lines of one capitalised word stand for chapters, as the texts have no marked ones.
+    """
+    pages = read(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("document"), F.col("doc_id").alias("page"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n", "raw"))
+    line = F.trim("raw")
+    heading = line.rlike("^[A-Z][a-z]+$")
+    kind = F.when(line == "", "gap").when(heading, "heading").when(line.rlike("^(?:[-*]|[0-9]+[.)]) "), "item").otherwise("body")
+    lines = pages.select("document", "page", "n", kind.alias("kind"), F.when(heading, reflow.CHAPTER).alias("level"), line.alias("text"), F.lit("").alias("body"))
+    return reflow.blocks(lines).select("document", "page", "block", "kind", "chapter", "lines", "pages", F.md5("text").alias("address"))
+
+
+_KEYED = """SELECT doc_id, doc_id % 4 AS form, chr((65 + doc_id % 26)::INT) AS letter, (10 + doc_id % 90)::VARCHAR AS number,
+  trim(regexp_replace(coalesce(text, '') || ' end', '[^A-Za-z]+', ' ', 'g')) AS words FROM documents"""
+
+
+@query(f"""
+WITH d AS ({_KEYED})
+SELECT doc_id, form < 2 AS is_heading,
+       CASE form WHEN 0 THEN letter || number || '. Gate Of Sorrow' WHEN 1 THEN 'DAY' || number
+                 WHEN 2 THEN 'MAP' || number || CASE WHEN len(string_split(words, ' ')) + 1 > 6 THEN '' ELSE '. Old ' || words END ELSE md5(words) END AS heading,
+       md5(CASE form WHEN 0 THEN words WHEN 1 THEN 'at ' || words WHEN 2 THEN CASE WHEN len(string_split(words, ' ')) + 1 > 6 THEN 'Old ' || words ELSE '' END ELSE '' END) AS body
+FROM d
+""")
+def keyed_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marked-up lines with known parses: keyed rooms and days with damaged numbers before the words of each document, maps, and plain prose."""
+    d = read(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 4).alias("form"), F.char(65 + F.col("doc_id") % 26).alias("letter"), F.translate((10 + F.col("doc_id") % 90).cast("string"), "01", "Ol").alias("number"), F.trim(F.regexp_replace(F.concat(F.coalesce("text", F.lit("")), F.lit(" end")), "[^A-Za-z]+", " ")).alias("words"))
+    line = F.when(F.col("form") == 0, F.concat("letter", "number", F.lit(". Gate Of Sorrow. "), "words")).when(F.col("form") == 1, F.concat(F.lit("Day"), "number", F.lit(". at "), "words")).when(F.col("form") == 2, F.concat(F.lit("Map "), "number", F.lit(". Old "), "words")).otherwise(F.col("words"))
+    own = d.select("doc_id", "form", headings.keyed_heading(line).alias("is_heading"), headings.split_heading(line).alias("s"))
+    return own.select("doc_id", "is_heading", F.when(F.col("form") == 3, F.md5("s.heading")).otherwise(F.col("s.heading")).alias("heading"), F.md5("s.body").alias("body"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import hashing
-from palimpsest.operators import access, contracts, documents, ledger
+from palimpsest.operators import access, contracts, documents, ledger, reflow
 from palimpsest.sources import archives, files, vectors
 from palimpsest.sources.commits import CommitLog, StaleVersion
 
@@ -150,7 +150,7 @@ def test_pages(spark):
     got = {r.page: (r.edits, r.error) for r in documents.apply_page_revisions(pages, edits).collect()}
     assert got[1] == (1, None) and got[2][1] == "base text differs" and got[3][1] == "old text isn't there exactly once" and got[4] == (0, None)
     heads = spark.createDataFrame([("d", 1, "Body 1 Text", 2)], "document string, page long, title string, level int")
-    out = documents.structured_markdown(pages, heads, documents.repeated_margin_lines(pages, "document", "page", "text")).where("page = 1").first().markdown
+    out = reflow.structured_markdown(pages, heads, documents.repeated_margin_lines(pages, "document", "page", "text")).where("page = 1").first().markdown
     assert out == "<!-- page: 1 -->\n\n## body 1 text"
 
 
