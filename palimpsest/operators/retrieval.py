@@ -84,22 +84,31 @@ def postings(docs: DataFrame, doc_id: str, columns: dict[str, float]) -> DataFra
 def bm25(docs: DataFrame, queries: DataFrame, *, doc_id: str, columns: dict[str, float], query_id: str = "query_id", query: str = "query") -> DataFrame:
     """query_id, doc_id and score of every row that holds a query term in any column.
 
-    Only the terms asked for are counted: a row's tokens are filtered by the
-    query terms (few, sent to all) before the postings are grouped.
+    Rows are read once: within each row its tokens are counted and those asked
+    for (few, sent to all as one array) are taken out; only these are exploded,
+    with the row's length, and one row a table part for the statistics.
     """
     wanted = queries.select(F.col(query_id).alias("query_id"), F.explode(F.flatten(F.transform(fts_terms(F.col(query)), index_tokens))).alias("term")).distinct()
-    every = F.concat(*[_weighted(F.col(c), w) for c, w in columns.items()])
-    own = docs.select(F.col(doc_id).alias("doc_id"), every.alias("tokens")).withColumn("dl", F.size("tokens"))
-    # Lengths alone are counted without taking the tokens out.
+    asked = wanted.agg(F.collect_set("term").alias("asked")).scalar()
     tokens = sum((F.regexp_count(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(INDEX_TOKEN)) for c in columns), F.lit(0))
-    sizes = docs.agg(F.count("*").alias("n"), F.avg(tokens).alias("avgdl"))
-    hits = own.select("doc_id", "dl", F.explode("tokens").alias("t")).select("doc_id", "dl", "t.term", "t.w").join(wanted.select("term").distinct(), "term", "left_semi")
-    hits = hits.groupBy("term", "doc_id", "dl").agg(F.sum("w").alias("tf"))
+    own = docs.select(F.col(doc_id).alias("doc_id"), tokens.alias("dl"), *[F.col(c).alias(f"__{k}") for k, c in enumerate(columns)], asked.alias("asked"))
+    # Terms that the row has, by hashing; then its tokens are compared with these alone.
+    own = own.withColumn("there", F.array_intersect(F.flatten(F.array(*[index_tokens(F.col(f"__{k}")) for k in range(len(columns))])), F.col("asked")))
+    hits = F.concat(*[F.filter(_weighted(F.col(f"__{k}"), w), lambda t: F.array_contains(F.col("there"), t["term"])) for k, w in enumerate(columns.values())])
+    hits = F.when(F.size("there") > 0, hits)
+    # Every row leaves its length, most leave nothing else; these narrow rows are written once and read for both.
+    found = durable(own.select("doc_id", "dl", hits.alias("hits")))
+    sizes = found.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    hits = found.select("doc_id", "dl", F.explode("hits").alias("t")).groupBy("doc_id", "dl", F.col("t.term").alias("term")).agg(F.sum("t.w").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    n, avgdl = sizes.select("n").scalar(), sizes.select("avgdl").scalar()
+    return bm25_scores(hits, df, wanted, sizes.select("n").scalar(), sizes.select("avgdl").scalar())
+
+
+def bm25_scores(hits: DataFrame, df: DataFrame, wanted: DataFrame, n: Column, avgdl: Column) -> DataFrame:
+    """query_id, doc_id and score from postings (term, doc_id, tf, dl), df (term, df), wanted (query_id, term) and the statistics."""
     idf = F.greatest(F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    return hits.join(df, "term").join(wanted, "term").select("query_id", "doc_id", part.alias("part")).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
+    return hits.join(df, "term").join(wanted.select("query_id", "term"), "term").select("query_id", "doc_id", part.alias("part")).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
 
 
 def exact_matches(docs: DataFrame, queries: DataFrame, titles: list[str], *, doc_id: str, query_id: str = "query_id", query: str = "query") -> DataFrame:

@@ -6,6 +6,7 @@ reads its whole tables; limits are those of top-k reports.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,6 +17,8 @@ from palimpsest.functions.scoring import FIELD_WEIGHTS, cosine_similarity
 from palimpsest.operators import access, cast, catalog, chunking, contracts, documents, facts, headings, ledger, records, reflow, retrieval, rulepacks
 from palimpsest.plans import cards, ingestion, packages
 from palimpsest.sources import vectors
+from palimpsest.sources.index import SearchIndex
+from palimpsest.sources.tables import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1222,3 +1225,20 @@ def keyed_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.when(F.col("form") == 0, F.concat("letter", "number", F.lit(". Gate Of Sorrow. "), "words")).when(F.col("form") == 1, F.concat(F.lit("Day"), "number", F.lit(". at "), "words")).when(F.col("form") == 2, F.concat(F.lit("Map "), "number", F.lit(". Old "), "words")).otherwise(F.col("words"))
     own = d.select("doc_id", "form", headings.keyed_heading(line).alias("is_heading"), headings.split_heading(line).alias("s"))
     return own.select("doc_id", "is_heading", F.when(F.col("form") == 3, F.md5("s.heading")).otherwise(F.col("s.heading")).alias("heading"), F.md5("s.body").alias("body"))
+
+
+# ------------------------------------------------------------------ an index kept up to date
+
+_LATER = _BM25_SQL.replace("FROM documents\n)", "FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 2 THEN lang ELSE source END AS source, CASE WHEN doc_id % 5 = 2 THEN source || ' the ' || coalesce(text, '') ELSE text END AS text FROM documents WHERE doc_id % 7 <> 3) later\n)")
+
+
+@query(_LATER + " SELECT query_id, doc_id, score FROM score")
+def index_search(spark, d):
+    """BM25 over an index of all documents after a fifth of them was replaced, a seventh deleted, and some of it merged."""
+    docs = read(spark, d, "documents").select("doc_id", "source", "text", "lang")
+    index = SearchIndex(spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}", _BM25)
+    index.apply(0, docs)
+    index.apply(1, docs.where("doc_id % 5 = 2").select("doc_id", F.col("lang").alias("source"), F.concat("source", F.lit(" the "), F.coalesce("text", F.lit(""))).alias("text")))
+    index.merge(2)
+    index.apply(3, deletes=docs.where("doc_id % 7 = 3"))
+    return index.bm25(_asked(spark)).select("query_id", "doc_id", F.round("score", 6).alias("score"))

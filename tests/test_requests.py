@@ -97,7 +97,7 @@ def log(spark, tmp_path):
 
 
 def continuity(spark, events, new, known):
-    return {"events": spark.createDataFrame(events, "event_id string, campaign_id string, branch_id string, content string"), "new_facts": spark.createDataFrame(new, NEW), "knowledge": spark.createDataFrame(known, "ordinal int, campaign_id string, branch_id string, actor_id string, knowledge_key string, proposition string, event_id string")}
+    return {"events": spark.createDataFrame([(*e, n) for n, e in enumerate(events)], "event_id string, campaign_id string, branch_id string, content string, ordinal int"), "new_facts": spark.createDataFrame(new, NEW), "knowledge": spark.createDataFrame(known, "ordinal int, campaign_id string, branch_id string, actor_id string, knowledge_key string, proposition string, event_id string")}
 
 
 def test_continuity_is_all_or_nothing(spark, log):
