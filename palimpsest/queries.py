@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from palimpsest.functions import hashing, text
 from palimpsest.functions.scoring import FIELD_WEIGHTS, cosine_similarity
 from palimpsest.operators import access, cast, catalog, chunking, contracts, documents, facts, headings, ledger, records, reflow, retrieval, rulepacks
-from palimpsest.plans import cards, ingestion, packages
+from palimpsest.plans import cards, ingestion, packages, timelines, transactions
 from palimpsest.sources import vectors
+from palimpsest.sources.commits import CommitLog
 from palimpsest.sources.index import SearchIndex
 from palimpsest.sources.tables import shared_folder
 
@@ -1242,3 +1243,46 @@ def index_search(spark, d):
     index.merge(2)
     index.apply(3, deletes=docs.where("doc_id % 7 = 3"))
     return index.bm25(_asked(spark)).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+# ------------------------------------------------------------------ snapshots over the log
+
+
+@query("""
+WITH e AS (SELECT count(*) AS a, count(*) FILTER (WHERE event_type <> 'error') AS n FROM events),
+o AS (SELECT count(DISTINCT o_custkey) AS n, count(DISTINCT o_custkey) FILTER (WHERE o_orderstatus = 'O') AS later FROM orders),
+c AS (SELECT count(*) AS n FROM customer)
+SELECT 'events' AS collection, n AS first_rows, a AS second_rows, true AS restored, true AS sound, a - n AS dirty FROM e
+UNION ALL SELECT 'facts', n, n, true, true, 2 * later FROM o
+UNION ALL SELECT 'profile', 1, 1, true, true, 0
+UNION ALL SELECT 'states', n, n, true, true, (SELECT 2 * count(*) FROM customer WHERE c_acctbal < 0) FROM c
+""")
+def snapshot_round_trip(spark, d):
+    """A campaign of all events, a fact for each customer with orders and all customers' states: captured, changed, captured again and put back.
+
+    Errors come after the first snapshot, as do second revisions of the facts of
+    customers with open orders and new states of those in debt; `dirty` counts
+    the rows in which the campaign then differed from its first snapshot.
+    """
+    events = read(spark, d, "events").select(F.col("event_id").cast("string").alias("event_id"), F.lit("c").alias("campaign_id"), F.lit("main").alias("branch_id"), F.col("event_id").alias("sequence"), F.col("props").alias("content"), F.lit(None).cast("string").alias("committed_snapshot_id"), "event_type")
+    orders = read(spark, d, "orders").groupBy(F.col("o_custkey").cast("string").alias("memory_id")).agg(F.max("o_orderkey").cast("string").alias("content"), F.max(F.col("o_orderstatus") == "O").alias("later"))
+    head = lambda df, n: df.select(F.lit("main").alias("branch_id"), "memory_id", F.lit(n).cast("long").alias("revision"))
+    revision = lambda df, n: df.select(F.lit("main").alias("branch_id"), "memory_id", F.lit(n).cast("long").alias("revision"), "content")
+    customers = read(spark, d, "customer")
+    state = lambda df, n, c: df.select(F.col("c_custkey").cast("string").alias("entity_id"), F.lit(n).cast("long").alias("revision"), c.alias("state"))
+    log = CommitLog(spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}")
+    early, late, open_ = events.where("event_type <> 'error'").drop("event_type"), events.where("event_type = 'error'").drop("event_type"), orders.where("later")
+    log.commit({"branches": spark.createDataFrame([("c", "main", "main", None)], transactions.BRANCHES), "profiles": spark.createDataFrame([("c", 1, "{}")], timelines.PROFILES), "events": early, "fact_heads": head(orders, 1), "fact_revisions": revision(orders, 1), "states": state(customers, 1, F.col("c_mktsegment"))}, expected=0)
+    timelines.create_snapshot(log, 1, "c", "main", "s1", "first")
+    log.commit({"events": late, "fact_heads": head(open_, 2), "fact_revisions": revision(open_, 2), "states": state(customers.where("c_acctbal < 0"), 2, F.lit("in debt"))}, expected=2)
+    changed = timelines.dirty(log.view(), "c", "main")
+    timelines.create_snapshot(log, 3, "c", "main", "s2", "second")
+    timelines.restore(log, 4, "c", "main", "s1")
+    view = log.view()
+    stored = view.read("snapshot_digests")
+    one, two = (stored.where(F.col("snapshot_id") == s).select("collection", F.col("rows").alias(r), F.col("digest").alias(s)) for s, r in (("s1", "first_rows"), ("s2", "second_rows")))
+    now = timelines.digests(timelines.live(view, "c", "main")).select("collection", F.col("digest").alias("now"))
+    bad = timelines.verify(log, "s1").unionByName(timelines.verify(log, "s2")).select("collection").distinct().withColumn("bad", F.lit(True))
+    counts = F.create_map(*[F.lit(x) for c in timelines.COLLECTIONS for x in (c, changed.get(f"dirty {c}", 0))])
+    both = one.join(two, "collection").join(now, "collection").join(bad, "collection", "left")
+    return both.select("collection", "first_rows", "second_rows", (F.col("now") == F.col("s1")).alias("restored"), F.col("bad").isNull().alias("sound"), F.element_at(counts, F.col("collection")).cast("long").alias("dirty"))
