@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.text import clean_line, line_joiner, normalized_line
 from palimpsest.operators.headings import CJK_CHAPTER, TERMINAL, capitals_heading, chapter_heading, damaged_heading, keyed_heading, split_heading
 from palimpsest.operators.layout import CHAPTER_LINE, is_contents_page, without_leader
+from palimpsest.operators.outline import repeated_chapters
 
 #: Lines of a page's edges, lines of its top, most characters of a heading, list items and their signs, and page numbers.
 EDGE, TOP, HEADING_CHARS = 3, 5, 200
@@ -26,14 +27,17 @@ CHAPTER, KEYED, CAPITALS = 1, 4, 5
 PAGE = ["document", "page"]
 
 
-def page_lines(pages: DataFrame, headings: DataFrame | None = None, margins: DataFrame | None = None) -> DataFrame:
+def page_lines(pages: DataFrame, headings: DataFrame | None = None, margins: DataFrame | None = None, matched: DataFrame | None = None) -> DataFrame:
     """document, page, n, kind, level, text and body of every line of (document, page, text).
 
     Kinds: gap (blank), skip (margins, page numbers, the Latin half of a chapter
     title given twice), heading, item, body.  `headings` has (document, page,
     title, level) and gives levels to the first line of its page with the same
     letters; `margins` has (document, line) as `repeated_margin_lines` gives
-    them.  `body` is prose that stood on a heading's line.  A page of contents
+    them; `matched` has the headings that `outline.match_outline` found: their
+    levels hold, trusted ones are chapters, chapter lines that only repeat a
+    trusted title are skipped, and synthetic ones come first on their page.
+    `body` is prose that stood on a heading's line.  A page of contents
     has no headings.  A null text has one gap; an empty table gives none.  Of
     several rows of a page the least text counts; rows without a document or
     page are left out.
@@ -60,25 +64,36 @@ def page_lines(pages: DataFrame, headings: DataFrame | None = None, margins: Dat
         nth = F.row_number().over(Window.partitionBy(*PAGE, "key").orderBy("n"))
         own = own.withColumn("nth", F.when(F.col("full") == 1, nth)).join(hints, [*PAGE, "key"], "left")
         hint = F.when(F.col("nth") == 1, F.col("hint"))
-    bare = without_leader(F.col("line"))
+    known, trusted, again = F.col("line"), F.lit(False), F.lit(False)
+    if matched is not None:
+        repeats = repeated_chapters(own.select(*PAGE, "n", "line"), matched).withColumn("again", F.lit(True))
+        there = matched.where("n >= 0").select(*PAGE, "n", F.col("level").alias("outlined"), "trusted", F.col("title").alias("outline_title"))
+        own = own.join(there, [*PAGE, "n"], "left").join(repeats, [*PAGE, "n"], "left")
+        known, trusted, again = F.coalesce("outline_title", "line"), F.coalesce("trusted", F.lit(False)), F.coalesce("again", F.lit(False))
+        hint = F.coalesce("outlined", hint)
+    bare = without_leader(known)
     own = own.withColumns({"bare": bare, "keyed": keyed_heading(bare), "split": split_heading(bare), "damaged": damaged_heading(bare), "opens": chapter_heading(bare)})
     line, keyed, split, damaged = (F.col(c) for c in ("bare", "keyed", "split", "damaged"))
     structural = ~F.col("contents")
-    hint = F.when(structural & ~damaged & (F.length(line) <= HEADING_CHARS), hint)
+    hint = F.when(structural & (~damaged | trusted) & (F.length(line) <= HEADING_CHARS), hint)
     confirmed = hint.isNotNull() | F.col("next").rlike(LATIN_PART) | ((F.col("rank") <= TOP) & (F.col("chapters") == 1))
-    level = F.when(structural, F.when(F.col("opens") & confirmed, CHAPTER).when(keyed, F.coalesce(hint, F.lit(KEYED))).when(hint.isNotNull(), hint).when(~damaged & capitals_heading(line), CAPITALS))
+    level = F.when(structural, F.when((F.col("opens") & confirmed) | (trusted & line.rlike(CHAPTER_LINE)), CHAPTER).when(keyed, F.coalesce(hint, F.lit(KEYED))).when(hint.isNotNull(), hint).when(~damaged & capitals_heading(line), CAPITALS))
     twice = structural & F.col("line").rlike(LATIN_CHAPTER) & F.col("previous").rlike(CJK_CHAPTER)
     own = own.withColumn("level", level)
     kind = (
         F.when(F.col("full") == 0, "gap")
-        .when((F.col("edge") & (repeated | F.col("line").rlike(NUMBER))) | twice, "skip")
+        .when((F.col("edge") & (repeated | F.col("line").rlike(NUMBER))) | twice | again, "skip")
         .when(F.col("level").isNotNull(), "heading")
         .when(F.col("line").rlike(ITEM), "item")
         .otherwise("body")
     )
     text = F.when(F.col("kind") == "heading", F.when(keyed & (F.col("level") != CHAPTER), split["heading"]).otherwise(line)).when(F.col("kind") == "item", F.regexp_replace("line", SIGN, "- ")).otherwise(F.col("line"))
     beside = F.when((F.col("kind") == "heading") & keyed & (F.col("level") != CHAPTER), split["body"]).otherwise("")
-    return own.withColumn("kind", kind).select(*PAGE, "n", "kind", F.when(F.col("kind") == "heading", F.col("level")).alias("level"), text.alias("text"), beside.alias("body"))
+    told = own.withColumn("kind", kind).select(*PAGE, "n", "kind", F.when(F.col("kind") == "heading", F.col("level")).alias("level"), text.alias("text"), beside.alias("body"))
+    if matched is None:
+        return told
+    made = matched.where("n < 0").join(pages.select(*PAGE), PAGE, "left_semi")
+    return told.unionByName(made.select(*PAGE, F.col("n").cast("int").alias("n"), F.lit("heading").alias("kind"), F.lit(CHAPTER).alias("level"), F.col("title").alias("text"), F.lit("").alias("body")))
 
 
 def blocks(lines: DataFrame) -> DataFrame:
@@ -140,9 +155,9 @@ def markdown(found: DataFrame, pages: DataFrame) -> DataFrame:
     return pages.select(*PAGE).distinct().join(told, PAGE, "left").select(*PAGE, F.array_join(F.concat(F.array(mark), body), "\n\n").alias("markdown"))
 
 
-def structured_markdown(pages: DataFrame, headings: DataFrame, margins: DataFrame) -> DataFrame:
+def structured_markdown(pages: DataFrame, headings: DataFrame, margins: DataFrame, matched: DataFrame | None = None) -> DataFrame:
     """document, page and markdown of every page of whole documents, without margins, page numbers and repeated headings."""
-    return markdown(without_echoes(blocks(page_lines(pages, headings, margins))), pages)
+    return markdown(without_echoes(blocks(page_lines(pages, headings, margins, matched))), pages)
 
 
 def without_echoes(found: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import hashing, text
 from palimpsest.functions.scoring import FIELD_WEIGHTS, cosine_similarity
-from palimpsest.operators import access, cast, catalog, chunking, contracts, documents, facts, headings, ledger, records, reflow, retrieval, rulepacks
+from palimpsest.operators import access, cast, catalog, chunking, contracts, documents, facts, headings, ledger, outline, records, reflow, retrieval, rulepacks
 from palimpsest.plans import cards, ingestion, packages, timelines, transactions
 from palimpsest.sources import vectors
 from palimpsest.sources.commits import CommitLog
@@ -1286,3 +1286,26 @@ def snapshot_round_trip(spark, d):
     counts = F.create_map(*[F.lit(x) for c in timelines.COLLECTIONS for x in (c, changed.get(f"dirty {c}", 0))])
     both = one.join(two, "collection").join(now, "collection").join(bad, "collection", "left")
     return both.select("collection", "first_rows", "second_rows", (F.col("now") == F.col("s1")).alias("restored"), F.col("bad").isNull().alias("sound"), F.element_at(counts, F.col("collection")).cast("long").alias("dirty"))
+
+
+# ------------------------------------------------------------------ outlines
+
+
+@query(r"""
+WITH l AS (
+  SELECT source AS document, doc_id AS page, generate_subscripts(parts, 1) - 1 AS n, trim(unnest(parts)) AS line
+  FROM (SELECT source, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)),
+k AS (SELECT *, regexp_replace(replace(lower(line), 'ß', 'ss'), '[^\p{L}\p{M}\p{N}_]+', '', 'g') AS key, count(*) OVER (PARTITION BY document, page) AS lines FROM l),
+e AS (SELECT document, page, 1 + page % 3 AS depth, line AS title, key FROM k WHERE n = page % lines),
+u AS (SELECT e.* FROM e WHERE length(trim(regexp_replace(title, '\s+', ' ', 'g'))) <= 200 AND EXISTS (SELECT 1 FROM k WHERE k.document = e.document AND k.page = e.page AND k.key <> '')),
+m AS (SELECT u.document, u.page, min(k.n) AS line FROM u JOIN k ON k.document = u.document AND k.page = u.page AND k.key = u.key AND k.key <> '' GROUP BY ALL)
+SELECT u.document, u.page, m.line::INT AS line, m.line IS NOT NULL AS matched, CASE WHEN m.line IS NOT NULL THEN least(4, 2 + depth)::INT END AS level FROM u LEFT JOIN m USING (document, page)
+""")
+def outline_matches(spark, d):
+    """An outline whose entries are lines of the documents, one a document, matched to the first line that is like them."""
+    pages = read(spark, d, "documents").select(F.col("source").alias("document"), F.col("doc_id").alias("page"), "text")
+    parts = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    entries = pages.select("document", "page", F.lit(1).alias("ordinal"), F.trim(F.get(parts, (F.col("page") % F.size(parts)).cast("int"))).alias("title"), (1 + F.col("page") % 3).cast("int").alias("depth"))
+    told, found = outline.match_outline(pages, entries)
+    levels = found.select("document", "page", F.col("n").alias("line"), "level")
+    return told.join(levels, ["document", "page", "line"], "left").select("document", "page", "line", "matched", "level")
