@@ -705,12 +705,13 @@ def search_scope(spark, d):
 # Customers stand in for campaigns' members, orders for their grants and revisions, users of events for actors.
 
 
-@query("SELECT * FROM (SELECT event_id, user_id FROM events WHERE event_type = 'click' AND user_id IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3))")
+@query("SELECT event_id, user_id FROM events JOIN customer ON c_custkey = user_id WHERE c_acctbal >= 0 AND event_type <> 'view'")
 def actor_events(spark, d):
-    """Clicks of one nation's customers, who take part in their own events."""
-    e = read(spark, d, "events").where("event_type = 'click'")
-    own = read(spark, d, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("user_id"))
-    part = e.join(own, "user_id").select("event_id", F.lit("me").alias("actor_id"), F.lit("witness").alias("role"))
+    """Events that one actor knows: it takes part for every customer, is no witness of those in debt, and only looks on at views."""
+    e = read(spark, d, "events")
+    own = read(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_acctbal")
+    role = F.when(F.col("event_type") == "view", "onlooker").when(F.col("c_acctbal") >= 0, "witness").otherwise("target")
+    part = e.join(own, "user_id").select("event_id", F.lit("me").alias("actor_id"), role.alias("role"))
     return ledger.for_actor(e, part, "me", ["witness", "actor"]).select("event_id", "user_id")
 
 
@@ -732,10 +733,10 @@ def revision_history(spark, d):
     return ledger.history(e, 10_000).drop("sequence")
 
 
-@query("SELECT 'b:' || event_id AS id, CASE WHEN lag(event_id) OVER (ORDER BY event_id) IS NULL THEN '-' ELSE 'b:' || lag(event_id) OVER (ORDER BY event_id) END AS parent_id, 1000 + row_number() OVER (ORDER BY event_id) AS sequence FROM events WHERE event_type = 'signup'")
+@query("SELECT 'b:' || event_id AS id, CASE WHEN lag(event_id) OVER (ORDER BY event_id) IS NULL THEN '-' ELSE 'b:' || lag(event_id) OVER (ORDER BY event_id) END AS parent_id, 1000 + row_number() OVER (ORDER BY event_id) AS sequence FROM events")
 def revision_copies(spark, d):
-    """Signups, each the child of the one before, copied to a new branch."""
-    e = read(spark, d, "events").where("event_type = 'signup'").select(F.col("event_id").cast("string").alias("id"), F.col("event_id").alias("sequence"))
+    """All events, each the child of the one before, copied to a new branch."""
+    e = read(spark, d, "events").select(F.col("event_id").cast("string").alias("id"), F.col("event_id").alias("sequence"))
     ids = ledger.numbered(e, ["sequence", "id"], "n")
     parents = ids.select(F.col("id").alias("parent_id"), (F.col("n") + 1).alias("n"))
     out = ledger.copy_revisions(ids.join(parents, "n", "left").drop("n"), "b", 1000)
@@ -801,12 +802,12 @@ def component_states(spark, d):
     return contracts.component_status(wanted, there, there.where("false")).select("id", "status")
 
 
-@query("SELECT DISTINCT l_suppkey AS addon_id FROM lineitem WHERE l_orderkey = 1 AND l_suppkey <> 1 UNION SELECT DISTINCT l_suppkey FROM lineitem WHERE l_orderkey = 2")
+@query("SELECT DISTINCT l_suppkey AS addon_id FROM lineitem WHERE l_returnflag IN ('A', 'R')")
 def addon_conflicts(spark, d):
-    """Suppliers as add-ons that conflict with one: it names those of one order, those of another name it."""
+    """Suppliers as add-ons that conflict with one: it names those of all lines returned, those of all lines accepted name it."""
     lines = read(spark, d, "lineitem")
-    there = lines.where("l_orderkey = 1 and l_suppkey <> 1").select(F.lit(-1).cast("long").alias("addon_id"), F.col("l_suppkey").alias("conflicts_with"))
-    back = lines.where("l_orderkey = 2").select(F.col("l_suppkey").alias("addon_id"), F.lit(-1).cast("long").alias("conflicts_with"))
+    there = lines.where("l_returnflag = 'R'").select(F.lit(-1).cast("long").alias("addon_id"), F.col("l_suppkey").alias("conflicts_with"))
+    back = lines.where("l_returnflag = 'A'").select(F.col("l_suppkey").alias("addon_id"), F.lit(-1).cast("long").alias("conflicts_with"))
     active = read(spark, d, "supplier").select(F.col("s_suppkey").alias("addon_id"))
     return contracts.symmetric_conflicts(active, there.unionByName(back), -1)
 
@@ -1159,10 +1160,10 @@ def import_documents(spark, d):
     return cards.with_import_document(read(spark, d, "events").select("event_id", "props"), payload=F.col("props")).select("event_id", "document_checksum", "document_uncompressed_size")
 
 
-@query("SELECT event_id, sha256(replace(props, ' ', '')) AS checksum FROM events WHERE event_type = 'purchase'")
+@query("SELECT event_id, sha256(replace(props, ' ', '')) AS checksum FROM events")
 def package_digests(spark, d):
-    """The properties of purchases as bodies of packages."""
-    return cards.package_checksums(read(spark, d, "events").where("event_type = 'purchase'"), "props").select("event_id", "checksum")
+    """The properties of all events as bodies of packages."""
+    return cards.package_checksums(read(spark, d, "events"), "props").select("event_id", "checksum")
 
 
 # ------------------------------------------------------------------ structure over page borders
