@@ -25,8 +25,10 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _LONG = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
 #: A candidate up to the last '=' that ends a name and has a value after it.
 _NAMED = re.compile(r"(?:.*[^A-Za-z0-9_.-])?[A-Za-z_][A-Za-z0-9_.-]*=+(?=[^=])")
-#: Words and names put together from words: novel to the dictionaries, but no secrets, unless a name is given them.
+#: Words and names put together from words: novel to the dictionaries, but no secrets, unless a name is given them or they
+#: can't be spoken.
 _WORDS = re.compile(r"(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[-._/~+=])++")
+_UNSPOKEN = re.compile(r"[bcdfghjklmnpqrstvwxz]{5}|[BCDFGHJKLMNPQRSTVWXZ]{5}")
 _GIVEN = re.compile(r"""[=:]["'\s]*$""")
 #: Words that make what follows sensitive.
 _SENSITIVE = re.compile(r"(?i:password|passwd|pwd|secret|token|api[_-]?key|private[_-]?key|access[_-]?key|auth|bearer|credential|signature|client[_-]?id)")
@@ -78,7 +80,7 @@ def scan(text: str, compressor: zstandard.ZstdCompressor) -> list[tuple[int, int
             high, low = max(high, base[low][1]), low + 1
         if high > start or not _SENSITIVE.search(text[max(0, m.start() - CONTEXT) : start]):
             continue
-        if _WORDS.fullmatch(own) and not _GIVEN.search(text[max(0, start - 4) : start]):
+        if _WORDS.fullmatch(own) and not _UNSPOKEN.search(own) and not _GIVEN.search(text[max(0, start - 4) : start]):
             continue
         if novelty(own, text[max(0, start - SURROUNDINGS) : start], text[end : end + SURROUNDINGS], compressor) >= NOVELTY:
             found.append((start, end, 3))
