@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import hashing, text
 from palimpsest.functions.scoring import FIELD_WEIGHTS, cosine_similarity
-from palimpsest.operators import access, cast, catalog, chunking, contracts, documents, facts, headings, ledger, outline, records, reflow, retrieval, rulepacks
+from palimpsest.operators import access, cast, catalog, chunking, contracts, documents, facts, headings, ledger, outline, records, reflow, regions, retrieval, rulepacks
 from palimpsest.plans import cards, ingestion, packages, timelines, transactions
 from palimpsest.sources import vectors
 from palimpsest.sources.commits import CommitLog
@@ -1310,3 +1310,21 @@ def outline_matches(spark, d):
     told, found = outline.match_outline(pages, entries)
     levels = found.select("document", "page", F.col("n").alias("line"), "level")
     return told.join(levels, ["document", "page", "line"], "left").select("document", "page", "line", "matched", "level")
+
+
+# ------------------------------------------------------------------ layouts
+
+
+@query("""
+WITH n AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS k FROM lineitem)
+SELECT l_orderkey AS page, string_agg('p' || l_partkey, chr(10) ORDER BY k) AS text FROM n GROUP BY l_orderkey
+""")
+def layout_order(spark, d):
+    """Orders as pages whose lines are blocks: a title, two columns whose right one has a side bar, and so on in bands below; read back in order."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_partkey", (F.row_number().over(order) - 1).alias("k"))
+    k, band = F.col("k") % 4, F.floor(F.col("k") / 4) * 400.0
+    x0, x1 = (F.element_at(F.array(*[F.lit(x) for x in xs]), (k + 1).cast("int")) for xs in ((50.0, 50.0, 400.0, 700.0), (950.0, 330.0, 660.0, 950.0)))
+    y0 = band + F.when(k == 0, 20.0).otherwise(140.0)
+    blocks = rows.select(F.lit("d").alias("document"), F.col("l_orderkey").alias("page"), F.hash("l_partkey", "k").alias("block"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), (y0 + F.when(k == 0, 40.0).otherwise(180.0)).alias("y1"), F.lit(1000.0).alias("width"), F.lit(1300.0).alias("height"), F.concat(F.lit("p"), "l_partkey").alias("text"))
+    return regions.page_text(blocks).select("page", "text")
