@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import hashing, text
 from palimpsest.functions.scoring import FIELD_WEIGHTS, cosine_similarity
-from palimpsest.operators import access, cast, catalog, chunking, contracts, documents, facts, headings, ledger, outline, records, reflow, regions, retrieval, rulepacks
+from palimpsest.operators import access, cast, catalog, chunking, contracts, documents, facts, headings, ledger, outline, records, reflow, regions, retrieval, rulepacks, spatial
 from palimpsest.plans import cards, ingestion, packages, timelines, transactions
 from palimpsest.sources import vectors
 from palimpsest.sources.commits import CommitLog
@@ -1328,3 +1328,28 @@ def layout_order(spark, d):
     y0 = band + F.when(k == 0, 20.0).otherwise(140.0)
     blocks = rows.select(F.lit("d").alias("document"), F.col("l_orderkey").alias("page"), F.hash("l_partkey", "k").alias("block"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), (y0 + F.when(k == 0, 40.0).otherwise(180.0)).alias("y1"), F.lit(1000.0).alias("width"), F.lit(1300.0).alias("height"), F.concat(F.lit("p"), "l_partkey").alias("text"))
     return regions.page_text(blocks).select("page", "text")
+
+
+# ------------------------------------------------------------------ reviewed maps
+
+
+@query("""
+WITH l AS (SELECT o_custkey AS module_id, o_orderkey AS scene_id, l_partkey AS key, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+p AS (SELECT *, count(*) OVER (PARTITION BY module_id, key) AS places, lead(key) OVER w AS next FROM l WINDOW w AS (PARTITION BY scene_id ORDER BY n)),
+c AS (SELECT p.*, q.places AS next_places FROM p JOIN (SELECT scene_id, n - 1 AS n, places FROM p) q USING (scene_id, n)),
+b AS (SELECT scene_id, n, CASE WHEN key = next THEN 'ends' WHEN places > 1 OR next_places > 1 THEN 'location ambiguous' END AS bad FROM c),
+f AS (SELECT scene_id, arg_min(bad, n) FILTER (WHERE bad IS NOT NULL) AS bad, count(*) AS n FROM b GROUP BY scene_id),
+r AS (SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 'page' WHEN f.n IS NULL THEN 'no connections' WHEN o_orderstatus = 'F' THEN 'no reviewer' ELSE f.bad END AS problem, f.n FROM orders LEFT JOIN f ON f.scene_id = o_orderkey)
+SELECT o_orderkey AS review_id, problem, CASE WHEN problem IS NULL THEN n ELSE 0 END AS edges FROM r
+""")
+def spatial_reviews(spark, d):
+    """Customers as modules, their orders as scenes and reviews, lines as locations that are connected in a row; several faults may meet in one review."""
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("scene_id"), F.col("o_custkey").alias("module_id"), "o_orderpriority", "o_orderstatus")
+    order = Window.partitionBy("scene_id").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    lines = read(spark, d, "lineitem").withColumn("scene_id", F.col("l_orderkey")).join(o.select("scene_id", "module_id"), "scene_id")
+    keys = lines.select("module_id", "scene_id", F.col("l_partkey").cast("string").alias("key"), F.row_number().over(order).alias("ordinal"), F.lead(F.col("l_partkey").cast("string")).over(order).alias("to"))
+    connections = keys.where(F.col("to").isNotNull()).select(F.col("scene_id").alias("review_id"), "ordinal", F.col("key").alias("from"), "to", F.lit(False).alias("bidirectional"), F.lit("door").alias("kind"), F.lit("seen").alias("observation"))
+    reviews = o.select(F.col("scene_id").alias("review_id"), F.lit(1).alias("ordinal"), "scene_id", F.lit("merge").alias("mode"), F.col("module_id").alias("asset_id"), F.when(F.col("o_orderpriority").startswith("1"), 9).otherwise(1).alias("page"), F.when(F.col("o_orderstatus") == "F", "").otherwise("me").alias("reviewer"), F.lit("main").alias("branch_id"))
+    assets = o.select(F.col("module_id").alias("asset_id"), "module_id", F.lit("application/pdf").alias("media_type"), F.lit(8).alias("page_count"), F.lit(None).cast("int").alias("source_page"), F.lit("x").alias("checksum")).distinct()
+    edges, told = spatial.apply_reviews(spark.createDataFrame([], "scene_id long, `from` string, `to` string, bidirectional boolean, kind string, observation string, asset_id long, asset_checksum string, page long, reviewer string, branch_id string"), reviews, connections, o, keys, assets)
+    return told.join(edges.groupBy(F.col("scene_id").alias("review_id")).agg(F.count("*").alias("edges")), "review_id", "left").select("review_id", "problem", F.coalesce("edges", F.lit(0)).cast("long").alias("edges"))
