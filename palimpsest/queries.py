@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import hashing, text
 from palimpsest.functions.scoring import FIELD_WEIGHTS, cosine_similarity
-from palimpsest.operators import access, cast, catalog, chunking, contracts, documents, facts, headings, ledger, outline, records, reflow, regions, retrieval, rulepacks, spatial
+from palimpsest.operators import access, candidates, cast, catalog, chunking, contracts, documents, facts, headings, ledger, outline, records, reflow, regions, retrieval, rulepacks, spatial
 from palimpsest.plans import cards, ingestion, packages, timelines, transactions
 from palimpsest.sources import vectors
 from palimpsest.sources.commits import CommitLog
@@ -1353,3 +1353,28 @@ def spatial_reviews(spark, d):
     assets = o.select(F.col("module_id").alias("asset_id"), "module_id", F.lit("application/pdf").alias("media_type"), F.lit(8).alias("page_count"), F.lit(None).cast("int").alias("source_page"), F.lit("x").alias("checksum")).distinct()
     edges, told = spatial.apply_reviews(spark.createDataFrame([], "scene_id long, `from` string, `to` string, bidirectional boolean, kind string, observation string, asset_id long, asset_checksum string, page long, reviewer string, branch_id string"), reviews, connections, o, keys, assets)
     return told.join(edges.groupBy(F.col("scene_id").alias("review_id")).agg(F.count("*").alias("edges")), "review_id", "left").select("review_id", "problem", F.coalesce("edges", F.lit(0)).cast("long").alias("edges"))
+
+
+# ------------------------------------------------------------------ candidates
+
+
+@query("""
+WITH h AS (SELECT user_id AS job_id, event_id AS id, event_id AS ordinal, replace(props, ' ', '') AS content, CASE event_type WHEN 'click' THEN 'accepted' WHEN 'view' THEN 'rejected' ELSE 'pending' END AS status, event_type FROM events),
+n AS (SELECT job_id, CASE WHEN event_type = 'view' THEN id + 100000000 ELSE id END AS id, ordinal, CASE WHEN event_type = 'error' THEN '{"k":-1}' ELSE content END AS content, event_type FROM h WHERE event_type <> 'signup'),
+kept AS (SELECT n.job_id, n.id FROM n JOIN h USING (job_id, id) WHERE n.content = h.content),
+l AS (SELECT *, row_number() OVER (PARTITION BY job_id, content ORDER BY ordinal, id::VARCHAR) AS k FROM n WHERE (job_id, id) NOT IN (SELECT (job_id, id) FROM kept)),
+o AS (SELECT *, row_number() OVER (PARTITION BY job_id, content ORDER BY ordinal, id::VARCHAR) AS k FROM h WHERE (job_id, id) NOT IN (SELECT (job_id, id) FROM kept)),
+m AS (SELECT l.job_id, l.id, o.status FROM l JOIN o USING (job_id, content, k)),
+t AS (SELECT n.job_id, n.id, CASE WHEN k.id IS NOT NULL THEN 'kept' WHEN m.id IS NOT NULL THEN 'moved' WHEN h.id IS NOT NULL THEN 'changed' ELSE 'new' END AS outcome, h.status AS held, m.status AS taken
+  FROM n LEFT JOIN kept k USING (job_id, id) LEFT JOIN m USING (job_id, id) LEFT JOIN h USING (job_id, id))
+SELECT job_id, id::VARCHAR AS id, outcome, CASE outcome WHEN 'kept' THEN held WHEN 'moved' THEN taken WHEN 'changed' THEN CASE WHEN held = 'pending' THEN 'pending' ELSE 'needs_revision' END ELSE 'pending' END AS review_status FROM t
+""")
+def candidate_carryover(spark, d):
+    """Users as imports and their events as candidates, inspected again: views under other ids, errors edited, signups gone."""
+    e = read(spark, d, "events")
+    status = F.when(F.col("event_type") == "click", "accepted").when(F.col("event_type") == "view", "rejected").otherwise("pending")
+    held = e.select(F.col("user_id").alias("job_id"), F.col("event_id").cast("string").alias("id"), F.col("event_id").alias("ordinal"), F.col("props").alias("artifact"), status.alias("review_status"), F.lit("first").alias("original_fingerprint"))
+    renamed = F.when(F.col("event_type") == "view", F.col("event_id") + 100000000).otherwise(F.col("event_id"))
+    edited = F.when(F.col("event_type") == "error", '{"k": -1}').otherwise(F.col("props"))
+    new = e.where("event_type <> 'signup'").select(F.col("user_id").alias("job_id"), renamed.cast("string").alias("id"), F.col("event_id").alias("ordinal"), edited.alias("artifact"), F.lit(None).cast("string").alias("review_status"))
+    return candidates.set_candidates(held, new)[0].where("outcome <> 'untouched'").select("job_id", "id", "outcome", "review_status")
