@@ -31,7 +31,7 @@ from palimpsest.llm.batches import durable, table, without
 DEFAULT_VOCABULARY = "byte_bpe_50k.tiktoken"
 #: A word is looked up if it makes up at least one in so many of all words, and has at most so many bytes; so at most
 #: that many words are sent to the executors.
-FREQUENT, LONGEST = 1 << 20, 48
+FREQUENT, LONGEST = 1 << 23, 48
 #: Entries of one small map of a literal, as Spark searches maps from their beginning.
 ENTRIES = 3
 #: Unicode's White_Space, which the pattern's \s means; fixed values.
