@@ -84,3 +84,8 @@ def test_commits_are_read_in_one_scan(spark, tmp_path):
     assert ids(2) == [0, 1] and ids(4) == [0, 1, 2] and ids() == [9, 10] and len(log.files("u")) == 1
     with pytest.raises(StaleVersion):
         log.commit({"t": spark.range(1)}, expected=2)
+
+
+def test_a_marker_belongs_to_its_heading_however_far():
+    text = "intro\n<!-- page: 3 -->" + "\n" * 900 + "# A\nx"
+    assert [(h.begin, h.start) for h in chunking.outline(text)] == [(6, text.index("# A"))]
