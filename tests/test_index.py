@@ -106,3 +106,15 @@ def test_two_thousand_commits_are_one_scan(spark, tmp_path):
     assert transactions.commit_continuity(log, 2000, events=events, **none) == 2001
     assert scans == [2000]
     assert [(r.event_id, r.sequence) for r in log.read("events").orderBy("sequence").collect()] == [("e9", 1), ("e10", 2)]
+
+
+def test_postings_are_one_row_for_a_row_and_bucket(spark, tmp_path):
+    index = SearchIndex(spark, str(tmp_path / "index"), COLUMNS)
+    body = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(199)), lambda i: F.concat(F.lit("w"), (i * F.col("id") % 5).cast("string"))))
+    rows = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("t").alias("title"), body.alias("body"))
+    index.apply(0, rows)
+    held = index.log.read("postings")
+    # One row for all terms of a row in a bucket, with what the general operator counts.
+    got = {(r.doc_id, t, n, r.dl) for r in held.collect() for t, n in zip(r.terms.split(" "), r.tfs, strict=True)}
+    assert got == {(r.doc_id, r.term, r.tf, r.dl) for r in retrieval.postings(rows, "doc_id", COLUMNS).collect()}
+    assert held.groupBy("doc_id", "bucket").count().where("count > 1").isEmpty()
