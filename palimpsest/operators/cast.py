@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators.facts import stripped
+from palimpsest.sources.tables import dealt
 
 #: Kinds of bindings, and scene fields that only parsing may set.
 BINDING_KINDS = ("cast", "encounter", "preset_pc")
@@ -115,6 +116,8 @@ def set_scene_fields(scenes: DataFrame, changes: DataFrame) -> tuple[DataFrame,
     equal ordinals the greater value.  The fields that
     one scene may have are gathered in its map, as they are stored.
     """
+    n = changes.count() + scenes.count()
+    scenes, changes = dealt(scenes, "scene_id", rows=n), dealt(changes, "scene_id", rows=n)
     own = changes.withColumn("field", stripped(F.col("field"))).join(scenes.select("scene_id", F.lit(True).alias("__there")), "scene_id", "left")
     public = F.length("field").between(1, MOST_NAME) & ~F.col("field").startswith("_")
     judged = own.withColumn("outcome", F.when(~public, "invalid").when(F.col("field").isin(*CANONICAL_FIELDS), "canonical").when(F.col("__there").isNull(), "missing").otherwise("set")).drop("__there")

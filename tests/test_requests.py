@@ -169,3 +169,14 @@ def test_requests_of_a_stream_are_kept_once(spark, tmp_path):
         remember_requests(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), log, "requests", str(tmp_path / "state")).awaitTermination()
     assert sorted((r.scope, r.key, r.request_sha256) for r in log.read("requests").collect()) == [("s", "k", "a"), ("s", "l", "b"), ("t", "k", "z")]
     assert [(r.scope, r.key, r.request_sha256) for r in log.read("requests_conflicts").collect()] == [("s", "l", "x")]
+
+
+def test_fields_are_dealt_by_their_number(spark, monkeypatch):
+    from palimpsest.sources import tables
+
+    monkeypatch.setattr(tables, "TASK_ROWS", 5)
+    tasks = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    scenes = spark.range(60).select(F.col("id").alias("scene_id"), F.create_map(F.lit("a"), F.lit("b")).alias("metadata"))
+    changes = scenes.select("scene_id", F.lit("f").alias("field"), F.lit("v").alias("value"), F.lit(1).alias("ordinal"))
+    assert tasks(cast.set_scene_fields(scenes, changes)[0]) > least
