@@ -109,3 +109,16 @@ def test_modules(spark):
     assert all(body[r.start : r.end] == r.content for r in got)
     many = "# C\n## S\n" + "".join(f"### s{i}\nx\n" for i in range(5))
     assert [t for t, _, _ in chunking.scene_spans("C", many)] == [f"s{i}" for i in range(5)]
+
+
+def test_rows_of_a_batch_are_given_back_in_parts(spark):
+    import pyarrow as pa
+    from palimpsest.operators import chunking
+
+    texts = [None if i == 3 else f"# A {i}\n" + "word. " * 400 for i in range(chunking.ROWS)]
+    schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.int32())])
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    parts = list(chunking.parsed([batch], chunking.chunk_rows, ["tokens"], schema))
+    want = [(i, r["tokens"]) for i, t in enumerate(texts) for r in chunking.chunk_rows(t or "")]
+    assert [tuple(r.values()) for p in parts for r in p.to_pylist()] == want
+    assert len(want) > chunking.ROWS >= max(p.num_rows for p in parts)
