@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from palimpsest.functions.text import chapter_identity, chapter_label, clean_line, looks_letter_spaced, normalized_line
 from palimpsest.operators.layout import CHAPTER_LINE
+from palimpsest.sources.tables import durable
 
 #: How like a line must be to a chapter's entry and to another's, how like a title to be preferred, most
 #: characters of a heading, lines above a chapter that make it late, deepest level, and when a line repeats a trusted title.
@@ -42,13 +43,13 @@ def usable(outline: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def line_scores(entries: DataFrame, lines: DataFrame) -> DataFrame:
-    """document, page, ordinal, n and score of pairs of an entry and a line of its page that may be like enough.
+    """document, page, ordinal, n, score and the line of pairs of an entry and a line of its page that may be like enough, and may be the entry's best.
 
     For a chapter, lines that neither begin one nor are letter-spaced must have
     the ratio that other entries need.
     """
     pairs = entries.select(*PAGE, "ordinal", "chapter", normalized_line(F.col("title")).alias("target")).where("target <> ''")
-    pairs = pairs.join(lines.where("key <> ''").select(*PAGE, "n", "key", "line"), PAGE)
+    pairs = pairs.join(lines.where("key <> ''").select(*PAGE, "n", "key", "line", "above"), PAGE)
     small, large = F.least(F.length("target"), F.length("key")), F.greatest(F.length("target"), F.length("key"))
     within = F.contains("target", F.col("key")) | F.contains("key", F.col("target"))
     needs_ratio = F.col("chapter") & ~F.col("line").rlike(CHAPTER_LINE) & ~looks_letter_spaced(F.col("line"))
@@ -57,9 +58,13 @@ def line_scores(entries: DataFrame, lines: DataFrame) -> DataFrame:
     # The ratio is at most twice the shorter length over both: shorter lines are ruled out before Python sees them.
     hopeful = F.when(F.col("within") & ~F.col("needs_ratio"), F.col("share") >= F.col("least")).otherwise(2 * small >= F.col("least") * (small + large))
     pairs = pairs.where(hopeful)
+    # Nor does it see pairs whose bound can't come up to what a contained line of the entry has already; only equal texts reach 1.
+    sure = F.max(F.when(F.col("within") & ~F.col("needs_ratio"), F.col("share"))).over(Window.partitionBy(*PAGE, "ordinal"))
+    behind = (2 * small / (small + large) < F.col("sure")) | (F.col("sure") == 1)
+    pairs = pairs.withColumn("sure", sure).where(F.col("within") | F.col("needs_ratio") | ~F.coalesce(behind, F.lit(False)))
     ratio = run_ratio(F.when(~F.col("within") | F.col("needs_ratio"), F.col("target")), F.col("key"))
     pairs = pairs.withColumn("ratio", ratio).where(~F.col("needs_ratio") | (F.col("ratio") >= OTHER_LIKE))
-    return pairs.select(*PAGE, "ordinal", "n", F.when(F.col("within"), F.col("share")).otherwise(F.col("ratio")).alias("score"), "chapter")
+    return pairs.select(*PAGE, "ordinal", "n", F.when(F.col("within"), F.col("share")).otherwise(F.col("ratio")).alias("score"), "chapter", "line", "above")
 
 
 def prefer_outline(line: Column, title: Column, trusted: Column, ratio: Column) -> Column:
@@ -93,12 +98,14 @@ def match_outline(pages: DataFrame, outline: DataFrame) -> tuple[DataFrame, Data
     depth = entries.where("chapter").groupBy("document").agg(F.min("depth").alias("structural"))
     entries = entries.join(depth, "document", "left").withColumn("trusted", F.coalesce(F.col("chapter") & (F.col("depth") == F.col("structural")), F.lit(False)))
 
-    best = line_scores(entries, lines).groupBy(*PAGE, "ordinal").agg(F.max_by(F.struct("n", "score"), F.struct("score", -F.col("n"))).alias("best"))
-    found = entries.join(best, [*PAGE, "ordinal"], "left").withColumns({"n": F.col("best.n"), "score": F.col("best.score")})
+    best = line_scores(entries, lines).groupBy(*PAGE, "ordinal").agg(F.max_by(F.struct("n", "score", "line", "above"), F.struct("score", -F.col("n"))).alias("best"))
+    found = entries.join(best, [*PAGE, "ordinal"], "left").withColumns({c: F.col(f"best.{c}") for c in ("n", "score", "line", "above")})
     enough = F.col("score") >= F.when(F.col("chapter"), CHAPTER_LIKE).otherwise(OTHER_LIKE)
-    found = found.withColumn("matched", F.coalesce(enough, F.lit(False))).join(lines.select(*PAGE, "n", "line", "above"), [*PAGE, "n"], "left")
+    found = found.withColumn("matched", F.coalesce(enough, F.lit(False)))
     found = found.withColumn("synthetic", F.col("trusted") & (~F.col("matched") | (F.col("above") > LATE)))
     found = found.withColumn("ratio", run_ratio(normalized_line(F.when(F.col("matched") & ~F.col("synthetic"), F.col("line"))), normalized_line(F.col("clean"))))
+    # One narrow row an entry, read for entries and headings.
+    found = durable(found.drop("best"))
 
     told = found.select(*PAGE, "ordinal", "title", "matched", F.when(F.col("matched"), F.col("n")).alias("line"), F.when(F.col("matched"), F.round("score", 6)).alias("score"), "synthetic")
     hits = found.where("matched and not synthetic")

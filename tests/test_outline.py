@@ -81,3 +81,12 @@ def test_markdown_with_an_outline(spark, book):
     assert got[1] == ["# Ch. 1: The Gate", "It begins. running on."] and got[2] == []
     assert got[3][0] == "# Chapter 2: Iron" and got[3][-1].endswith("line 9 goes on here. after it. nothing here.") and got[4] == ["# Appendix B: Maps", "shown."]
     assert got[5][0] == "### The Hall" and got[6][0] == "# Chapter 9: Lost" and got[7] == []
+
+
+def test_lines_that_cannot_be_the_best_are_not_compared(spark):
+    from pyspark.sql import functions as F
+
+    lines = spark.createDataFrame([("d", 1, n, x, key(x), 0) for n, x in enumerate(["The Old Mill", "The Old Hill", "The Old Mills"])], "document string, page long, n int, line string, key string, above long")
+    entries = spark.createDataFrame([("d", 1, 1, "The Old Mill", False)], "document string, page long, ordinal int, title string, chapter boolean")
+    told = outline.line_scores(entries, lines).select("n", F.round("score", 3)).collect()
+    assert sorted(map(tuple, told)) == [(0, 1.0), (2, round(10 / 11, 3))]
