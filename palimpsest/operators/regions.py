@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.sources.tables import durable
+from palimpsest.sources.tables import dealt, durable
 
 #: Least empty strip between columns and between bands, as shares of the page's width and height.
 GUTTER, BAND = 0.018, 0.012
@@ -39,7 +39,8 @@ def regions(blocks: DataFrame) -> DataFrame:
     """
     own = blocks.where("x1 > x0 AND y1 > y0 AND trim(text) <> ''").withColumn("path", F.array().cast("array<int>"))
     done, rest = None, durable(own)
-    while not rest.isEmpty():
+    while n := rest.count():
+        rest = dealt(rest, *PAGE, rows=n)
         region = Window.partitionBy(*PAGE, "path")
         swept = rest.withColumns({"gap_x": _sweep(region, "x0", "x1") / (GUTTER * F.col("width")), "gap_y": _sweep(region, "y0", "y1") / (BAND * F.col("height"))})
         swept = swept.withColumns({"most_x": F.coalesce(F.max("gap_x").over(region), F.lit(0.0)), "most_y": F.coalesce(F.max("gap_y").over(region), F.lit(0.0))})
@@ -76,5 +77,6 @@ def lines(found: DataFrame) -> DataFrame:
 
 def page_text(blocks: DataFrame) -> DataFrame:
     """document, page and text, its lines in reading order; pages without usable blocks have none."""
-    told = lines(regions(blocks)).groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("lines"))
+    found = regions(blocks)
+    told = lines(dealt(found, *PAGE, rows=found.count())).groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("lines"))
     return told.select(*PAGE, F.array_join(F.transform("lines", lambda x: x["text"]), "\n").alias("text"))

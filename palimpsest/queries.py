@@ -19,7 +19,7 @@ from palimpsest.plans import cards, ingestion, packages, timelines, transactions
 from palimpsest.sources import vectors
 from palimpsest.sources.commits import CommitLog
 from palimpsest.sources.index import SearchIndex
-from palimpsest.sources.tables import shared_folder
+from palimpsest.sources.tables import dealt, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1322,7 +1322,8 @@ SELECT l_orderkey AS page, string_agg('p' || l_partkey, chr(10) ORDER BY k) AS t
 def layout_order(spark, d):
     """Orders as pages whose lines are blocks: a title, two columns whose right one has a side bar, and so on in bands below; read back in order."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    rows = read(spark, d, "lineitem").select("l_orderkey", "l_partkey", (F.row_number().over(order) - 1).alias("k"))
+    lines = read(spark, d, "lineitem")
+    rows = dealt(lines, "l_orderkey", rows=lines.count()).select("l_orderkey", "l_partkey", (F.row_number().over(order) - 1).alias("k"))
     k, band = F.col("k") % 4, F.floor(F.col("k") / 4) * 400.0
     x0, x1 = (F.element_at(F.array(*[F.lit(x) for x in xs]), (k + 1).cast("int")) for xs in ((50.0, 50.0, 400.0, 700.0), (950.0, 330.0, 660.0, 950.0)))
     y0 = band + F.when(k == 0, 20.0).otherwise(140.0)
