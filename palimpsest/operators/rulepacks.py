@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators.contracts import PACK_ID, VERSION, component_status, union
+from palimpsest.sources.tables import dealt
 
 
 def save_drafts(packs: DataFrame, versions: DataFrame, drafts: DataFrame) -> DataFrame:
@@ -92,14 +93,19 @@ def installable(components: DataFrame, installed: DataFrame, proofs: DataFrame)
 
     components (addon_id, addon_version, kind, id, version, checksum); others as in `component_status`.
     """
-    keys = ["kind", "id", "version"]
+    keys, n = ["kind", "id", "version"], components.count()
     needed = components.select(*keys, "checksum").distinct()
     states = component_status(needed, installed, proofs).withColumnRenamed("status", "__status")
     # A component without a checksum and one with it are two requirements of one key.
     states = needed.join(states.groupBy(*keys).agg(F.collect_set("__status").alias("__s")), keys).select(*keys, "checksum", "__s").distinct()
     bad = F.arrays_overlap("__s", F.array(F.lit("missing"), F.lit("conflict")))
-    own = components.join(states.select(*keys, bad.alias("__bad")).groupBy(*keys).agg(F.bool_or("__bad").alias("__bad")), keys)
-    return own.groupBy("addon_id", "addon_version").agg(F.count("*").alias("components"), F.count_if("__bad").alias("wanting"))
+    states = states.select(*keys, bad.alias("__bad")).groupBy(*keys).agg(F.bool_or("__bad").alias("__bad"))
+    # Keys go as one struct, as a constant among several would drop out of the join and undo the dealing; merged, as Spark else
+    # may broadcast the components, which are the large side.
+    whole = dealt(components.dropna(subset=keys).select("addon_id", "addon_version", F.struct(*keys).alias("__k")), "__k", rows=n)
+    own = whole.join(states.select(F.struct(*keys).alias("__k"), "__bad").hint("merge"), "__k").select(F.struct("addon_id", "addon_version").alias("__a"), "__bad")
+    told = dealt(own, "__a", rows=n).groupBy("__a").agg(F.count("*").alias("components"), F.count_if("__bad").alias("wanting"))
+    return told.select("__a.*", "components", "wanting")
 
 
 def activation_requirements(requests: DataFrame, campaigns: DataFrame, addons: DataFrame, wanting: DataFrame, conflicts: DataFrame, active: DataFrame) -> DataFrame:

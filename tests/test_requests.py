@@ -180,3 +180,19 @@ def test_fields_are_dealt_by_their_number(spark, monkeypatch):
     scenes = spark.range(60).select(F.col("id").alias("scene_id"), F.create_map(F.lit("a"), F.lit("b")).alias("metadata"))
     changes = scenes.select("scene_id", F.lit("f").alias("field"), F.lit("v").alias("value"), F.lit(1).alias("ordinal"))
     assert tasks(cast.set_scene_fields(scenes, changes)[0]) > least
+
+
+def test_components_are_dealt_by_their_number(spark, monkeypatch):
+    from palimpsest.operators import rulepacks
+    from palimpsest.sources import tables
+
+    monkeypatch.setattr(tables, "TASK_ROWS", 5)
+    tasks = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Constant kinds and versions, and components without an id, which belong to no add-on.
+    own = spark.range(60).select(F.col("id").alias("addon_id"), F.lit("1").alias("addon_version"), F.lit("pack").alias("kind"), F.when(F.col("id") < 58, F.col("id") % 7).alias("id"), F.lit("1").alias("version"), F.lit("a").alias("checksum"))
+    there = spark.range(6).select(F.lit("pack").alias("kind"), "id", F.lit("1").alias("version"), F.when(F.col("id") == 2, "b").otherwise("a").alias("checksum"))
+    told = rulepacks.installable(own, there, there.where("false"))
+    assert told.columns == ["addon_id", "addon_version", "components", "wanting"]
+    assert sorted((r.addon_id, r.components, r.wanting) for r in told.collect()) == [(i, 1, int(i % 7 in (2, 6))) for i in range(58)]
+    assert tasks(told) > least
