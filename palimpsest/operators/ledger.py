@@ -38,10 +38,10 @@ def at_head(heads: DataFrame, revisions: DataFrame, branch: str, *, revision_id:
 
 def visible_events(events: DataFrame, bindings: DataFrame, branch: str, head_snapshot: str | None, *, event_id: str = "event_id") -> DataFrame:
     """Events bound to the branch's head snapshot, and those of the branch that no snapshot holds yet; each once."""
-    bound = bindings.where(F.col("snapshot_id").eqNullSafe(F.lit(head_snapshot))).select(F.col("event_id").alias(event_id))
-    held = events.join(bound, event_id, "left_semi")
-    fresh = events.where((F.col("branch_id") == branch) & F.col("committed_snapshot_id").isNull())
-    return held.unionByName(fresh).dropDuplicates([event_id])
+    bound = bindings.where(F.col("snapshot_id").eqNullSafe(F.lit(head_snapshot))).select(F.col("event_id").alias(event_id), F.lit(True).alias("__bound"))
+    fresh = (F.col("branch_id") == branch) & F.col("committed_snapshot_id").isNull()
+    # One join and no union, so that copies are dropped where the join has brought them together.
+    return events.join(bound, event_id, "left").where(F.col("__bound").isNotNull() | fresh).drop("__bound").dropDuplicates([event_id])
 
 
 def tail(events: DataFrame, limit: int, order: list[str]) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from palimpsest.operators import ledger
 from palimpsest.plans.transactions import BRANCHES, EVENTS, FACT_REVISIONS, HEADS, Refused, _view
 from palimpsest.sources.commits import CommitLog, View
-from palimpsest.sources.tables import durable
+from palimpsest.sources.tables import dealt, durable
 
 SNAPSHOTS = "campaign_id string, snapshot_id string, branch_id string, parent_id string, label string"
 SNAPSHOT_EVENTS = "snapshot_id string, event_id string"
@@ -42,10 +42,16 @@ def digest(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.agg(F.count("*").alias("rows"), F.sha2(F.concat_ws(",", *parts), 256).alias("digest"))
 
 
+def _rows(view: View, *tables: str) -> int:
+    """Rows of tables, as their files tell."""
+    return sum(view.read(t).count() for t in tables if view.files.get(t))
+
+
 def _events(view: View) -> DataFrame:
-    """Events with the first snapshot that holds each."""
-    stamps = view.read("event_commits", SNAPSHOT_EVENTS).groupBy("event_id").agg(F.min("snapshot_id").alias("stamp"))
-    return view.read("events", EVENTS).join(stamps, "event_id", "left").withColumn("committed_snapshot_id", F.coalesce("committed_snapshot_id", "stamp")).drop("stamp")
+    """Events with the first snapshot that holds each, dealt by event."""
+    n = _rows(view, "events", "event_commits")
+    stamps = dealt(view.read("event_commits", SNAPSHOT_EVENTS), "event_id", rows=n).groupBy("event_id").agg(F.min("snapshot_id").alias("stamp"))
+    return dealt(view.read("events", EVENTS), "event_id", rows=n).join(stamps, "event_id", "left").withColumn("committed_snapshot_id", F.coalesce("committed_snapshot_id", "stamp")).drop("stamp")
 
 
 def _branch(view: View, campaign: str, branch: str):
@@ -63,16 +69,19 @@ def live(view: View, campaign: str, branch: str) -> dict[str, DataFrame]:
     """What a snapshot of the branch would hold now, by collection."""
     head = _branch(view, campaign, branch).head_snapshot_id
     events = ledger.visible_events(_events(view).where(F.col("campaign_id") == campaign), view.read("snapshot_events", SNAPSHOT_EVENTS), branch, head)
-    heads = ledger.latest(view.read("fact_heads", HEADS).where(F.col("branch_id") == branch), ["memory_id"], "revision")
+    heads = ledger.latest(dealt(view.read("fact_heads", HEADS).where(F.col("branch_id") == branch), "memory_id", rows=_rows(view, "fact_heads")), ["memory_id"], "revision")
+    states = dealt(view.read("states", STATES), "entity_id", rows=_rows(view, "states"))
     profile = view.spark.createDataFrame([(_profile(view, campaign),)], "profile string").where("profile is not null")
     return {
         "events": events.select("event_id", "branch_id", "committed_snapshot_id"),
         "facts": heads.select("memory_id", "revision"),
-        "states": ledger.latest(view.read("states", STATES), ["entity_id"], "revision").select("entity_id", "state"),
+        "states": ledger.latest(states, ["entity_id"], "revision").select("entity_id", "state"),
         "profile": profile,
     }
 
 
+#: Tables whose rows a branch and its snapshots have, by collection.
+SIZES = {"events": ("events", "snapshot_events"), "facts": ("fact_heads", "snapshot_facts"), "states": ("states", "snapshot_states"), "profile": ("profiles",)}
 COLUMNS = {"events": ["event_id"], "facts": ["memory_id", "revision"], "states": ["entity_id", "state"], "profile": ["profile"]}
 
 
@@ -134,7 +143,7 @@ def dirty(view: View, campaign: str, branch: str) -> dict[str, int]:
     for name in COLLECTIONS:
         columns = COLUMNS[name]
         both = now[name].select(*columns, F.lit(1).alias("by")).unionByName(then[name].select(*columns, F.lit(-1).alias("by")))
-        n = both.groupBy(*columns).agg(F.sum("by").alias("by")).where("by <> 0").count()
+        n = dealt(both, *columns, rows=_rows(view, *SIZES[name])).groupBy(*columns).agg(F.sum("by").alias("by")).where("by <> 0").count()
         if n:
             counts[f"dirty {name}"] = n
     return counts
@@ -151,8 +160,9 @@ def verify(log: CommitLog, snapshot: str, version: int | None = None) -> DataFra
     differs = now.join(stored.select("collection", F.col("digest").alias("stored"), F.col("rows").alias("n")), "collection", "left")
     problem = F.when(F.col("stored").isNull(), "missing").when((F.col("stored") != F.col("digest")) | (F.col("n") != F.col("rows")), "digest differs")
     found = differs.select("collection", problem.alias("problem")).where("problem is not null")
-    events = own["events"].join(view.read("events", EVENTS).select("event_id"), "event_id", "left_anti")
-    facts = own["facts"].join(view.read("fact_revisions", FACT_REVISIONS).select("memory_id", "revision").distinct(), ["memory_id", "revision"], "left_anti")
+    events = dealt(own["events"], "event_id", rows=_rows(view, *SIZES["events"])).join(view.read("events", EVENTS).select("event_id"), "event_id", "left_anti")
+    revision, n = ["memory_id", "revision"], _rows(view, "fact_revisions", "snapshot_facts")
+    facts = dealt(own["facts"], *revision, rows=n).join(dealt(view.read("fact_revisions", FACT_REVISIONS).select(*revision), *revision, rows=n), revision, "left_anti")
     snapshots = view.read("snapshots", SNAPSHOTS)
     parents = snapshots.where((F.col("snapshot_id") == snapshot) & F.col("parent_id").isNotNull()).join(snapshots.select(F.col("snapshot_id").alias("parent_id")), "parent_id", "left_anti")
     for name, df, why in (("events", events, "no such event"), ("facts", facts, "no such revision"), ("snapshots", parents, "no such parent")):
@@ -162,7 +172,7 @@ def verify(log: CommitLog, snapshot: str, version: int | None = None) -> DataFra
 
 def _put_back(view: View, branch: str, goal: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """states and fact_heads that make the branch what `goal` holds; state revisions only go forward, other branches stay."""
-    top = view.read("states", STATES).groupBy("entity_id").agg(F.max("revision").alias("top"))
+    top = dealt(view.read("states", STATES), "entity_id", rows=_rows(view, "states")).groupBy("entity_id").agg(F.max("revision").alias("top"))
     states = goal["states"].join(top, "entity_id", "left").select("entity_id", (F.coalesce("top", F.lit(0)) + 1).cast("long").alias("revision"), "state")
     others = view.read("fact_heads", HEADS).where(F.col("branch_id") != branch)
     heads = others.unionByName(goal["facts"].select(F.lit(branch).alias("branch_id"), "memory_id", F.col("revision").cast("long").alias("revision")))

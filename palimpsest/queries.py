@@ -1266,7 +1266,8 @@ def snapshot_round_trip(spark, d):
     the rows in which the campaign then differed from its first snapshot.
     """
     events = read(spark, d, "events").select(F.col("event_id").cast("string").alias("event_id"), F.lit("c").alias("campaign_id"), F.lit("main").alias("branch_id"), F.col("event_id").alias("sequence"), F.col("props").alias("content"), F.lit(None).cast("string").alias("committed_snapshot_id"), "event_type")
-    orders = read(spark, d, "orders").groupBy(F.col("o_custkey").cast("string").alias("memory_id")).agg(F.max("o_orderkey").cast("string").alias("content"), F.max(F.col("o_orderstatus") == "O").alias("later"))
+    orders = read(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("memory_id"), "o_orderkey", "o_orderstatus")
+    orders = dealt(orders, "memory_id", rows=orders.count()).groupBy("memory_id").agg(F.max("o_orderkey").cast("string").alias("content"), F.max(F.col("o_orderstatus") == "O").alias("later"))
     head = lambda df, n: df.select(F.lit("main").alias("branch_id"), "memory_id", F.lit(n).cast("long").alias("revision"))
     revision = lambda df, n: df.select(F.lit("main").alias("branch_id"), "memory_id", F.lit(n).cast("long").alias("revision"), "content")
     customers = read(spark, d, "customer")

@@ -113,3 +113,18 @@ def test_digests_count_rows_and_not_their_order(spark):
     assert one(("x", 1), ("y", None), ("x", 1)) == one(("x", 1), ("x", 1), ("y", None)) != one(("x", 1), ("y", None))
     assert one(("x", None)).digest != one((None, None)).digest
     assert timelines.digest(spark.createDataFrame([], "a string, b long"), ["a", "b"]).first().rows == 0
+
+
+def test_collections_are_dealt_by_their_number(spark, log, monkeypatch):
+    from palimpsest.sources import tables
+
+    make = spark.createDataFrame
+    own = {"events": make([(f"n{i}", "c", "main", i, "x", None) for i in range(60)], EVENTS), "fact_heads": make([("main", f"n{i}", 1) for i in range(60)], HEADS), "states": make([(f"n{i}", 1, "alive") for i in range(60)], timelines.STATES)}
+    log.commit(own, expected=1)
+    before = seen(log)
+    monkeypatch.setattr(tables, "TASK_ROWS", 5)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for name, df in timelines.live(log.view(), "c", "main").items():
+        assert name == "profile" or df.select(F.spark_partition_id().alias("p")).distinct().count() > least, name
+    assert seen(log) == before
+    assert timelines.dirty(log.view(), "c", "main") == {"dirty events": 62, "dirty facts": 62, "dirty states": 62, "dirty profile": 1}
