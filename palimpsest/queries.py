@@ -19,7 +19,7 @@ from palimpsest.plans import cards, ingestion, packages, timelines, transactions
 from palimpsest.sources import vectors
 from palimpsest.sources.commits import CommitLog
 from palimpsest.sources.index import SearchIndex
-from palimpsest.sources.tables import dealt, shared_folder
+from palimpsest.sources.tables import dealt, shared_folder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1348,13 +1348,16 @@ def spatial_reviews(spark, d):
     """Customers as modules, their orders as scenes and reviews, lines as locations that are connected in a row; several faults may meet in one review."""
     o = read(spark, d, "orders").select(F.col("o_orderkey").alias("scene_id"), F.col("o_custkey").alias("module_id"), "o_orderpriority", "o_orderstatus")
     order = Window.partitionBy("scene_id").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    lines = read(spark, d, "lineitem").withColumn("scene_id", F.col("l_orderkey")).join(o.select("scene_id", "module_id"), "scene_id")
-    keys = lines.select("module_id", "scene_id", F.col("l_partkey").cast("string").alias("key"), F.row_number().over(order).alias("ordinal"), F.lead(F.col("l_partkey").cast("string")).over(order).alias("to"))
+    lines = read(spark, d, "lineitem")
+    n, lines = lines.count(), lines.withColumn("scene_id", F.col("l_orderkey"))
+    lines = dealt(lines, "scene_id", rows=n).join(o.select("scene_id", "module_id"), "scene_id")
+    keys = stored(lines.select("module_id", "scene_id", F.col("l_partkey").cast("string").alias("key"), F.row_number().over(order).alias("ordinal"), F.lead(F.col("l_partkey").cast("string")).over(order).alias("to")))
     connections = keys.where(F.col("to").isNotNull()).select(F.col("scene_id").alias("review_id"), "ordinal", F.col("key").alias("from"), "to", F.lit(False).alias("bidirectional"), F.lit("door").alias("kind"), F.lit("seen").alias("observation"))
     reviews = o.select(F.col("scene_id").alias("review_id"), F.lit(1).alias("ordinal"), "scene_id", F.lit("merge").alias("mode"), F.col("module_id").alias("asset_id"), F.when(F.col("o_orderpriority").startswith("1"), 9).otherwise(1).alias("page"), F.when(F.col("o_orderstatus") == "F", "").otherwise("me").alias("reviewer"), F.lit("main").alias("branch_id"))
     assets = o.select(F.col("module_id").alias("asset_id"), "module_id", F.lit("application/pdf").alias("media_type"), F.lit(8).alias("page_count"), F.lit(None).cast("int").alias("source_page"), F.lit("x").alias("checksum")).distinct()
     edges, told = spatial.apply_reviews(spark.createDataFrame([], "scene_id long, `from` string, `to` string, bidirectional boolean, kind string, observation string, asset_id long, asset_checksum string, page long, reviewer string, branch_id string"), reviews, connections, o, keys, assets)
-    return told.join(edges.groupBy(F.col("scene_id").alias("review_id")).agg(F.count("*").alias("edges")), "review_id", "left").select("review_id", "problem", F.coalesce("edges", F.lit(0)).cast("long").alias("edges"))
+    edges = dealt(edges.select(F.col("scene_id").alias("review_id")), "review_id", rows=n).groupBy("review_id").agg(F.count("*").alias("edges"))
+    return told.join(edges, "review_id", "left").select("review_id", "problem", F.coalesce("edges", F.lit(0)).cast("long").alias("edges"))
 
 
 # ------------------------------------------------------------------ candidates

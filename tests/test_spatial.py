@@ -1,5 +1,7 @@
 """Spatial reviews: every problem, merging and replacing, and what is reached."""
 
+from pyspark.sql import functions as F
+
 from palimpsest.operators import spatial
 
 R = "review_id string, ordinal int, scene_id string, mode string, asset_id string, page int, reviewer string, branch_id string"
@@ -49,3 +51,21 @@ def test_merging_replacing_and_walking(spark):
     walk = lambda key, **k: {r.key: r.steps for r in spatial.reached(graph, spark.createDataFrame([("m", key)], "module_id string, key string"), **k).collect()}
     assert walk("a") == {"a": 0, "b": 1, "c": 2} and walk("a", closed=()) == {"a": 0, "b": 1, "c": 2, "e": 3} and walk("e") == {"e": 0}
     assert spatial.apply_reviews(old.limit(0), **tables(spark, [], []))[0].collect() == []
+
+
+def test_reviews_are_dealt_by_their_number(spark, monkeypatch):
+    from palimpsest.sources import tables
+
+    monkeypatch.setattr(tables, "TASK_ROWS", 5)
+    tasks = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    scenes = spark.range(60).select(F.col("id").alias("scene_id"), F.col("id").alias("module_id"))
+    keys = scenes.crossJoin(spark.createDataFrame([("a",), ("b",)], "key string"))
+    reviews = scenes.select(F.col("scene_id").alias("review_id"), F.lit(1).alias("ordinal"), "scene_id", F.lit("merge").alias("mode"), F.col("module_id").alias("asset_id"), F.lit(1).alias("page"), F.lit("me").alias("reviewer"), F.lit("main").alias("branch_id"))
+    connections = scenes.select(F.col("scene_id").alias("review_id"), F.lit(1).alias("ordinal"), F.lit("a").alias("from"), F.lit("b").alias("to"), F.lit(False).alias("bidirectional"), F.lit("door").alias("kind"), F.lit("seen").alias("observation"))
+    assets = scenes.select(F.col("module_id").alias("asset_id"), "module_id", F.lit("image/png").alias("media_type"), F.lit(1).alias("page_count"), F.lit(1).alias("source_page"), F.lit("x").alias("checksum"))
+    none = spark.createDataFrame([], "scene_id long, `from` string, `to` string, bidirectional boolean, kind string, observation string, asset_id long, asset_checksum string, page long, reviewer string, branch_id string")
+    edges, told = spatial.apply_reviews(none, reviews, connections, scenes, keys, assets)
+    assert tasks(spatial.resolved(keys)) > least and tasks(edges) > least
+    assert spatial.judged_reviews(reviews, connections, scenes, keys, assets).rdd.getNumPartitions() > least
+    assert told.where("problem is null").count() == edges.count() == 60
