@@ -96,6 +96,46 @@ def test_ids_are_the_librarys(spark, ranks, library, monkeypatch):
     assert bytepair.encode(docs.limit(0), ranks, pattern).collect() == []
 
 
+def test_looked_up_words_are_no_part_of_the_plan(spark, ranks):
+    docs = rows_of(spark, ["zebrafinch quagga"] * 50)
+    encoded = bytepair.encode(docs, ranks, bytepair.java_pattern(spark, public_tokenizers.PATTERN), keep=["doc_id"])
+    assert "quagga" not in encoded._jdf.queryExecution().analyzed().toString()
+
+
+def test_unknown_words_stand_between_the_known(ranks):
+    import numpy as np
+    import pyarrow as pa
+
+    known = {"a": [1], "bc": [2, 3], "": []}
+    often = pa.array(list(known))
+    hashed = bytepair.hashes(often, 2)
+    order = np.argsort(hashed)
+    for known_ids, names in ((list(known.values()), order), ([], order[:0])):
+        tables = often.take(pa.array(names)), hashed[names], pa.array([known_ids[i] for i in names], pa.list_(pa.int32()))
+        rows = [["a", "bc", "a"], [], ["x"], ["x", "x", "a", "yy", "bc", "bc", "z"], [], ["bc"]]
+        got = bytepair.looked_up(pa.array(rows, pa.list_(pa.string())), *tables).to_pylist()
+        for row, parts in zip(rows, got, strict=True):
+            want = [{"run": [], "word": None}]
+            for word in row:
+                if len(names) and word in known:
+                    want[-1]["run"] += known[word]
+                else:
+                    want[-1]["word"] = word
+                    want.append({"run": [], "word": None})
+            assert parts == want
+
+
+def test_ids_are_decoded_and_digested_with_nulls(spark, ranks):
+    rows = [(0, None), (1, []), (2, [ranks.tokens[b"a"], None]), (3, [len(ranks.tokens) - 1, 0])]
+    df = spark.createDataFrame(rows, "k long, ids array<int>").coalesce(1)
+    got = {r.k: (bytes(r.decoded), r.d) for r in bytepair.decode(df, ranks).select("k", "decoded", bytepair.ids_digest(F.col("ids")).alias("d")).collect()}
+    by_id = sorted(ranks.tokens, key=ranks.tokens.get)
+    two = hashlib.sha256((len(by_id) - 1).to_bytes(4, "little") + bytes(4)).hexdigest()
+    assert got == {0: (b"", None), 1: (b"", hashlib.sha256().hexdigest()), 2: (b"a", None), 3: (by_id[-1] + by_id[0], two)}
+    with pytest.raises(Exception, match="out of bounds"):
+        bytepair.decode(spark.createDataFrame([(0, [len(by_id)])], "k long, ids array<int>"), ranks).collect()
+
+
 def test_every_code_point_is_parted_alike(spark, library):
     import regex
 
